@@ -178,8 +178,6 @@ class Model:
             "minInfoGain": float(h["gamma"]),
             "featureSubsetStrategy": "all" if float(h["colsample_bytree"]) >= 1 else str(float(h["colsample_bytree"])),
             "seed": self.seed,
-            # Node ids are cached per row; the cache is checkpointed, so long boosting keeps a short lineage.
-            "cacheNodeIds": False,
         }
         if self._validates():
             trees["validationIndicatorCol"] = "is_valid"

@@ -76,7 +76,7 @@ def search(
         raise ValueError(f"unknown direction {direction!r}")
     spark = processed.sparkSession
     rows = materialize(processed, "search")
-    space = {**RANGES[model.booster], **(ranges or {})} if ranges is None or ranges else {}
+    space = {**RANGES[model.booster], **(ranges or {})}
     rng = np.random.default_rng(seed)
     plans = [dict(model.hyperparameters)]
     for _ in range(n_trials - 1):
