@@ -119,13 +119,13 @@ def document_rows(spark, sf):
     )
 
 
-def price_rows(spark, sf):
+def charge_rows(spark, sf):
     return table(spark, sf, "lineitem").select(
         "l_quantity",
+        "l_extendedprice",
         "l_discount",
         "l_tax",
-        F.col("l_linenumber").cast("double").alias("l_linenumber"),
-        F.col("l_extendedprice").alias("price"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("charge"),
         _split_by("l_orderkey"),
     )
 
@@ -150,16 +150,16 @@ def m_train_score_multiclass(spark, sf):
 
 @register()
 def m_train_score_regression(spark, sf):
-    rows = materialize(price_rows(spark, sf), "train")
-    model = Model("regression", "price", hyperparameters=_SMALL_TREES).fit(rows)
-    return model.predict(rows).select("split", "price", "prediction")
+    rows = materialize(charge_rows(spark, sf), "train")
+    model = Model("regression", "charge", hyperparameters=_SMALL_TREES).fit(rows)
+    return model.predict(rows).select("split", "charge", "prediction")
 
 
 @register("SELECT true AS better_than_mean, true AS same_after_load, count(*) AS num_rows FROM lineitem")
 def m_linear_saved(spark, sf):
-    """A linear model explains the price; saved and loaded it predicts the same."""
-    rows = price_rows(spark, sf)
-    model = Model("regression", "price", booster="gblinear", hyperparameters={"n_estimators": 10}).fit(rows)
+    """A linear model explains the charge; saved and loaded it predicts the same."""
+    rows = charge_rows(spark, sf)
+    model = Model("regression", "charge", booster="gblinear", hyperparameters={"n_estimators": 10}).fit(rows)
     root = scratch_path(spark, "models")
     model.save(spark, root, "one")
     again = Model.load(spark, root, "one")
@@ -175,7 +175,7 @@ def m_linear_saved(spark, sf):
 @register("SELECT 'reg:logistic' AS objective, true AS within_bounds, count(*) AS num_rows FROM lineitem UNION ALL SELECT 'binary:hinge', true, count(*) FROM labels")
 def m_objectives(spark, sf):
     """Fractional targets by a logistic regression, and a hinge-loss classifier."""
-    share = price_rows(spark, sf).withColumn("share", F.col("l_quantity") / 60.0).drop("l_quantity")
+    share = charge_rows(spark, sf).withColumn("share", F.col("l_quantity") / 60.0).drop("l_quantity")
     logistic = Model("regression", "share", "reg:logistic").fit(share)
     a = logistic.predict(share).agg(F.bool_and(F.col("prediction").between(0.0, 1.0)).alias("within_bounds"), F.count(F.lit(1)).alias("num_rows"))
     docs = materialize(document_rows(spark, sf), "train")
@@ -186,8 +186,8 @@ def m_objectives(spark, sf):
 
 @register()
 def m_importances(spark, sf):
-    rows = materialize(price_rows(spark, sf), "train")
-    return Model("regression", "price", hyperparameters=_SMALL_TREES).fit(rows).importances(spark)
+    rows = materialize(charge_rows(spark, sf), "train")
+    return Model("regression", "charge", hyperparameters=_SMALL_TREES).fit(rows).importances(spark)
 
 
 @register()

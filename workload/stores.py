@@ -117,7 +117,7 @@ def _exploded(df):
 
 
 @register(_EMBED_SQL + """
-SELECT d.doc_id, s.slot::INT AS slot, round(coalesce(n, 0) / len, 4) AS value
+SELECT d.doc_id, s.slot::INT AS slot, round(CAST(coalesce(n, 0) / len AS FLOAT)::DOUBLE, 4) AS value
 FROM d JOIN l USING (doc_id), range(16) AS s(slot) LEFT JOIN c ON c.doc_id = d.doc_id AND c.slot = s.slot
 UNION ALL SELECT doc_id, NULL, NULL FROM d WHERE text IS NULL
 """)
