@@ -90,10 +90,23 @@ class RangeCuts:
         return bucketizer.transform(df.withColumn(f"{name}_pos", pos)).drop(f"{name}_pos")
 
 
+def assign_ranges(df: DataFrame, key: str, name: str, ranges: int | None = None) -> DataFrame:
+    """Adds a range number that never decreases with the key; equal keys share a range.
+
+    Types without an exact position, text above all, are cut by Spark's own range partitioning, which samples whole keys
+    and so stays balanced when they share long prefixes. The result is written, because another run would sample anew.
+    """
+    if exact_position(df.schema[key].dataType):
+        pos = position(df, key)
+        return RangeCuts.of(df, pos, ranges).assign(df, pos, name)
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(min(n, MAX_RANGES), F.col(quote(key)).asc_nulls_first())
+    return cut_lineage(placed.withColumn(name, F.spark_partition_id().cast("double")))
+
+
 def running_total(df: DataFrame, key: str, totals: Mapping[str, Column], ranges: int | None = None) -> DataFrame:
     """For a frame with unique keys: the sums of ``totals`` over all rows with a smaller key, added as columns."""
-    pos = position(df, key)
-    bucketed = RangeCuts.of(df, pos, ranges).assign(df, pos, "_range")
+    bucketed = assign_ranges(df, key, "_range", ranges)
     names = list(totals)
     inner = [totals[n].alias(f"_v{i}") for i, n in enumerate(names)]
     valued = bucketed.select("*", *inner)

@@ -45,6 +45,7 @@ class Dataset:
         self.root = root
         self.raw_statistics = Statistics()
         self.processed_statistics = Statistics()
+        self.profile = Statistics()
         self.categories: dict[str, Categories] = {}
         self._stores: dict[str, FeatureStore] = {}
 
@@ -284,7 +285,7 @@ class Dataset:
         """Statistics of the processed table, e.g. for its profile."""
         names = [c for c in processed.columns if c != "split"]
         found = fit_statistics(processed, names, train=F.col("split") == "train", stats=ALL_STATS)
-        self.processed_statistics.update(found)
+        self.profile = found
         return found
 
     def read_segment(self, processed: DataFrame, name: str = "all", all_columns: bool = False) -> DataFrame:
@@ -298,6 +299,7 @@ class Dataset:
             "columns": [c.to_dict() for c in self.columns],
             "raw": self.raw_statistics.to_json(),
             "processed": self.processed_statistics.to_json(),
+            "profile": self.profile.to_json(),
             "categories": {c: {"values": v.values, "path": v.path} for c, v in self.categories.items()},
             "root": self.root,
             "run_date": self.run_date.isoformat() if self.run_date else None,
@@ -312,6 +314,7 @@ class Dataset:
         out = cls([ColumnSpec(**c) for c in state["columns"]], features=features, embedders=embedders, run_date=run_date, root=state["root"])
         out.raw_statistics = Statistics.from_json(state["raw"])
         out.processed_statistics = Statistics.from_json(state["processed"])
+        out.profile = Statistics.from_json(state["profile"])
         for c, kept in state["categories"].items():
             table = spark.read.parquet(kept["path"]) if kept["path"] else None
             out.categories[c] = Categories(kept["values"], table, kept["path"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabflow.functions.columns import quote
 from tabflow.operators.inspect import is_unique
 from tabflow.operators.query import sort_order
+from tabflow.session import cut_lineage
 from tabflow.sources.store import Store, WriteResult
 
 
@@ -68,12 +69,16 @@ class FeatureStore:
         return self.read().join(keys.select(quote(on)), on, "left_semi")
 
     def write(self, rows: DataFrame) -> WriteResult:
-        """Replaces nothing: adds the rows. A stored primary key must be unique, or the join in transform adds rows."""
-        result = self.store.append(rows)
+        """Adds the rows. A repeated primary key would multiply rows in the join of ``transform``, so it is refused
+        before anything is written; stored keys are only compared with the new ones, not shuffled again."""
         key = self.feature.primary_key
-        if result.mode != "skipped" and key and key in rows.columns and not is_unique(self.store.read().select(quote(key)), [key]):
-            raise FeatureError(f"feature {self.feature.name}: the stored key {key} is not unique")
-        return result
+        if key and key in rows.columns:
+            rows = cut_lineage(rows)
+            if not is_unique(rows.select(quote(key)), [key]):
+                raise FeatureError(f"feature {self.feature.name}: fit gave the key {key} more than once")
+            if not self.is_empty() and not rows.select(quote(key)).join(self.read().select(quote(key)), key, "left_semi").isEmpty():
+                raise FeatureError(f"feature {self.feature.name}: some keys are stored already")
+        return self.store.append(rows)
 
 
 def build_batch(df: DataFrame, feature: Feature, start, end) -> DataFrame:

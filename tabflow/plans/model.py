@@ -84,6 +84,7 @@ class Model:
         self.early_stopping, self.seed, self.version = early_stopping, seed, version
         self.pipeline: PipelineModel | None = None
         self.classes: int | None = None
+        self.widths: dict[str, int] = {}
 
     # ------------------------------------------------------------ training
 
@@ -123,6 +124,10 @@ class Model:
         if holes:
             raise NotTrainable(f"training data holds NULLs in {holes}")
         self.check_objective(df)
+        vectors = [c for c in self.features if isinstance(df.schema[c].dataType, T.ArrayType)]
+        if vectors:
+            sizes = df.agg(*[F.max(F.size(quote(c))).alias(f"w{i}") for i, c in enumerate(vectors)]).first()
+            self.widths = {c: sizes[f"w{i}"] for i, c in enumerate(vectors)}
         if "split" in df.columns:
             df = df.filter(F.col("split").isin("train", "valid") if self._validates() else F.col("split") == "train")
         self.pipeline = self.estimator().fit(self.training_frame(df))
@@ -227,21 +232,21 @@ class Model:
         return passes(metrics[metric], threshold, direction)
 
     def importances(self, spark: SparkSession) -> DataFrame:
-        """feature, importance; 0 for an input the model does not use. One row per input column or vector element."""
+        """feature, importance; 0 for an input the model does not use. A vector input has one row per element."""
         stage = self._stage()
         models = getattr(stage, "models", None) or [stage]
-        total: dict[int, float] = {}
+        total = [0.0] * len(self._slots())
         for m in models:
-            values = (m.featureImportances if hasattr(m, "featureImportances") else m.coefficients).toArray()
-            for i, v in enumerate(values):
-                total[i] = total.get(i, 0.0) + abs(float(v)) / len(models)
-        names = self._slots(len(total))
-        return spark.createDataFrame([(names[i], total[i]) for i in sorted(total)], "feature string, importance double")
-
-    def _slots(self, width: int) -> list[str]:
-        if width == len(self.features):
-            return list(self.features)
-        return [f"slot_{i}" for i in range(width)]
+            for i, v in enumerate(_weights(m)):
+                total[i] += abs(float(v)) / len(models)
+        return spark.createDataFrame(list(zip(self._slots(), total)), "feature string, importance double")
+
+    def _slots(self) -> list[str]:
+        out: list[str] = []
+        for c in self.features:
+            width = self.widths.get(c)
+            out += [c] if width is None else [f"{c}_{i}" for i in range(width)]
+        return out
 
     # ------------------------------------------------------------ storage
 
@@ -260,6 +265,7 @@ class Model:
             "seed": self.seed,
             "early_stopping": self.early_stopping,
             "version": version,
+            "widths": self.widths,
         }
         spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
         return path
@@ -268,11 +274,21 @@ class Model:
     def load(cls, spark: SparkSession, root: str, version: str) -> Model:
         path = f"{root}/version={version}"
         config = json.loads(spark.read.option("wholetext", True).text(f"{path}/config").first().value)
+        widths = config.pop("widths")
         out = cls(**config)
+        out.widths = widths
         out.pipeline = PipelineModel.load(f"{path}/pipeline")
         return out
 
 
+def _weights(model) -> list[float]:
+    if hasattr(model, "featureImportances"):
+        return model.featureImportances.toArray().tolist()
+    if hasattr(model, "coefficientMatrix"):
+        return abs(model.coefficientMatrix.toArray()).mean(axis=0).tolist()
+    return model.coefficients.toArray().tolist()
+
+
 def score(df: DataFrame, dataset: Dataset, model: Model) -> DataFrame:
     """Raw rows to predictions: raw input, normalised input, value, probabilities and model version, in one plan.
 

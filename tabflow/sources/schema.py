@@ -29,8 +29,8 @@ TypeMap = dict[str, tuple[str, str | None]]
 # ---------------------------------------------------------------- unification across files
 
 
-def file_schemas(spark: SparkSession, path: str | list[str]) -> list[tuple[T.StructType, list[str]]]:
-    """Distinct Parquet schemas below a folder with the files of each. Footers are read in tasks, not on the driver."""
+def footer_schemas(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, schema (JSON) of every Parquet file below a folder. Footers are read in tasks, not on the driver."""
 
     def footers(batches):
         from pyarrow import fs, parquet
@@ -45,23 +45,25 @@ def file_schemas(spark: SparkSession, path: str | list[str]) -> list[tuple[T.Str
                 found.append(from_arrow_schema(schema, prefer_timestamp_ntz=True).json())
             yield pd.DataFrame({"path": batch["path"], "schema": found})
 
-    listed = paths.list_files(spark, path, "*.parquet").select("path")
-    rows = (
-        listed.mapInPandas(footers, "path string, schema string")
-        .groupBy("schema")
-        .agg(F.sort_array(F.collect_list("path")).alias("files"))
-        .collect()
-    )
-    groups = [(T.StructType.fromJson(json.loads(r.schema)), list(r.files)) for r in rows]
-    return sorted(groups, key=lambda g: g[1][0])
+    return paths.list_files(spark, path, "*.parquet").select("path").mapInPandas(footers, "path string, schema string")
 
 
 def scan_unified(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Parquet files with differing schemas as one frame: shared columns only, each with its widened type."""
-    groups = file_schemas(spark, path)
+    """Parquet files with differing schemas as one frame: shared columns only, each with its widened type.
+
+    Where all files agree, which is usual, the folder is read as it is. Otherwise each schema's files are one scan.
+    """
+    footers = footer_schemas(spark, path)
+    groups = footers.groupBy("schema").agg(F.count(F.lit(1)).alias("n")).collect()
     if not groups:
         raise FileNotFoundError(f"no Parquet file below {path}")
-    return unify([spark.read.schema(schema).parquet(*files) for schema, files in groups])
+    if len(groups) == 1:
+        schema = T.StructType.fromJson(json.loads(groups[0]["schema"]))
+        return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").schema(schema).parquet(path)
+    # Only file names come to the driver, where a scan of many files keeps them in any case.
+    rows = footers.groupBy("schema").agg(F.sort_array(F.collect_list("path")).alias("files")).collect()
+    rows.sort(key=lambda r: r.files[0])
+    return unify([spark.read.schema(T.StructType.fromJson(json.loads(r["schema"]))).parquet(*r.files) for r in rows])
 
 
 def unify(frames: Sequence[DataFrame]) -> DataFrame:

@@ -22,6 +22,7 @@ from tabflow.session import cut_lineage
 from tabflow.sources import paths
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+MAX_FOLDERS = 10_000
 ROWS_PER_FILE = 5_000_000
 
 
@@ -73,11 +74,13 @@ class Store:
         return reader.parquet(self._current())
 
     def between(self, low: int, high: int) -> DataFrame:
-        """Rows with the key in [low, high]. In a partitioned store only the folders of that range are opened."""
+        """Rows with the key in [low, high]. Only the folders of that range are opened, and those rows' files that were
+        written without a partition number; there Parquet's minimum and maximum skip the rest."""
         df = self.read()
         if self.partition_size and "partition" in df.columns:
             first, last = low // self.partition_size + 1, high // self.partition_size + 1
-            df = df.filter(F.col("partition").between(first, last))
+            number = F.col("partition").cast("long")
+            df = df.filter(number.isNull() | number.between(first, last))
         return df.filter(F.col(quote(self.key)).between(low, high)).drop("partition")
 
     def query(self, filter: Column | str | None = None, **verbs) -> DataFrame:
@@ -98,32 +101,37 @@ class Store:
             df.write.mode("append").parquet(self._current())
             return WriteResult("append")
         reason = self._unpartitionable(df)
-        if reason:
-            df.write.mode("append").parquet(self._current())
-            return WriteResult("append", reason)
-        self._partitioned(df).write.mode("append").partitionBy("partition").parquet(self._current())
-        return WriteResult("partitioned")
+        if reason is None:
+            number = key_partition(F.col(quote(self.key)), self.partition_size)
+        else:
+            # Same layout, so that readers see these rows next to partitioned ones.
+            number = F.lit(None).cast("long")
+        rows = df.withColumn("partition", number)
+        if self.key in df.columns:
+            # Few files per folder, and a folder with much of the table is written by several tasks.
+            order = [F.col("partition"), F.col(quote(self.key))]
+            rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows.write.mode("append").partitionBy("partition").parquet(self._current())
+        return WriteResult("partitioned" if reason is None else "append", reason)
 
     def _unpartitionable(self, df: DataFrame) -> str | None:
+        """Why rows cannot be put into folders by key. Rows without a key are no reason: they get the NULL folder."""
         if self.key is None:
             return "no key is configured"
         if self.key not in df.columns:
             return f"the key {self.key} is not in the frame"
         t = df.schema[self.key].dataType
-        if is_integer(t):
-            return None
         if isinstance(t, (T.ArrayType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
             return f"the key {self.key} is no whole number"
         c = F.col(quote(self.key))
-        whole = c.try_cast("decimal(38,6)")
-        odd = df.filter(c.isNotNull() & (whole.isNull() | (whole != F.floor(whole)))).limit(1)
-        return None if odd.isEmpty() else f"the key {self.key} is no whole number"
-
-    def _partitioned(self, df: DataFrame) -> DataFrame:
-        """Rows without a key go to the NULL partition. Range partitioning writes few files per folder, and cuts a
-        folder that holds much of the table into several tasks."""
-        part = df.withColumn("partition", key_partition(F.col(quote(self.key)), self.partition_size))
-        return part.repartitionByRange(F.col("partition"), F.col(quote(self.key)))
+        number = c.try_cast("decimal(38,6)")
+        odd = F.lit(False) if is_integer(t) else c.isNotNull() & (number.isNull() | (number != F.floor(number)))
+        ends = df.agg(F.count_if(odd).alias("odd"), F.min(number).alias("low"), F.max(number).alias("high")).first()
+        if ends.odd:
+            return f"the key {self.key} is no whole number"
+        if ends.low is not None and (ends.high - ends.low) // self.partition_size >= MAX_FOLDERS:
+            return f"the keys span more than {MAX_FOLDERS} partitions; raise the partition size"
+        return None
 
     def append_new(self, df: DataFrame, order_by: list[str] | None = None) -> WriteResult:
         """Adds only rows whose key is not stored yet; of several rows with one key the first by ``order_by``.
