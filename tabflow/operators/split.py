@@ -66,6 +66,20 @@ class DateSplitter:
         return df.withColumn("split", F.when(c < valid, "train").when(c < test, "valid").otherwise("test"))
 
 
+    def rows(self, df: DataFrame, name: str) -> DataFrame:
+        """One segment by plain comparisons of the date, which reach the scan; a filter on the label does not."""
+        if self.bounds is None:
+            self.fit(df)
+        if name not in SEGMENTS:
+            raise ValueError(f"unknown segment {name!r}")
+        df = self._dated(df)
+        kind = df.schema[self.date_col].dataType
+        c = F.col(quote(self.date_col))
+        valid, test = (F.lit(b).cast("timestamp_ntz").cast(kind) for b in self.bounds)
+        wanted = {"train": c < valid, "valid": (c >= valid) & (c < test), "test": (c >= test) | c.isNull()}[name]
+        return df.filter(wanted).withColumn("split", F.lit(name))
+
+
 _HASH_BITS = 62
 _STEP_BITS = 16
 _FEW_ROWS = 100_000

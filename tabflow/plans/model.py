@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,12 +107,15 @@ class Model:
         ]
 
     def matrix(self, df: DataFrame) -> DataFrame:
-        """The frame with its inputs as numbers (booleans 0/1, vectors for embeddings), the target and the weight."""
+        """The frame with its inputs as numbers: booleans 0/1, vectors for embeddings, NaN for what is missing."""
         out = []
         for name in self.features:
             c = F.col(quote(name))
-            vector = isinstance(df.schema[name].dataType, T.ArrayType)
-            out.append((array_to_vector(c.cast("array<double>")) if vector else c.cast("double")).alias(f"in_{name}"))
+            if name in self.widths:
+                empty = F.array_repeat(F.lit(float("nan")), self.widths[name])
+                out.append(array_to_vector(F.coalesce(c.cast("array<double>"), empty)).alias(f"in_{name}"))
+            else:
+                out.append(F.coalesce(c.cast("double"), F.lit(float("nan"))).alias(f"in_{name}"))
         return df.select("*", *out)
 
     def fit(self, processed: DataFrame) -> Model:
@@ -148,8 +153,11 @@ class Model:
         return df.withColumn("is_valid", F.col("split") == "valid") if self._validates() else df
 
     def estimator(self) -> Pipeline:
-        assembler = VectorAssembler(inputCols=[f"in_{c}" for c in self.features], outputCol="features", handleInvalid="error")
-        return Pipeline(stages=[assembler, self._learner()])
+        """Training rows are checked for NULLs beforehand. Rows to be scored may lack inputs: they are kept, and NaN takes
+        the upper branch of every tree, so one incomplete row does not fail the job."""
+        hints = [VectorSizeHint(inputCol=f"in_{c}", size=n, handleInvalid="optimistic") for c, n in self.widths.items()]
+        assembler = VectorAssembler(inputCols=[f"in_{c}" for c in self.features], outputCol="features", handleInvalid="keep")
+        return Pipeline(stages=[*hints, assembler, self._learner()])
 
     def _learner(self):
         h = self.hyperparameters
@@ -208,6 +216,11 @@ class Model:
         scored = self.pipeline.transform(self.matrix(df))
         probabilities = self._probabilities(scored)
         prediction = F.col("prediction")
+        if self.booster == "gblinear" or self.objective in ("binary:hinge", "reg:logistic"):
+            # A sum has no value where a part is missing.
+            missing = reduce(or_, [F.col(quote(c)).isNull() for c in self.features])
+            prediction = F.when(~missing, prediction)
+            probabilities = None if probabilities is None else F.when(~missing, probabilities).alias("probabilities")
         if self.task == "classification":
             prediction = prediction.cast("int")
         out = scored.select(*[F.col(quote(c)) for c in df.columns], prediction.alias("prediction"), *([probabilities] if probabilities is not None else []))
