@@ -47,13 +47,10 @@ def text_key(c: Column) -> Column:
 
 
 def distinct_texts(df: DataFrame, column: str) -> DataFrame:
-    """text_key, text of the distinct, non-null, non-empty values.
-
-    Grouping by the key combines copies in the map tasks; equal keys have equal texts, so any one of them will do.
-    """
+    """text_key, text of the distinct, non-null, non-empty values. Copies are combined in the map tasks by hashing."""
     c = F.col(quote(column))
     texts = df.select(c.alias("text")).filter(c.isNotNull() & (c != ""))
-    return texts.withColumn("text_key", text_key(F.col("text"))).dropDuplicates(["text_key"])
+    return texts.select(text_key(F.col("text")).alias("text_key"), "text").distinct()
 
 
 def embed_texts(texts: DataFrame, embedder: Embedder, batch_rows: int = 500) -> DataFrame:
@@ -103,7 +100,11 @@ def attach(df: DataFrame, column: str, vectors: DataFrame, name: str | None = No
     """Left join of the vectors on the text. Keys of ``vectors`` are unique, so the number of rows stays."""
     name = name or embedding_name(column)
     found = vectors.select(F.col("text_key").alias("_key"), F.col("embedding").alias("_vector"))
-    joined = df.withColumn("_text_key", text_key(F.col(quote(column)))).join(found, F.col("_text_key") == F.col("_key"), "left")
+    c = F.col(quote(column))
+    # Rows without text match nothing; short keys of their own spread them instead of sending them to one task.
+    nothing = F.encode(F.concat(F.lit("none-"), F.pmod(F.spark_partition_id(), F.lit(1000)).cast("string")), "UTF-8")
+    key = F.when(c != "", text_key(c)).otherwise(nothing)
+    joined = df.withColumn("_text_key", key).join(found, F.col("_text_key") == F.col("_key"), "left")
     vector = F.coalesce(F.col(quote(name)), F.col("_vector")) if name in df.columns else F.col("_vector")
     return joined.select(*[F.col(quote(c)) for c in df.columns if c != name], vector.alias(name))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabflow.functions.columns import quote
-from tabflow.operators.ordering import RangeCuts, exact_position, position
+from tabflow.operators.ordering import MAX_RANGES, RangeCuts, exact_position, position
 
 HOT_ROWS = 5_000_000
 MAX_HOT_GROUPS = 1000
@@ -79,7 +79,7 @@ def with_earlier(
 
 
 def _cut_groups(df: DataFrame, is_hot: Column, order: Sequence[str]) -> DataFrame:
-    """Adds ``_range``: a pair that never decreases in the given order, and the same pair for all rows of other groups.
+    """Adds ``_range``: a number that never decreases in the given order, and the same one for all rows of other groups.
 
     The second part cuts the rows that share one frequent value of the first order column by the second one.
     """
@@ -87,14 +87,14 @@ def _cut_groups(df: DataFrame, is_hot: Column, order: Sequence[str]) -> DataFram
     pos = position(df, order[0])
     cuts = RangeCuts.of(hot_rows, pos)
     df = cuts.assign(df, pos, "_cut")
-    sub = F.lit(0.0)
+    sub = F.lit(0)
     if cuts.heavy and len(order) > 1 and exact_position(df.schema[order[0]].dataType):
         frequent = pos.isin(cuts.heavy)
         pos2 = position(df, order[1])
         df = RangeCuts.of(hot_rows.filter(frequent), pos2).assign(df, pos2, "_sub")
         sub = F.when(frequent, F.col("_sub")).otherwise(sub)
-    first = F.when(is_hot, F.col("_cut")).otherwise(F.lit(-1.0))
-    return df.withColumn("_range", F.struct(first.alias("a"), F.when(is_hot, sub).otherwise(F.lit(0.0)).alias("b")))
+    number = F.col("_cut").cast("long") * (4 * MAX_RANGES) + sub
+    return df.withColumn("_range", F.when(is_hot, number).otherwise(F.lit(-1).cast("long")))
 
 
 def _any_of(c: Column, values: list) -> Column:

@@ -84,10 +84,10 @@ class RangeCuts:
         from pyspark.ml.feature import Bucketizer
 
         if not self.cuts:
-            return df.withColumn(name, F.lit(0.0))
+            return df.withColumn(name, F.lit(0))
         splits = [-math.inf, *self.cuts, math.inf]
         bucketizer = Bucketizer(splits=splits, inputCol=f"{name}_pos", outputCol=name, handleInvalid="keep")
-        return bucketizer.transform(df.withColumn(f"{name}_pos", pos)).drop(f"{name}_pos")
+        return bucketizer.transform(df.withColumn(f"{name}_pos", pos)).drop(f"{name}_pos").withColumn(name, F.col(name).cast("int"))
 
 
 def assign_ranges(df: DataFrame, key: str, name: str, ranges: int | None = None) -> DataFrame:
@@ -101,7 +101,7 @@ def assign_ranges(df: DataFrame, key: str, name: str, ranges: int | None = None)
         return RangeCuts.of(df, pos, ranges).assign(df, pos, name)
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(min(n, MAX_RANGES), F.col(quote(key)).asc_nulls_first())
-    return cut_lineage(placed.withColumn(name, F.spark_partition_id().cast("double")))
+    return cut_lineage(placed.withColumn(name, F.spark_partition_id()))
 
 
 def running_total(df: DataFrame, key: str, totals: Mapping[str, Column], ranges: int | None = None) -> DataFrame:
@@ -137,7 +137,7 @@ def global_rank(df: DataFrame, key: str, name: str = "rank", descending: bool =
     alone = no_key | F.col("_pos").isin(cuts.heavy) if cuts.heavy else no_key
     bucketed = bucketed.withColumns(
         {
-            "_range": F.when(no_key, F.lit(float(MAX_RANGES * 2 if descending else -1))).otherwise(F.col("_range")),
+            "_range": F.when(no_key, F.lit(2 * MAX_RANGES + 2 if descending else -1)).otherwise(F.col("_range")),
             "_spread": F.when(alone, F.pmod(F.spark_partition_id(), F.lit(64))).otherwise(F.lit(0)),
         }
     )

@@ -93,6 +93,14 @@ def scan_parquet(
     return df
 
 
+def scan_stream(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
+    """Parquet files of a folder as a stream; a run with ``availableNow`` reads the files that no run has read yet."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
+
+
 def _csv_headers(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
     """Distinct header lines and the files that carry each; every file's first line is read in a task."""
 

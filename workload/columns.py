@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabflow.operators.encode import decode, encode_one_hot, encode_ordinal, explode_embedding
 from tabflow.operators.impute import impute
 from tabflow.operators.stats import Statistics, allowed_categories, category_counts, fit_categories, fit_statistics, label_table
-from workload.registry import EVENTS_SQL, holed_events, register, table
+from workload.registry import EVENTS_SQL, half_up, holed_events, register, table
 
 
 def _in_train():
@@ -25,7 +25,7 @@ def a_numeric_stats(spark, sf):
     stats = ("num_rows", "null_count", "mean", "median", "min", "max", "std")
     s = fit_statistics(table(spark, sf, "lineitem").select(*names), names, stats=stats)
     rows = [
-        (c, v["num_rows"], v["null_count"], round(v["mean"], 4), float(v["median"]), float(v["min"]), float(v["max"]), round(v["std"], 4))
+        (c, v["num_rows"], v["null_count"], half_up(v["mean"], 4), float(v["median"]), float(v["min"]), float(v["max"]), half_up(v["std"], 4))
         for c, v in s.columns.items()
     ]
     return spark.createDataFrame(
@@ -71,7 +71,7 @@ UNION ALL SELECT 'o_totalprice', 'most_frequent_value', (SELECT CAST(o_totalpric
 def a_profile(spark, sf):
     stats = ("num_rows", "null_count", "mean", "unique_count", "most_frequent_value")
     s = fit_statistics(table(spark, sf, "orders"), ["o_totalprice", "o_orderstatus"], stats=stats)
-    rounded = Statistics({c: {k: round(x, 2) if k == "mean" else x for k, x in v.items()} for c, v in s.columns.items()})
+    rounded = Statistics({c: {k: half_up(x, 2) if k == "mean" else x for k, x in v.items()} for c, v in s.columns.items()})
     return rounded.to_frame(spark)
 
 

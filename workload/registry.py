@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def every(n: int, column: str, key: str):
     return F.when(F.col(key) % n != 0, F.col(column))
 
 
+def half_up(value: float, places: int) -> float:
+    """Rounded as SQL rounds: halves of the written number go up."""
+    return float(Decimal(repr(value)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+
+
 # Events with NULLs by rule and a rule-based split; the same rules in SQL.
 EVENTS_SQL = """
 WITH ev AS (

@@ -8,7 +8,7 @@ from tabflow.operators.stats import fit_statistics
 from tabflow.session import scratch_path
 from tabflow.sources.files import Source, convert_to_parquet, scan_csv, scan_parquet
 from tabflow.sources.schema import fingerprint, improve, infer_types, scan_unified
-from workload.registry import register, table
+from workload.registry import half_up, register, table
 
 
 @register("SELECT r_regionkey, r_name FROM region")
@@ -140,5 +140,5 @@ def s_view_then_stats(spark, sf):
     view = "SELECT o_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM {source} GROUP BY o_custkey"
     rows = Source(frame=table(spark, sf, "orders"), view=view).read(spark)
     s = fit_statistics(rows, ["orders", "total"], stats=("num_rows", "mean", "max"))
-    out = [(c, v["num_rows"], round(v["mean"], 4), float(v["max"])) for c, v in s.columns.items()]
+    out = [(c, v["num_rows"], half_up(v["mean"], 4), float(v["max"])) for c, v in s.columns.items()]
     return spark.createDataFrame(out, "column string, num_rows long, mean double, max double")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabflow.session import scratch_path
+from tabflow.sources.files import scan_stream
 from tabflow.sources.store import Store
 from tabflow.streaming.append import dedupe_stream, stream_append
 from tabflow.streaming.score import stream_normalize, stream_score
@@ -12,8 +13,7 @@ from workload.registry import holed_events, register, table
 
 
 def arriving(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return scan_stream(spark, sf, table(spark, sf, name).schema, pattern=f"{name}.parquet")
 
 
 @register("""
