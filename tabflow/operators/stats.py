@@ -2,14 +2,15 @@
 
 All statistics with a fixed-size state are one aggregation over one scan. Distinct counts and modes come from one shared
 value table (one shuffle, combined in the map tasks). Medians are exact without holding a column's values anywhere: the
-range that holds the middle rank is narrowed with quantile sketches, every step is checked by counting, and only the last
-small range is read. So no step needs memory that grows with the table.
+range that holds the middle rank is narrowed with quantile sketches of samples, every step is checked by counting all
+rows, and only the last small range is read. So no step needs memory that grows with the table.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -30,6 +31,7 @@ ALL_STATS = (*ONE_PASS, "median", *FROM_VALUES)
 _MEDIAN_AT_ONCE = 1_000_000
 _LAST_RANGE = 100_000
 _SKETCH = 10_000
+_SAMPLE = 2_000_000
 _LONG_TEXT = 64
 
 
@@ -188,7 +190,8 @@ def exact_medians(
             for i, r in enumerate(last):
                 r.value = row[f"v{i}"]
             continue
-        guesses = df.agg(*[r.guess().alias(f"g{i}") for i, r in enumerate(open_ranks)]).first()
+        sampled = df.withColumn("_u", F.rand(len(open_ranks)))
+        guesses = sampled.agg(*[r.guess(F.col("_u")).alias(f"g{i}") for i, r in enumerate(open_ranks)]).first()
         checks = df.agg(*[r.check(guesses[f"g{i}"]).alias(f"c{i}") for i, r in enumerate(open_ranks)]).first()
         for i, r in enumerate(open_ranks):
             r.narrow(guesses[f"g{i}"], checks[f"c{i}"])
@@ -216,11 +219,16 @@ class _RankRange:
             held = held & (self.column < F.lit(self.high))
         return held
 
-    def guess(self) -> Column:
-        """Two values of the interval that lie closely around the rank, by a sketch."""
+    def guess(self, u: Column) -> Column:
+        """Two values of the interval that probably enclose the rank, by a sketch of a sample of the interval."""
+        sample = min(self.inside, _SAMPLE)
         share, slack = (self.rank - self.below) / self.inside, 2.0 / self.sketch
+        picked = self._within()
+        if sample < self.inside:
+            slack += 2.0 / math.sqrt(sample)
+            picked = picked & (u < sample / self.inside)
         ends = [max(0.0, share - slack), min(1.0, share + slack)]
-        return F.percentile_approx(F.when(self._within(), self.column), ends, self.sketch)
+        return F.percentile_approx(F.when(picked, self.column), ends, self.sketch)
 
     def check(self, ends: Sequence[Any]) -> Column:
         """Exact row counts below and at both values; the next interval rests on these, not on the sketch."""

@@ -12,7 +12,9 @@ from tabflow.operators.split import DateSplitter
 from tabflow.plans.columns import ColumnSpec
 from tabflow.plans.dataset import Dataset
 from tabflow.plans.features import Feature, FeatureList, build_batch
+from tabflow.plans.refresh import refresh
 from tabflow.session import scratch_path
+from tabflow.sources.files import Source
 from tabflow.sources.store import read_snapshot, snapshot_versions, write_snapshot
 from workload.registry import EVENTS_SQL, holed_events, register, table
 
@@ -331,6 +333,31 @@ def d_snapshots(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+@register("""
+WITH b AS (SELECT max(o_orderdate)::DATE - INTERVAL 2 MONTH AS test_start, max(o_orderdate)::DATE - INTERVAL 4 MONTH AS valid_start FROM orders),
+o AS (SELECT o_orderkey, CASE WHEN o_orderdate < valid_start THEN 'train' WHEN o_orderdate < test_start THEN 'valid' ELSE 'test' END AS split,
+             CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price, o_orderstatus FROM orders, b),
+k AS (SELECT o_orderstatus AS s, row_number() OVER (ORDER BY o_orderstatus) - 1 AS label FROM (SELECT DISTINCT o_orderstatus FROM o WHERE split = 'train'))
+SELECT o_orderkey, split, coalesce(price, (SELECT median(price) FROM o WHERE split = 'train')) AS o_totalprice,
+       coalesce(label, (SELECT count(*) FROM k)) AS o_orderstatus
+FROM o LEFT JOIN k ON s = o_orderstatus
+""")
+def d_refresh(spark, sf):
+    """Source to raw and processed snapshots in one job."""
+    price = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("o_totalprice")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", price, "o_orderstatus")
+    dataset = Dataset(
+        [
+            ColumnSpec("o_orderkey", "integer", is_primary_key=True),
+            ColumnSpec("o_orderdate", "datetime", is_date_column=True, hidden=True),
+            ColumnSpec("o_totalprice", "float", training={"method": "median"}),
+            ColumnSpec("o_orderstatus", "categorical", training={"method": "most_frequent", "encoding": "ordinal"}),
+        ],
+        splitter=DateSplitter("o_orderdate"),
+    )
+    return refresh(spark, Source(frame=orders), dataset, scratch_path(spark, "refresh")).processed
+
+
 @register(EVENTS_SQL + "SELECT 'user_id' AS \"column\" WHERE (SELECT count(*) FILTER (event_id % 23 = 0) FROM ev) > 0")
 def d_processed_nulls(spark, sf):
     """What still holds NULLs after imputation, before incomplete rows are dropped."""

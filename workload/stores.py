@@ -96,6 +96,15 @@ def w_append_csv(spark, sf):
     return spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
+@register("SELECT o_orderkey, o_custkey, true AS same FROM orders WHERE o_orderstatus = 'O'")
+def w_stored_against_source(spark, sf):
+    """Stored rows joined with their source on the key hold the same values."""
+    orders, store = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), Store(spark, scratch_path(spark, "store"), key="o_orderkey")
+    store.append_new(orders.filter("o_orderstatus = 'O'"))
+    stored = store.read().select("o_orderkey", F.col("o_custkey").alias("stored"))
+    return orders.join(stored, "o_orderkey").select("o_orderkey", "o_custkey", (F.col("o_custkey") == F.col("stored")).alias("same"))
+
+
 # ---------------------------------------------------------------- embeddings
 
 _EMBED_SQL = """
