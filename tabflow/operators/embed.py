@@ -186,9 +186,12 @@ class Compressor:
     def transform(self, vectors: DataFrame, column: str = "embedding") -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
-        out = self.model.transform(_as_vectors(vectors, column))
-        rest = [F.col(quote(c)) for c in vectors.columns if c != column]
-        return out.select(*rest, vector_to_array("_out", "float32").alias(column))
+        given = F.col(quote(column))
+        zeros = F.array_repeat(F.lit(0.0), self.model.pc.numRows)
+        filled = vectors.select("*", F.coalesce(given.cast("array<double>"), zeros).alias("_filled"))
+        out = self.model.transform(_as_vectors(filled, "_filled"))
+        reduced = F.when(given.isNotNull(), vector_to_array("_out", "float32")).alias(column)
+        return out.select(*[reduced if c == column else F.col(quote(c)) for c in vectors.columns])
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)

@@ -369,6 +369,7 @@ class Categories:
     values: list | None = None
     table: DataFrame | None = None
     path: str | None = None
+    mode: Any = None
 
     MAX_INLINE = 1000
 
@@ -381,40 +382,54 @@ class Categories:
 
 
 def fit_categories(df: DataFrame, minimums: Mapping[str, int], train: Column | None = None, keep_at: str | None = None) -> dict[str, Categories]:
-    """Allowed categories of several columns. One scan and shuffle for all columns; large ones are kept as tables."""
+    """Allowed categories and the most frequent value of several columns.
+
+    One scan and shuffle for all columns; what it gives, a row per distinct value, is written and then read three times.
+    """
     if not minimums:
         return {}
     rows = df if train is None else df.filter(train)
     names = list(minimums)
     entries = [F.struct(F.lit(c).alias("column"), F.col(quote(c)).cast("string").alias("value")) for c in names]
     pairs = rows.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
+    counts = cut_lineage(pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
     least = F.lit(1)
     for c in names:
         least = F.when(F.col("column") == c, F.lit(minimums[c])).otherwise(least)
-    counts = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= least)
-    counts = cut_lineage(counts)
-    sizes = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    small = [c for c in names if sizes.get(c, 0) <= Categories.MAX_INLINE]
-    out: dict[str, Categories] = {c: Categories(values=[]) for c in small}
+    allowed = counts.filter(F.col("count") >= least)
+    summary = counts.groupBy("column").agg(
+        F.count_if(F.col("count") >= least).alias("allowed"), F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("mode")
+    )
+    found = {r["column"]: r for r in summary.collect()}
+    out: dict[str, Categories] = {}
+    small = [c for c in names if c not in found or found[c].allowed <= Categories.MAX_INLINE]
+    values: dict[str, list] = {c: [] for c in small}
     if small:
-        for r in counts.filter(F.col("column").isin(*small)).select("column", "value").collect():
-            out[r["column"]].values.append(r["value"])
-    for c in small:
-        out[c].values = _sorted_as(out[c].values, df.schema[c].dataType)
-    for c in names:
-        if c not in small:
-            table = label_table(counts.filter(F.col("column") == c).select(F.col("value"), "count"))
-            path = None
-            if keep_at is not None:
-                path = f"{keep_at}/categories/{names.index(c):04d}"
-                table.write.mode("overwrite").parquet(path)
-                table = df.sparkSession.read.parquet(path)
-            out[c] = Categories(table=cut_lineage(table) if path is None else table, path=path)
+        for r in allowed.filter(F.col("column").isin(*small)).select("column", "value").collect():
+            values[r["column"]].append(r["value"])
+    for i, c in enumerate(names):
+        t = df.schema[c].dataType
+        mode = _parsed(found[c].mode, t) if c in found else None
+        if c in values:
+            out[c] = Categories(_sorted_as(values[c], t), mode=mode)
+            continue
+        table, path = label_table(allowed.filter(F.col("column") == c)), None
+        if keep_at is None:
+            table = cut_lineage(table)
+        else:
+            path = f"{keep_at}/categories/{i:04d}"
+            table.write.mode("overwrite").parquet(path)
+            table = df.sparkSession.read.parquet(path)
+        out[c] = Categories(table=table, path=path, mode=mode)
     return out
 
 
+def _parsed(text: str, t: T.DataType) -> Any:
+    return text == "true" if isinstance(t, T.BooleanType) else text
+
+
 def _sorted_as(values: list[str], t: T.DataType) -> list:
     if isinstance(t, T.BooleanType):
-        return sorted(v == "true" for v in values)
+        return sorted(_parsed(v, t) for v in values)
     # Spark orders text by its UTF-8 bytes, and so do the label tables.
     return sorted(values, key=lambda v: v.encode())

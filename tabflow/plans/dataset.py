@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tabflow.functions.columns import embedding_name, quote, safe_cast
 from tabflow.functions.types import spark_type
-from tabflow.operators.embed import Embedder, EmbeddingStore, embed_column, embed_rows
+from tabflow.operators.embed import Compressor, Embedder, EmbeddingStore, attach, distinct_texts, embed_column, embed_rows, embed_texts
 from tabflow.operators.encode import encode_ordinal, one_hot, one_hot_values
 from tabflow.operators.impute import impute
 from tabflow.operators.query import features_and_target, segment
@@ -93,20 +93,34 @@ class Dataset:
         train = F.col("split") == "train"
         given = [c for c in self.columns if not c.is_computed and c.name in rows.columns]
         rows = self._typed(rows)
-        self.raw_statistics = self._learn(rows, given, train, profile)
         self.categories = self._learn_categories(rows, given, train, f"{root}/raw")
+        self.raw_statistics = self._learn(rows, given, train, profile)
         self._stores = self.features.stores(df.sparkSession, f"{root}/features")
         self.features.fit(rows, self._stores)
         computed = [c for c in self.columns if c.is_computed]
         if computed:
             built = self._with_features(rows, inference=False)
-            self.processed_statistics = self._learn(built, computed, train, profile)
             self.categories.update(self._learn_categories(built, computed, train, f"{root}/computed"))
+            self.processed_statistics = self._learn(built, computed, train, profile)
         for c in self.columns:
             if c.encoding == "embedding" and c.name in rows.columns:
-                self._embeddings(df.sparkSession, c.name).update(rows, c.name, self.embedders[c.name])
+                self._fit_embedding(rows, c, train)
         return self
 
+    def _fit_embedding(self, rows: DataFrame, spec: ColumnSpec, train: Column) -> None:
+        """Stores vectors of all texts; with ``dimensions`` or ``preset``, also reduced ones, by a PCA of training texts."""
+        store = self._embeddings(rows.sparkSession, spec.name)
+        store.update(rows, spec.name, self.embedders[spec.name])
+        wanted = {k: spec.training.param(k) for k in ("dimensions", "preset") if spec.training.param(k) is not None}
+        if wanted:
+            texts = distinct_texts(rows.filter(train), spec.name).select("text_key")
+            pca = Compressor(**wanted).fit(store.full.read().join(texts, "text_key", "left_semi"))
+            pca.save(self._pca_path(rows.sparkSession, spec.name))
+            store.compress(pca)
+
+    def _pca_path(self, spark: SparkSession, column: str) -> str:
+        return f"{self._root(spark)}/embeddings/{column}/pca"
+
     def _root(self, spark: SparkSession) -> str:
         if self.root is None:
             self.root = scratch_path(spark, "dataset")
@@ -124,6 +138,11 @@ class Dataset:
         out = fit_statistics(rows, names, stats=_CHEAP, **common)
         for method, stat in (("median", "median"), ("most_frequent", "most_frequent_value")):
             users = [c.name for c in columns if any(s and s.method == method for s in (c.training, c.inference))]
+            if method == "most_frequent":
+                # Columns whose categories were learned have their mode from the same counts.
+                known = {c: {stat: self.categories[c].mode} for c in users if c in self.categories}
+                out.update(Statistics(known))
+                users = [c for c in users if c not in known]
             if users:
                 out.update(fit_statistics(rows, users, stats=(stat,), **common))
         return out
@@ -201,13 +220,22 @@ class Dataset:
         return EmbeddingStore(spark, f"{self._root(spark)}/embeddings/{column}")
 
     def _embed(self, df: DataFrame, column: str) -> DataFrame:
-        store = self._embeddings(df.sparkSession, column)
+        """Stored vectors by a join, new texts by the embedder."""
+        spark, params = df.sparkSession, self.column(column).training
+        store, embedder = self._embeddings(spark, column), self.embedders.get(column)
+        reduce = params.param("dimensions") is not None or params.param("preset") is not None
+        pca = Compressor.load(self._pca_path(spark, column)) if reduce else None
+        if pca is not None and not df.isStreaming:
+            vectors = store.compressed.read()
+            if embedder is not None:
+                new = distinct_texts(df, column).join(vectors.select("text_key"), "text_key", "left_anti")
+                vectors = vectors.unionByName(pca.transform(embed_texts(new, embedder)))
+            return attach(df, column, vectors)
         if not store.full.is_empty():
             df = store.attach(df, column)
-        if column not in self.embedders:
-            return df
-        new = embed_rows if df.isStreaming else embed_column
-        return new(df, column, self.embedders[column])
+        if embedder is not None:
+            df = (embed_rows if df.isStreaming else embed_column)(df, column, embedder)
+        return df if pca is None else pca.transform(df, embedding_name(column))
 
     def add_missing(self, df: DataFrame) -> DataFrame:
         """Absent input columns as typed NULLs; a one-hot parent only if not all of its virtual columns are there."""

@@ -14,7 +14,7 @@ from tabflow.plans.model import Model, NotTrainable, score
 from tabflow.plans.refresh import refresh
 from tabflow.plans.search import draw, search
 from tabflow.sources.files import Source
-from tabflow.streaming.score import stream_score
+from tabflow.streaming.score import stream_normalize, stream_score
 from tests.conftest import rows
 
 # Eight loan rows: six before February 10th, one in March, one in June; two without annual revenue.
@@ -161,6 +161,24 @@ def test_embedding_encoding(spark, scratch):
     assert len(d.normalize(new, inference=True).first().state_embedding) == 4
 
 
+def test_reduced_embeddings_in_batch_and_stream(spark, scratch):
+    words = ["red", "green", "blue", "black", "white", "grey", "pink"]
+    data = [(i, None if i == 5 else f"{words[i % 7]} {words[i % 5]}", "train" if i < 30 else "test") for i in range(40)]
+    df = spark.createDataFrame(data, "id long, t string, split string")
+    spec = ColumnSpec("t", "text", training={"encoding": "embedding", "params": {"dimensions": 3}})
+    d = Dataset([ColumnSpec("id", "integer"), spec], embedders={"t": hashing_embedder(8)}, root=scratch()).fit(df)
+    new = df.drop("split").union(spark.createDataFrame([(99, "violet")], "id long, t string"))
+    batch = {r.id: r.t_embedding for r in d.normalize(new, inference=True).collect()}
+    assert batch[5] is None and len(batch[99]) == 3 and batch[0] == batch[35] and len(batch) == 41
+    source, out = scratch(), scratch()
+    new.write.parquet(source)
+    stream_normalize(spark.readStream.schema(new.schema).parquet(source), d, out, scratch()).awaitTermination()
+    streamed = {r.id: r.t_embedding for r in spark.read.parquet(out).collect()}
+    assert streamed.keys() == batch.keys()
+    for k, v in batch.items():
+        assert streamed[k] == (None if v is None else pytest.approx(v, abs=1e-5))
+
+
 # ---------------------------------------------------------------- features
 
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tabflow.operators.embed import Compressor, EmbeddingStore, embed_column, hashing_embedder
 from tabflow.operators.inspect import same_rows
+from tabflow.plans.columns import ColumnSpec
+from tabflow.plans.dataset import Dataset
 from tabflow.session import scratch_path
 from tabflow.sources.store import Store, append_csv
 from workload.registry import register, table
@@ -135,6 +137,24 @@ def b_embed_distinct(spark, sf):
     return _exploded(embed_column(_texts(spark, sf), "text", hashing_embedder(16)))
 
 
+@register("""
+WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations),
+c AS (SELECT conv_id, turn, ('0x' || substr(md5(word), 4, 1))::INT AS slot, count(*) AS n FROM w WHERE word <> '' GROUP BY 1, 2, 3),
+l AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS len FROM c GROUP BY 1, 2)
+SELECT l.conv_id, l.turn, s.slot::INT AS slot, round(CAST(coalesce(n, 0) / len AS FLOAT)::DOUBLE, 4) AS value
+FROM l CROSS JOIN range(16) AS s(slot) LEFT JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn AND c.slot = s.slot
+""")
+def n_embedding_encode(spark, sf):
+    """A text column of a dataset replaced by the stored vectors of its distinct texts."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text").withColumn("split", F.lit("train"))
+    columns = [ColumnSpec("conv_id", "integer"), ColumnSpec("turn", "integer"), ColumnSpec("text", "text", training={"encoding": "embedding"})]
+    dataset = Dataset(columns, embedders={"text": hashing_embedder(16)}, root=scratch_path(spark, "dataset")).fit(turns)
+    ready = dataset.normalize(turns)
+    return ready.select("conv_id", "turn", F.posexplode("text_embedding").alias("slot", "value")).withColumn(
+        "value", F.round(F.col("value").cast("double"), 4)
+    )
+
+
 @register("""
 WITH d AS (SELECT doc_id, text FROM documents)
 SELECT 'known' AS step, count(DISTINCT text) AS n FROM d WHERE doc_id % 2 = 0
