@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.functions.columns import embedding_name, quote
+from tabflow.operators.lookup import lookup
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
@@ -99,12 +100,9 @@ def _needing(df: DataFrame, column: str) -> DataFrame:
 def attach(df: DataFrame, column: str, vectors: DataFrame, name: str | None = None) -> DataFrame:
     """Left join of the vectors on the text. Keys of ``vectors`` are unique, so the number of rows stays."""
     name = name or embedding_name(column)
-    found = vectors.select(F.col("text_key").alias("_key"), F.col("embedding").alias("_vector"))
+    found = vectors.select(F.col("text_key").alias("_text_key"), F.col("embedding").alias("_vector"))
     c = F.col(quote(column))
-    # Rows without text match nothing; short keys of their own spread them instead of sending them to one task.
-    nothing = F.encode(F.concat(F.lit("none-"), F.pmod(F.spark_partition_id(), F.lit(1000)).cast("string")), "UTF-8")
-    key = F.when(c != "", text_key(c)).otherwise(nothing)
-    joined = df.withColumn("_text_key", key).join(found, F.col("_text_key") == F.col("_key"), "left")
+    joined = lookup(df, F.when(c != "", text_key(c)), found, "_text_key")
     vector = F.coalesce(F.col(quote(name)), F.col("_vector")) if name in df.columns else F.col("_vector")
     return joined.select(*[F.col(quote(c)) for c in df.columns if c != name], vector.alias(name))
 

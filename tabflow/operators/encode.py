@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.columns import embedding_name, quote, virtual_name
 from tabflow.operators.impute import OTHER
+from tabflow.operators.lookup import lookup
 from tabflow.operators.stats import Categories
 
 
@@ -65,7 +66,7 @@ def encode_ordinal(df: DataFrame, column: str, categories: Categories) -> DataFr
     else:
         labels = categories.table.select(F.col("value").alias("_value"), F.col("label").alias("_label"))
         unseen = categories.table.count()
-    joined = df.join(labels, F.col(quote(column)).cast("string") == F.col("_value"), "left")
+    joined = lookup(df, F.col(quote(column)).cast("string"), labels, "_value")
     code = F.coalesce(F.col("_label"), F.lit(unseen).cast("long"))
     return joined.select([code.alias(c) if c == column else F.col(quote(c)) for c in df.columns])
 
@@ -83,7 +84,7 @@ def decode_column(df: DataFrame, column: str, categories: Categories) -> DataFra
     if categories.inline:
         return df.select([decode(F.col(quote(c)), categories).alias(c) if c == column else F.col(quote(c)) for c in df.columns])
     labels = categories.table.select(F.col("value").alias("_value"), F.col("label").alias("_label"))
-    joined = df.join(labels, F.col(quote(column)) == F.col("_label"), "left")
+    joined = lookup(df, F.col(quote(column)).cast("long"), labels, "_label")
     return joined.select([F.col("_value").alias(c) if c == column else F.col(quote(c)) for c in df.columns])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabflow.functions.columns import clip, quote
+from tabflow.operators.lookup import lookup
 from tabflow.operators.stats import Categories, Statistics
 
 OTHER = "other"
@@ -129,6 +130,5 @@ def impute(
 
 
 def _mark_known(df: DataFrame, column: str, categories: Categories) -> DataFrame:
-    # No hint: Spark broadcasts the table only if its size is below the session's threshold.
     known = categories.table.select(F.col("value").alias(f"_known_{column}"))
-    return df.join(known, F.col(quote(column)).cast("string") == F.col(quote(f"_known_{column}")), "left")
+    return lookup(df, F.col(quote(column)).cast("string"), known, f"_known_{column}")

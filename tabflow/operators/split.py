@@ -90,7 +90,7 @@ class RandomSplitter:
     """Stable pseudo-random split by a hash of the row's key.
 
     Sizes are exact, floor(n * train) and floor(n * valid) rows, wherever rows have different hashes. Without a ``key``,
-    rows of a file scan are told apart by file and row number, so copies of one row spread over the segments; other
+    rows of a Parquet scan are told apart by path and row number, so copies of one row spread over the segments; other
     frames use all columns, and copies then stay together. ``exact=False`` compares the hash with fixed thresholds,
     which needs no pass over the data and also works on a stream.
     """
@@ -116,7 +116,7 @@ class RandomSplitter:
             keyed, digest = df, row_digest(self.key, seed)
         else:
             try:
-                keyed = df.select("*", F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index"), seed).alias("_row"))
+                keyed = df.select("*", F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"), seed).alias("_row"))
                 digest = F.col("_row")
                 keyed.schema  # noqa: B018  resolves the metadata columns
             except AnalysisException:

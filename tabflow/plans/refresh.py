@@ -22,7 +22,7 @@ class Refreshed:
 def refresh(spark: SparkSession, source: Source, dataset: Dataset, root: str, version: str | None = None, improve_types: bool = False) -> Refreshed:
     """Writes a raw and a processed snapshot below ``root`` and saves the fitted state next to them.
 
-    The source is scanned once; everything after the raw snapshot reads that table, which is partitioned by split, so
+    The source is read to place the split and to write the raw snapshot; all else reads that table, partitioned by split, so
     passes over training rows open the training folder only. A model keeps working on the version it was trained with.
     """
     version = version or version_name()

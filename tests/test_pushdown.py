@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabflow.operators.inspect import same_rows
+from tabflow.operators.lookup import lookup
 from tabflow.operators.query import query
 from tabflow.operators.split import DateSplitter
 from tabflow.plans.columns import ColumnSpec
@@ -47,3 +48,19 @@ def test_normalisation_is_one_generated_stage_without_shuffle_or_python(spark):
     p = plan(Dataset(specs).fit(orders).normalize(orders))
     assert "*(1)" in p and "*(2)" not in p
     assert not any(word in p for word in ("Exchange", "Python", "Join"))
+
+
+def test_rows_without_a_key_are_spread_in_a_lookup(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(0, 4000, 1, 16).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("k"), "id")
+        known = spark.range(0, 4000, 8).select(F.col("id").alias("v"), (F.col("id") * 2).alias("w"))
+        out = lookup(df, F.col("k"), known, "v")
+        assert "hashpartitioning(_key" in plan(out) and "_spread" in plan(out).split("hashpartitioning(_key")[1][:60]
+        assert same_rows(out, df.join(known, df.k == known.v, "left"))
+        tasks = lookup(df.filter("k IS NULL"), F.col("k"), known, "v").groupBy(F.spark_partition_id()).count()
+        assert tasks.count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
