@@ -80,6 +80,11 @@ def decode(c: Column, categories: Categories) -> Column:
     return F.try_element_at(F.create_map(*pairs), c.cast("int"))
 
 
+def decode_values(codes: list[int], categories: Categories) -> list:
+    """The values of a short list of codes; None for unknown ones."""
+    return [categories.values[i] if 0 <= i < len(categories.values) else None for i in codes]
+
+
 def decode_column(df: DataFrame, column: str, categories: Categories) -> DataFrame:
     if categories.inline:
         return df.select([decode(F.col(quote(c)), categories).alias(c) if c == column else F.col(quote(c)) for c in df.columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +37,11 @@ class Dataset:
         run_date: dt.date | None = None,
         root: str | None = None,
     ):
-        check_roles(columns)
         self.columns = list(columns)
+        if getattr(splitter, "date_col", None) and not any(c.is_date_column for c in self.columns):
+            # The column by which rows are split is the one that orders them.
+            self.columns = [replace(c, is_date_column=c.name == splitter.date_col) for c in self.columns]
+        check_roles(self.columns)
         self.splitter = splitter
         self.features = features if isinstance(features, FeatureList) else FeatureList(features)
         self.embedders = dict(embedders or {})
@@ -189,7 +193,9 @@ class Dataset:
         df = self.cast(self._impute(df, inference))
         if self.features and not self._stores:
             self._stores = self.features.stores(df.sparkSession, f"{self._root(df.sparkSession)}/features")
-        return self.features.apply(df, self._stores, verify_rows)
+        df = self.features.apply(df, self._stores, verify_rows, complete=not inference)
+        # A feature may not know its value when scoring; its column is then imputed like any other.
+        return self.add_missing(df, computed=True) if inference else df
 
     def _impute(self, df: DataFrame, inference: bool) -> DataFrame:
         steps = {c.name: c.step(inference) for c in self.columns if c.step(inference) is not None}
@@ -237,11 +243,12 @@ class Dataset:
             df = (embed_rows if df.isStreaming else embed_column)(df, column, embedder)
         return df if pca is None else pca.transform(df, embedding_name(column))
 
-    def add_missing(self, df: DataFrame) -> DataFrame:
-        """Absent input columns as typed NULLs; a one-hot parent only if not all of its virtual columns are there."""
+    def add_missing(self, df: DataFrame, computed: bool = False) -> DataFrame:
+        """Absent input columns (or computed ones) as typed NULLs; a one-hot parent only if not all of its virtual
+        columns are there."""
         absent = []
         for c in self.columns:
-            if c.name in df.columns or c.is_computed or c.is_target:
+            if c.name in df.columns or c.is_computed != computed or c.is_target:
                 continue
             virtual = c.virtual_columns(self.categories.get(c.name))
             if not (virtual and all(v in df.columns for v in virtual)):
@@ -254,9 +261,12 @@ class Dataset:
     def cast(self, df: DataFrame, given_only: bool = False) -> DataFrame:
         """Every known column to its declared type; a value that does not fit becomes NULL."""
         specs = {c.name: c for c in self.columns if not (given_only and c.is_computed)}
+        one_hot_names = {v for c in self.columns if c.encoding == "one_hot" for v in c.virtual_columns(self.categories.get(c.name))} - set(specs)
         out = []
         for f in df.schema.fields:
             c = F.col(quote(f.name))
+            if f.name in one_hot_names:
+                c = safe_cast(c, f.dataType, T.BooleanType())
             spec = specs.get(f.name)
             if spec is not None and spec.datatype != "array":
                 target = spark_type(spec.datatype)

@@ -105,7 +105,7 @@ def fit_feature(df: DataFrame, feature: Feature, store: FeatureStore) -> WriteRe
     return store.write(rows)
 
 
-def apply_feature(df: DataFrame, feature: Feature, store: FeatureStore | None, verify_rows: bool = False) -> DataFrame:
+def apply_feature(df: DataFrame, feature: Feature, store: FeatureStore | None, verify_rows: bool = False, complete: bool = True) -> DataFrame:
     """Columns are checked on the plan. Counting rows runs both plans, so it is done on request only; the usual cause of
     extra rows, a repeated key in the store, is checked once when the feature is stored."""
     out = feature.transform(df, store)
@@ -115,7 +115,7 @@ def apply_feature(df: DataFrame, feature: Feature, store: FeatureStore | None, v
     if lost:
         raise FeatureError(f"feature {feature.name}: transform removed {lost}")
     absent = [c for c in feature.computes_columns if c not in out.columns]
-    if absent:
+    if absent and complete:
         raise FeatureError(f"feature {feature.name}: transform did not add {absent}")
     if verify_rows:
         before, after = df.count(), out.count()
@@ -165,7 +165,8 @@ class FeatureList:
     def fit(self, df: DataFrame, stores: dict[str, FeatureStore]) -> dict[str, WriteResult | None]:
         return {f.name: fit_feature(df, f, stores[f.name]) for f in self.features}
 
-    def apply(self, df: DataFrame, stores: dict[str, FeatureStore], verify_rows: bool = False) -> DataFrame:
+    def apply(self, df: DataFrame, stores: dict[str, FeatureStore], verify_rows: bool = False, complete: bool = True) -> DataFrame:
+        """``complete`` asks every feature to add the columns it computes; scoring does not."""
         for f in self.features:
-            df = apply_feature(df, f, stores.get(f.name), verify_rows)
+            df = apply_feature(df, f, stores.get(f.name), verify_rows, complete)
         return df

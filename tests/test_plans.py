@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.columns import embedding_name
 from tabflow.operators.embed import hashing_embedder
+from tabflow.operators.encode import decode_values
 from tabflow.operators.split import DateSplitter, RandomSplitter
 from tabflow.plans.columns import ColumnSpec
 from tabflow.plans.dataset import Dataset, decode_target
@@ -137,6 +138,31 @@ def test_required_fields(spark):
     assert good.count() == 0 and bad.count() == 8
 
 
+def test_a_feature_without_a_value_when_scoring_is_imputed(spark, scratch):
+    class Unknown(Feature):
+        name = "unknown"
+        computes_columns = ("later",)
+
+        def transform(self, df, stored):
+            return df.withColumn("later", F.col("annual") + 1) if "rev" in df.columns else df
+
+    specs = [ColumnSpec("id", "integer"), ColumnSpec("annual", "float", training={"method": "mean"})]
+    specs += [ColumnSpec("rev", "integer", is_target=True), ColumnSpec("later", "float", computed_by="unknown", training={"method": "mean"})]
+    df = loans(spark).withColumn("split", F.lit("train"))
+    d = Dataset(specs, features=[Unknown()]).fit(df)
+    assert d.processed_statistics.get("later", "mean") == 501.0
+    assert rows(d.normalize(df.select("id", "annual").filter("id = 3"), inference=True)) == [(3, 500.0, 501.0)]
+
+
+def test_the_splitter_names_the_date_column_and_encoded_inputs_are_taken(spark):
+    specs = [ColumnSpec("id", "integer"), ColumnSpec("created", "datetime"), ColumnSpec("state", "categorical", training={"method": "ffill", "encoding": "one_hot"})]
+    d = Dataset(specs, DateSplitter("created")).fit(loans(spark))
+    assert d.date_column == "created" and d.raw_statistics.get("state", "last_value") == "TX"
+    given = spark.createDataFrame([(1, "true", "false", 0, 0)], "id long, state_CA string, state_TX string, state_VA int, state_other int")
+    out = d.normalize(given, inference=True)
+    assert rows(out.drop("created")) == [(1, True, False, False, False)] and "state" not in out.columns
+
+
 def test_roles_and_steps_are_validated():
     with pytest.raises(ValueError, match="is_target"):
         Dataset([ColumnSpec("a", "float", is_target=True), ColumnSpec("b", "float", is_target=True)])
@@ -406,4 +432,5 @@ def test_target_codes_are_decoded(spark):
     d = Dataset([ColumnSpec("id", "integer"), ColumnSpec("purpose", "categorical", is_target=True, training={"method": "categorical", "encoding": "ordinal"})])
     coded = d.fit(df).normalize(df)
     assert {r.id: r.purpose for r in coded.collect()}[3] == 0
+    assert decode_values([1, 0, 9], d.categories["purpose"]) == ["new", "exp", None]
     assert {r.id: r.purpose for r in decode_target(coded, d, "purpose").collect()}[3] == "exp"
