@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_UTC = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 # The accepted formats as Spark patterns, in the order they are tried.
 DATE_FORMATS = (
@@ -31,6 +34,14 @@ def parse_datetime(c: Column, fmt: str) -> Column:
 
 
 def days_between(later: Column, earlier: Column) -> Column:
-    """Whole days that lie between two timestamps, cut towards zero as a duration in days is."""
-    seconds = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
-    return (seconds / F.lit(86_400_000_000)).cast("long")
+    """Whole days that lie between two timestamps (or dates), cut towards zero as a duration in days is."""
+    return F.extract(F.lit("DAY"), later - earlier).cast("long")
+
+
+def epoch_micros(c: Column, t: T.DataType) -> Column:
+    """Microseconds since 1970 of a timestamp; for one without a zone, of its wall clock, whatever zone the session has."""
+    zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
+    if isinstance(t, T.TimestampNTZType) and zone not in _UTC:
+        start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return ((c - start).cast("decimal(18,6)") * 1_000_000).cast("long")
+    return F.unix_micros(c.cast("timestamp"))

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.columns import quote
 from tabflow.operators.ordering import MAX_RANGES, RangeCuts, exact_position, position
+from tabflow.session import cut_lineage
 
 HOT_ROWS = 5_000_000
 MAX_HOT_GROUPS = 1000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -68,8 +70,11 @@ def with_earlier(
         .agg(*[F.max_by(F.col(f"_e{i}"), F.when(F.col(f"_e{i}").isNotNull(), ordering)).alias(f"_h{i}") for i in range(len(names))])
     )
     # One row per hot group and range: the length of a chain is the number of ranges.
+    handed = cut_lineage(handed)
     chain = Window.partitionBy("_group").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
     carried = handed.select("_group", "_of", *[F.last(f"_h{i}", ignorenulls=True).over(chain).alias(f"_c{i}") for i in range(len(names))])
+    if _measured_small(handed):
+        carried = F.broadcast(carried)
     inside = Window.partitionBy(quote(group), "_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     within = ranged.select(
         *keep, "_range", *[F.last(F.col(f"_e{i}"), ignorenulls=True).over(inside).alias(f"_w{i}") for i in range(len(names))]
@@ -78,6 +83,11 @@ def with_earlier(
     return out.select(*keep, *[F.coalesce(F.col(f"_w{i}"), F.col(f"_c{i}")).getField("v").alias(n) for i, n in enumerate(names)])
 
 
+def _measured_small(df: DataFrame) -> bool:
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("chars")).first()
+    return (size.chars or 0) + 64 * size.n <= BROADCAST_BYTES
+
+
 def _cut_groups(df: DataFrame, is_hot: Column, order: Sequence[str]) -> DataFrame:
     """Adds ``_range``: a number that never decreases in the given order, and the same one for all rows of other groups.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabflow.functions.columns import quote
+from tabflow.functions.dates import epoch_micros
 from tabflow.functions.types import is_numeric
 from tabflow.session import cut_lineage
 
@@ -48,7 +49,7 @@ def position(df: DataFrame, key: str) -> Column:
     elif isinstance(t, T.DateType):
         p = F.unix_date(c).cast("double")
     elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        p = F.unix_micros(c.cast("timestamp")).cast("double")
+        p = epoch_micros(c, t).cast("double")
     elif isinstance(t, T.StringType):
         ends = df.agg(F.encode(F.min(c), "UTF-8").alias("lo"), F.encode(F.max(c), "UTF-8").alias("hi")).first()
         skip = 0 if ends.lo is None else _common_prefix(bytes(ends.lo), bytes(ends.hi))

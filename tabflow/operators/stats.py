@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tabflow.functions.columns import clip as clip_column
 from tabflow.functions.columns import quote
+from tabflow.functions.dates import epoch_micros
 from tabflow.functions.types import is_integer, is_numeric
 from tabflow.session import cut_lineage
 
@@ -275,7 +276,7 @@ def _slot(c: Column, t: T.DataType) -> dict[str, Column]:
     elif isinstance(t, T.DateType):
         l = F.unix_date(c).cast("long")
     elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        l = F.unix_micros(c.cast("timestamp"))
+        l = epoch_micros(c, t)
     elif is_numeric(t):
         d = c.cast("double")
     else:
@@ -335,8 +336,10 @@ def _typed(df: DataFrame, column: str, v: Any, t: T.DataType) -> Any:
         return bool(v.l)
     if isinstance(t, T.DateType):
         return dt.date(1970, 1, 1) + dt.timedelta(days=v.l)
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(t, T.TimestampNTZType):
         return dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=v.l)
+    if isinstance(t, T.TimestampType):
+        return dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=v.l)
     return v.l
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabflow.functions.columns import clip, empty_to_null, safe_cast, virtual_name
-from tabflow.functions.dates import DATE_FORMATS, days_between, parse_datetime
+from tabflow.functions.dates import DATE_FORMATS, days_between, epoch_micros, parse_datetime
 from tabflow.functions.types import SchemaConflict, common_schema, semantic_type, spark_type, storable, widen
 from tests.conftest import rows
 
@@ -83,6 +83,19 @@ def test_days_between_is_cut_towards_zero(spark):
     assert df.select(days_between(F.col("a"), F.col("b")), days_between(F.col("b"), F.col("a"))).first() == (1, -1)
 
 
+def test_wall_clock_order_survives_a_change_to_summer_time(spark):
+    df = spark.sql("SELECT explode(array(timestamp_ntz'2024-03-10 02:30:00.000001', timestamp_ntz'2024-03-10 03:10:00')) t")
+    want = [1710037800000001, 1710040200000000]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert [r[0] for r in df.select(epoch_micros(F.col("t"), T.TimestampNTZType())).collect()] == want
+        apart = spark.sql("SELECT timestamp_ntz'2024-03-11 02:00:00' a, timestamp_ntz'2024-03-10 01:30:00' b, date'2024-03-12' c, date'2024-03-10' d")
+        assert apart.select(days_between(F.col("a"), F.col("b")), days_between(F.col("c"), F.col("d"))).first() == (1, 2)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [r[0] for r in df.select(epoch_micros(F.col("t"), T.TimestampNTZType())).collect()] == want
+
+
 def test_clip_leaves_null_and_nan(spark):
     df = spark.createDataFrame([(None,), (float("nan"),), (-5.0,), (5.0,), (50.0,)], "v double")
     out = [r[0] for r in df.select(clip(F.col("v"), None, 10)).collect()]
