@@ -104,6 +104,9 @@ def _split_by(key):
     return F.when(bucket < 6, "train").when(bucket < 8, "valid").otherwise("test").alias("split")
 
 
+DOCUMENT_INPUTS = ["n_chars", "n_words", "n_lines", "n_digits", "english"]
+
+
 def document_rows(spark, sf):
     """Labels with features of the whole text."""
     docs = table(spark, sf, "documents").select(
@@ -115,7 +118,7 @@ def document_rows(spark, sf):
         (F.col("lang") == "en").alias("english"),
     )
     return docs.join(table(spark, sf, "labels"), "doc_id").select(
-        "n_chars", "n_words", "n_lines", "n_digits", "english", F.col("quality"), _split_by("doc_id")
+        "doc_id", *DOCUMENT_INPUTS, "quality", _split_by("doc_id")
     )
 
 
@@ -133,26 +136,51 @@ def charge_rows(spark, sf):
 _SMALL_TREES = {"n_estimators": 5, "max_depth": 3}
 
 
-@register()
+@register("""
+SELECT doc_id, quality, true AS is_class, true AS sums_to_one, (SELECT count(*) FROM labels) > 0 AS as_good_as_majority
+FROM labels JOIN documents USING (doc_id)
+""")
 def m_train_score_binary(spark, sf):
+    """Every labelled document is scored once; over all rows the model is no worse than always naming the larger class."""
     rows = materialize(document_rows(spark, sf), "train")
-    model = Model("classification", "quality", hyperparameters=_SMALL_TREES, early_stopping=True).fit(rows)
-    return model.predict(rows).select("split", "quality", "prediction", "probabilities")
+    model = Model("classification", "quality", features=DOCUMENT_INPUTS, hyperparameters=_SMALL_TREES, early_stopping=True).fit(rows)
+    scored = model.predict(rows)
+    known = scored.agg(F.avg((F.col("prediction") == F.col("quality")).cast("double")).alias("right"), F.avg("quality").alias("ones")).first()
+    return scored.select(
+        "doc_id",
+        "quality",
+        F.col("prediction").isin(0, 1).alias("is_class"),
+        _sums_to_one().alias("sums_to_one"),
+        F.lit(known.right >= max(known.ones, 1 - known.ones) - 0.02).alias("as_good_as_majority"),
+    )
+
 
+def _sums_to_one():
+    return F.abs(F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b) - 1) < 1e-3
 
-@register()
+
+@register("SELECT vec_id, label % 3 AS label, true AS is_class, true AS sums_to_one FROM embeddings")
 def m_train_score_multiclass(spark, sf):
-    rows = table(spark, sf, "embeddings").select("embedding", (F.col("label") % 3).alias("label"), _split_by("vec_id"))
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") % 3).alias("label"), _split_by("vec_id"))
     rows = materialize(rows, "train")
-    model = Model("classification", "label", "multi:softprob", hyperparameters={"n_estimators": 3, "max_depth": 3}).fit(rows)
-    return model.predict(rows).select("split", "label", "prediction", "probabilities")
+    model = Model("classification", "label", "multi:softprob", features=["embedding"], hyperparameters={"n_estimators": 3, "max_depth": 3}).fit(rows)
+    return model.predict(rows).select("vec_id", "label", F.col("prediction").isin(0, 1, 2).alias("is_class"), _sums_to_one().alias("sums_to_one"))
 
 
-@register()
+@register("""
+SELECT count(*) AS num_rows, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 0) AS charge, true AS all_scored, true AS learned FROM lineitem
+""")
 def m_train_score_regression(spark, sf):
+    """Few shallow trees explain most of the charge on rows they were not trained on."""
     rows = materialize(charge_rows(spark, sf), "train")
-    model = Model("regression", "charge", hyperparameters=_SMALL_TREES).fit(rows)
-    return model.predict(rows).select("split", "charge", "prediction")
+    model = Model("regression", "charge", hyperparameters={**_SMALL_TREES, "learning_rate": 0.5}).fit(rows)
+    learned = model.evaluate(rows, "test", ["r2"])["r2_score"] > 0.5
+    return model.predict(rows).agg(
+        F.count(F.lit(1)).alias("num_rows"),
+        F.round(F.sum("charge"), 0).alias("charge"),
+        F.bool_and(F.col("prediction").isNotNull()).alias("all_scored"),
+        F.lit(learned).alias("learned"),
+    )
 
 
 @register("SELECT true AS better_than_mean, true AS same_after_load, count(*) AS num_rows FROM lineitem")
@@ -179,23 +207,35 @@ def m_objectives(spark, sf):
     logistic = Model("regression", "share", "reg:logistic").fit(share)
     a = logistic.predict(share).agg(F.bool_and(F.col("prediction").between(0.0, 1.0)).alias("within_bounds"), F.count(F.lit(1)).alias("num_rows"))
     docs = materialize(document_rows(spark, sf), "train")
-    hinge = Model("classification", "quality", "binary:hinge", "gblinear", {"n_estimators": 5}).fit(docs)
+    hinge = Model("classification", "quality", "binary:hinge", "gblinear", {"n_estimators": 5}, features=DOCUMENT_INPUTS).fit(docs)
     b = hinge.predict(docs).agg(F.bool_and(F.col("prediction").isin(0, 1)).alias("within_bounds"), F.count(F.lit(1)).alias("num_rows"))
     return a.withColumn("objective", F.lit("reg:logistic")).unionByName(b.withColumn("objective", F.lit("binary:hinge")))
 
 
-@register()
+@register("""
+SELECT feature, feature = 'l_extendedprice' AS is_first, true AS sums_to_one
+FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) AS t(feature), (SELECT count(*) AS n FROM lineitem) WHERE n > 0
+""")
 def m_importances(spark, sf):
     rows = materialize(charge_rows(spark, sf), "train")
-    return Model("regression", "charge", hyperparameters=_SMALL_TREES).fit(rows).importances(spark)
+    found = Model("regression", "charge", hyperparameters=_SMALL_TREES).fit(rows).importances(spark)
+    whole = found.agg(F.max("importance").alias("top"), F.sum("importance").alias("total")).first()
+    return found.select("feature", (F.col("importance") == whole.top).alias("is_first"), F.lit(abs(whole.total - 1) < 1e-9).alias("sums_to_one"))
 
 
-@register()
+@register("""
+SELECT 3::BIGINT AS trials, 1::BIGINT AS best_trials, true AS best_is_highest, true AS are_shares FROM (SELECT count(*) AS n FROM labels) WHERE n > 0
+""")
 def m_search_trials(spark, sf):
     ranges = {"n_estimators": {"min": 2, "max": 4}, "max_depth": {"min": 2, "max": 3}, "scale_pos_weight": 1, "subsample": 1.0, "colsample_bytree": 1.0}
-    model = Model("classification", "quality", hyperparameters=_SMALL_TREES)
+    model = Model("classification", "quality", features=DOCUMENT_INPUTS, hyperparameters=_SMALL_TREES)
     result = search(document_rows(spark, sf), model, "accuracy_score", "maximize", n_trials=3, ranges=ranges)
-    return result.trials.select("trial", "value", "best")
+    return result.trials.agg(
+        F.count(F.lit(1)).alias("trials"),
+        F.count_if("best").alias("best_trials"),
+        (F.max("value") == F.max(F.when(F.col("best"), F.col("value")))).alias("best_is_highest"),
+        F.bool_and(F.col("value").between(0.0, 1.0)).alias("are_shares"),
+    )
 
 
 def scoring_setup(spark, sf):
