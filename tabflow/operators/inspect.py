@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,9 +85,10 @@ def frame_diff(new: DataFrame, old: DataFrame, key: Sequence[str]) -> DataFrame:
     for side, frame in (("new", new), ("old", old)):
         if not is_unique(frame, key):
             raise ValueError(f"the key {list(key)} repeats in the {side} frame")
-    left = new.select(*[quote(c) for c in key], F.struct(*[F.col(quote(c)).alias(c) for c in shared]).alias("_new"))
-    right = old.select(*[quote(c) for c in key], F.struct(*[F.col(quote(c)).alias(c) for c in shared]).alias("_old"))
-    both = left.join(right, list(key), "full_outer").filter(~F.col("_new").eqNullSafe(F.col("_old")))
+    left = new.select(*[F.col(quote(c)) for c in key], F.struct(*[F.col(quote(c)).alias(c) for c in shared]).alias("_new"))
+    right = old.select(*[F.col(quote(c)).alias(f"_key{i}") for i, c in enumerate(key)], F.struct(*[F.col(quote(c)).alias(c) for c in shared]).alias("_old"))
+    same_key = reduce(and_, [F.col(quote(c)).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(key)])
+    both = left.join(right, same_key, "full_outer").filter(~F.col("_new").eqNullSafe(F.col("_old")))
     field = lambda side, c: F.col(side).getField(c)
     rows = [
         F.when(
@@ -109,7 +112,8 @@ def frame_diff(new: DataFrame, old: DataFrame, key: Sequence[str]) -> DataFrame:
             nothing.alias("new_value"),
         ),
     )
-    return both.select(*[quote(c) for c in key], F.inline(F.array_compact(F.array(whole, *rows))))
+    keys = [F.when(F.col("_new").isNull(), F.col(f"_key{i}")).otherwise(F.col(quote(c))).alias(c) for i, c in enumerate(key)]
+    return both.select(*keys, F.inline(F.array_compact(F.array(whole, *rows))))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

@@ -116,6 +116,9 @@ def test_frame_diff(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", None), (3, "c", 3.0)], "id long, s string, v double")
     new = spark.createDataFrame([(1, "a", 2.0), (2, "b", None), (4, "d", 4.0)], "id long, s string, v double")
     assert rows(frame_diff(new, old, ["id"])) == [(1, "changed", "v", "1.0", "2.0"), (3, "removed", None, None, None), (4, "added", None, None, None)]
+    no_key = spark.createDataFrame([(None, "n", 1.0)], "id long, s string, v double")
+    assert frame_diff(new.union(no_key), new.union(no_key), ["id"]).isEmpty()
+    assert rows(frame_diff(new.union(no_key), new, ["id"])) == [(None, "added", None, None, None)]
     assert same_rows(old, old.orderBy(F.desc("id"))) and not same_rows(old, new) and not same_rows(old, old.union(old))
     with pytest.raises(ValueError, match="repeats"):
         frame_diff(old.union(old), old, ["id"])
@@ -320,10 +323,9 @@ def test_embedding_columns(spark):
 @pytest.mark.parametrize("hot_rows", [10**9, 40])
 def test_earlier_rows_equal_the_plain_window(spark, hot_rows):
     rng = random.Random(3)
-    data = [
-        (i, None if i % 19 == 0 else (1 if rng.random() < 0.4 else rng.randrange(2, 30)), None if i % 31 == 0 else rng.choice([5, 5, 5, rng.randrange(100)]), rng.choice([None, 1.0, 2.0]), rng.random() < 0.3)
-        for i in range(900)
-    ]
+    group = lambda i: None if i % 19 == 0 else (1 if rng.random() < 0.4 else rng.randrange(2, 30))
+    time = lambda i: None if i % 31 == 0 else rng.choice([5, 5, 5, rng.randrange(100)])
+    data = [(i, group(i), time(i), rng.choice([None, 1.0, 2.0]), rng.random() < 0.3) for i in range(900)]
     df = spark.createDataFrame(data, "id long, k long, t long, v double, ok boolean").repartition(5, "id")
     w = Window.partitionBy("k").orderBy(F.col("t").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, -1)
     want = df.select(
