@@ -101,8 +101,14 @@ def scan_stream(spark: SparkSession, path: str, schema: T.StructType, pattern: s
     return reader.parquet(path)
 
 
-def _csv_headers(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
-    """Distinct header lines and the files that carry each; every file's first line is read in a task."""
+_CSV_NAMES = "*.{csv,csv.gz}"
+
+
+def _csv_headers(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], str | list[str]]]:
+    """Distinct header lines and where the files with each are; every file's first line is read in a task.
+
+    Where all files agree, which is usual, that is the folder itself; only otherwise are file names collected.
+    """
 
     def first_lines(batches):
         import csv
@@ -125,8 +131,10 @@ def _csv_headers(spark: SparkSession, path: str | list[str]) -> list[tuple[list[
                 headers.append(next(csv.reader(io.StringIO(line)), []))
             yield pd.DataFrame({"path": batch["path"], "header": headers})
 
-    listed = paths.list_files(spark, path).filter(F.col("name").rlike(r"\.csv(\.gz)?$"))
-    heads = listed.select("path").mapInPandas(first_lines, "path string, header array<string>")
+    heads = paths.list_files(spark, path, _CSV_NAMES).select("path").mapInPandas(first_lines, "path string, header array<string>")
+    headers = heads.groupBy("header").agg(F.count(F.lit(1)).alias("n")).collect()
+    if len(headers) == 1:
+        return [(list(headers[0].header), path)]
     groups = heads.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files")).collect()
     return sorted(((list(g.header), list(g.files)) for g in groups), key=lambda g: g[1][0])
 
@@ -149,7 +157,8 @@ def scan_csv(
     text = None
     for header, files in groups:
         strings = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        part = spark.read.options(header=True, **options).schema(strings).csv(files)
+        reader = spark.read.options(header=True, recursiveFileLookup=True, pathGlobFilter=_CSV_NAMES, **options)
+        part = reader.schema(strings).csv(files)
         part = part.select([_missing(F.col(quote(c))).alias(c) for c in shared])
         text = part if text is None else text.unionByName(part)
     if schema is not None:

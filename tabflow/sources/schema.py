@@ -121,6 +121,13 @@ def date_formats(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return fits
 
 
+def convert_dates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """String columns whose values all fit one known format become datetimes; others stay as they are."""
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)]
+    found = date_formats(df, strings)
+    return df.select([parse_datetime(F.col(quote(c)), found[c]).alias(c) if c in found else F.col(quote(c)) for c in df.columns])
+
+
 def improve(df: DataFrame) -> DataFrame:
     """Fractional columns that hold only whole numbers become integers; strings that are all dates become datetimes."""
     reals = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType))]

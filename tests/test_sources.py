@@ -10,7 +10,7 @@ from tabflow.functions.types import SchemaConflict
 from tabflow.operators.split import PredefinedSplitter, write_split
 from tabflow.session import shared_folder
 from tabflow.sources.files import Source, convert_to_parquet, scan, scan_csv, scan_parquet
-from tabflow.sources.schema import fingerprint, improve, infer_types, scan_unified
+from tabflow.sources.schema import convert_dates, fingerprint, improve, infer_types, scan_unified
 from tests.conftest import rows
 
 
@@ -86,6 +86,12 @@ def test_improve(spark):
     assert out.first().d == dt.datetime(2024, 1, 2)
 
 
+def test_convert_dates_in_named_columns_only(spark):
+    df = spark.createDataFrame([("2024-01-02", "2024-01-02"), (None, "2024-01-03")], "a string, b string")
+    assert [f.dataType.simpleString() for f in convert_dates(df, ["a"]).schema.fields] == ["timestamp_ntz", "string"]
+    assert convert_dates(df.select(F.lit(None).cast("string").alias("a"))).schema["a"].dataType == T.StringType()
+
+
 def test_inference(spark):
     data = [(str(i), f"{i}.5", "true", "2024/01/%02d" % (i % 9 + 1), f"g{i % 3}", f"word {i}", None, "1" if i else "x") for i in range(120)]
     df = spark.createDataFrame(data, "i string, f string, b string, d string, c string, t string, n string, m string")
