@@ -387,7 +387,7 @@ class Categories:
 def fit_categories(df: DataFrame, minimums: Mapping[str, int], train: Column | None = None, keep_at: str | None = None) -> dict[str, Categories]:
     """Allowed categories and the most frequent value of several columns.
 
-    One scan and shuffle for all columns; what it gives, a row per distinct value, is written and then read three times.
+    One scan and shuffle for all columns; what it gives, a row per distinct value, is kept while it is read.
     """
     if not minimums:
         return {}
@@ -395,8 +395,15 @@ def fit_categories(df: DataFrame, minimums: Mapping[str, int], train: Column | N
     names = list(minimums)
     entries = [F.struct(F.lit(c).alias("column"), F.col(quote(c)).cast("string").alias("value")) for c in names]
     pairs = rows.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
-    counts = cut_lineage(pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
-    least = F.lit(1)
+    counts = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")).persist()
+    try:
+        return _categories_of(counts, df, minimums, keep_at)
+    finally:
+        counts.unpersist()
+
+
+def _categories_of(counts: DataFrame, df: DataFrame, minimums: Mapping[str, int], keep_at: str | None) -> dict[str, Categories]:
+    names, least = list(minimums), F.lit(1)
     for c in names:
         least = F.when(F.col("column") == c, F.lit(minimums[c])).otherwise(least)
     allowed = counts.filter(F.col("count") >= least)

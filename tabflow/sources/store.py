@@ -18,7 +18,6 @@ from tabflow.functions.columns import quote
 from tabflow.functions.types import is_integer
 from tabflow.operators.ordering import key_partition
 from tabflow.operators.query import query
-from tabflow.session import cut_lineage
 from tabflow.sources import paths
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -141,10 +140,14 @@ class Store:
         if self.key is None:
             raise ValueError("an append-only store needs a key")
         fresh = first_per_key(df, self.key, order_by)
-        if not self.is_empty():
-            # Written once, because measuring the batch and writing what is new of it both read it.
-            fresh = without_known(cut_lineage(fresh), self.read(), self.key)
-        return self._write(fresh)
+        if self.is_empty():
+            return self._write(fresh)
+        # Kept meanwhile, because measuring the batch and writing what is new of it both read it.
+        fresh = fresh.persist()
+        try:
+            return self._write(without_known(fresh, self.read(), self.key))
+        finally:
+            fresh.unpersist()
 
     def append_named(self, df: DataFrame, name: str) -> WriteResult:
         """Adds the rows below a sub-folder of their own."""
