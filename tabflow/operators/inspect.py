@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,17 +76,20 @@ def null_report(df: DataFrame, by: str = "split", columns: Sequence[str] | None
 def frame_diff(new: DataFrame, old: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row per key and column whose value differs: key, column, old_value, new_value, change.
 
-    Both frames must have unique keys; a repeated key would pair every copy with every copy, so it raises instead.
-    Rows on one side only are reported once with the change ``added`` or ``removed``.
+    Both sides meet in one grouping by key, so every row is shuffled once and NULL is a key like any other. A key that
+    repeats on one side has no counterpart to compare with; running the comparison then fails. Rows on one side only are
+    reported once with the change ``added`` or ``removed``.
     """
     shared = [c for c in new.columns if c in old.columns and c not in key]
-    for side, frame in (("new", new), ("old", old)):
-        if not is_unique(frame, key):
-            raise ValueError(f"the key {list(key)} repeats in the {side} frame")
-    left = new.select(*[F.col(quote(c)) for c in key], F.struct(*[F.col(quote(c)).alias(c) for c in shared]).alias("_new"))
-    right = old.select(*[F.col(quote(c)).alias(f"_key{i}") for i, c in enumerate(key)], F.struct(*[F.col(quote(c)).alias(c) for c in shared]).alias("_old"))
-    same_key = reduce(and_, [F.col(quote(c)).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(key)])
-    both = left.join(right, same_key, "full_outer").filter(~F.col("_new").eqNullSafe(F.col("_old")))
+    keys = [F.col(quote(c)) for c in key]
+    row = F.struct(*[F.col(quote(c)).alias(c) for c in shared])
+    sides = new.select(*keys, row.alias("_new")).unionByName(old.select(*keys, row.alias("_old")), allowMissingColumns=True)
+    met = sides.groupBy(*keys).agg(
+        F.count("_new").alias("_n_new"), F.count("_old").alias("_n_old"), F.first("_new", True).alias("_new"), F.first("_old", True).alias("_old")
+    )
+    message = F.lit(f"the key {list(key)} repeats in one of the frames")
+    differs = F.when((F.col("_n_new") > 1) | (F.col("_n_old") > 1), F.raise_error(message)).otherwise(~F.col("_new").eqNullSafe(F.col("_old")))
+    both = met.filter(differs)
     field = lambda side, c: F.col(side).getField(c)
     rows = [
         F.when(
@@ -112,7 +113,6 @@ def frame_diff(new: DataFrame, old: DataFrame, key: Sequence[str]) -> DataFrame:
             nothing.alias("new_value"),
         ),
     )
-    keys = [F.when(F.col("_new").isNull(), F.col(f"_key{i}")).otherwise(F.col(quote(c))).alias(c) for i, c in enumerate(key)]
     return both.select(*keys, F.inline(F.array_compact(F.array(whole, *rows))))
 
 
