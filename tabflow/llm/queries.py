@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabflow.llm.mixing import mix
 from tabflow.llm.registry import QUERIES, SQL, register, table  # noqa: F401
 from tabflow.llm.token_store import token_digests, write_tokens
 from tabflow.llm.tokens import tokenizer_path
@@ -15,3 +17,34 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     return token_digests(spark, path)
+
+
+@register(
+    """
+WITH best AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+rows_ AS (
+  SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
+           / CASE WHEN b.quality >= 1 THEN 2.0::DOUBLE WHEN b.quality < 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS key
+  FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows_ GROUP BY source),
+capped AS (
+  SELECT source, source_size, source_size * 2.0::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM sizes),
+levels AS (
+  SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM capped),
+targets AS (SELECT source, source_size, least(cap, weight * max(level) OVER ()) AS target FROM levels),
+epochs AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS n FROM targets),
+placed AS (
+  SELECT r.doc_id, r.size, e.source_size, e.target, e.n, e.target - e.n * e.source_size AS rest,
+         coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key, r.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM rows_ r JOIN epochs e ON r.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (size * (n + CASE WHEN rest > 0 AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed"""
+)
+def op9_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
