@@ -12,7 +12,7 @@ from itertools import chain
 import numpy as np
 
 #: Bounds the memory of a worker's cache, not what is encoded: what is forgotten is encoded again.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 300_000
 _BATCH_CHARS = 1 << 18
 #: Latin letters, then punctuation without an apostrophe: both vocabularies cut between the two and nowhere else.
 _WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
