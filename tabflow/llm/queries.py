@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabflow.llm.mixing import mix
 from tabflow.llm.registry import QUERIES, SQL, register, table  # noqa: F401
+from tabflow.llm.secret_scan import scan, written
 from tabflow.llm.token_store import token_digests, write_tokens
 from tabflow.llm.tokens import tokenizer_path
 from tabflow.session import scratch_path
@@ -19,6 +20,14 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+@register()
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["order"] == k)).cast("long")
+    base = written(F.filter("spans", lambda s: s["order"] < 3))
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 @register(
     """
 WITH best AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
