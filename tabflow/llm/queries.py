@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabflow.llm.imatch import fingerprint_documents
+from tabflow.llm.language import fit, predict_languages
+from tabflow.llm.line_templates import line_report
 from tabflow.llm.mixing import mix
 from tabflow.llm.registry import QUERIES, SQL, register, table  # noqa: F401
 from tabflow.llm.secret_scan import scan, written
@@ -20,6 +23,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+@register()
+def op3_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return predict_languages(documents, fit(documents))
+
+
 @register()
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
@@ -28,6 +37,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+@register()
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 @register(
     """
 WITH best AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
@@ -57,3 +71,35 @@ FROM placed"""
 def op9_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@register(
+    """
+WITH docs AS (SELECT doc_id, text, md5(coalesce(text, '')) AS th, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+every AS (SELECT doc_id, th, unnest(range(len(ls))) AS line, unnest(ls) AS written FROM docs),
+cut AS (
+  SELECT doc_id, th, line, list_transform(list_filter(regexp_split_to_array(written, '[\\x20\\x09-\\x0D]+'), lambda t: t <> ''),
+                                          lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+  FROM every),
+long_ AS (SELECT *, (len(tokens), tokens[1], tokens[2], tokens[3]) AS leaf FROM cut WHERE len(tokens) >= 4),
+leaves AS (SELECT leaf, count(DISTINCT th) AS texts FROM long_ GROUP BY leaf HAVING count(DISTINCT th) >= 8),
+rows_ AS (SELECT l.*, v.texts FROM long_ l JOIN leaves v USING (leaf)),
+places AS (SELECT leaf, texts, doc_id, th, line, unnest(range(len(tokens))) AS place, unnest(tokens) AS token FROM rows_),
+fixed AS (
+  SELECT leaf, place, token FROM places WHERE token <> '<*>' GROUP BY leaf, texts, place, token
+  HAVING count(DISTINCT th) >= 8 AND count(DISTINCT th) >= 0.1::DOUBLE * texts),
+parsed AS (
+  SELECT p.leaf, doc_id, th, line, list(CASE WHEN f.token IS NULL THEN '<*>' ELSE p.token END ORDER BY p.place) AS template
+  FROM places p LEFT JOIN fixed f ON p.leaf = f.leaf AND p.place = f.place AND p.token = f.token GROUP BY p.leaf, doc_id, th, line
+  HAVING count(f.token) >= 0.6::DOUBLE * count(*)),
+recurring AS (
+  SELECT leaf, template, min((doc_id, line)) AS first FROM parsed GROUP BY leaf, template HAVING count(DISTINCT th) >= 8),
+gone AS (
+  SELECT doc_id, list(line) AS lines FROM parsed JOIN recurring USING (leaf, template) WHERE (doc_id, line) <> first GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END::BIGINT AS n_lines, coalesce(len(lines), 0)::BIGINT AS n_dropped,
+       sha256(coalesce(array_to_string([ls[i + 1] FOR i IN range(len(ls)) IF lines IS NULL OR NOT list_contains(lines, i)], chr(10)), '')) AS kept_sha256
+FROM docs d LEFT JOIN gone g ON d.doc_id = g.doc_id"""
+)
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_report(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
