@@ -11,6 +11,7 @@ from tabflow.llm.line_templates import line_report
 from tabflow.llm.mixing import mix
 from tabflow.llm.registry import QUERIES, SQL, register, table  # noqa: F401
 from tabflow.llm.secret_scan import scan, written
+from tabflow.llm.superkmer import remove_repeated
 from tabflow.llm.token_store import token_digests, write_tokens
 from tabflow.llm.tokens import tokenizer_path
 from tabflow.session import scratch_path
@@ -42,6 +43,12 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+@register()
+def op8_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeated(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register(
     """
 WITH best AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
