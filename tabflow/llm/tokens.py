@@ -6,17 +6,19 @@ import json
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
 #: Bounds the memory of a worker's cache, not what is encoded: what is forgotten is encoded again.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 _BATCH_CHARS = 1 << 18
 #: Latin letters, then punctuation without an apostrophe: both vocabularies cut between the two and nowhere else.
 _WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The character that stands for each byte in byte-level vocabularies.
 _SPELLED = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
@@ -43,7 +45,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str | tuple[str], bytes] = {}
+        self.rests: dict[str, list[int]] = {}
         rules = json.loads(self.tokenizer.to_str())
         self.lower = rules["normalizer"] is not None
         self.blank = "" if self.lower else "Ġ"
@@ -54,15 +57,23 @@ class Encoder:
 
     def _learn(self, new: set) -> None:
         """Single words go to the merges at once; the rest goes through the whole tokenizer, in one text with a mark of one token between."""
-        long, model = [], self.tokenizer.model
+        known, match, tokenize, mark, blank = self.known, _WORD.fullmatch, self.tokenizer.model.tokenize, self.mark, self.blank
+        long = []
         for p in new:
-            if isinstance(p, tuple):
-                self.known[p] = np.array(self._ids(p[0]) if p[0] else [], "<u4").tobytes()
-            elif m := _WORD.fullmatch(p):
-                spelled = [self.blank + self._spelled(m[1]), *([self._spelled(m[2])] if m[2] else [])]
-                self.known[p] = np.array([t.id for s in spelled for t in model.tokenize(s)], "<u4").tobytes()
-            elif self.mark in p:
-                self.known[p] = np.array(self._ids(" " + p), "<u4").tobytes()
+            if type(p) is tuple:
+                known[p] = array("I", self._ids(p[0]) if p[0] else []).tobytes()
+            elif m := match(p):
+                word, rest = m.groups()
+                if self.lower:
+                    word = word.lower()
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_SPELLED)
+                ids = [t.id for t in tokenize(blank + word)]
+                if rest:
+                    ids += self._rest(rest)
+                known[p] = array("I", ids).tobytes()
+            elif mark in p:
+                known[p] = array("I", self._ids(" " + p)).tobytes()
             else:
                 long.append(p)
         while long:
@@ -71,20 +82,22 @@ class Encoder:
                 size += len(long[taken])
                 taken += 1
             head, long = long[:taken], long[taken:]
-            ids = np.array(self._ids(" " + f" {self.mark} ".join(head)), "<u4")
+            ids = np.array(self._ids(" " + f" {mark} ".join(head)), "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
             if len(ends) != len(head):
                 raise AssertionError("a part of a text gave the token of the mark")
             at = 0
             for p, end in zip(head, ends, strict=True):
-                self.known[p] = ids[at:end].tobytes()
+                known[p] = ids[at:end].tobytes()
                 at = end + 1
 
-    def _spelled(self, word: str) -> str:
-        """As the byte-level vocabularies spell it: one character for each byte."""
-        if self.lower:
-            word = word.lower()
-        return word if word.isascii() else "".join(_SPELLED[b] for b in word.encode())
+    def _rest(self, rest: str) -> list[int]:
+        """What stands after a word; there are few different ones."""
+        if rest not in self.rests:
+            if len(self.rests) > 10_000:
+                self.rests.clear()
+            self.rests[rest] = [t.id for t in self.tokenizer.model.tokenize(rest)]
+        return self.rests[rest]
 
     def encode(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers; none for null."""
@@ -100,8 +113,9 @@ class Encoder:
                 cut = [p if unsafe.isdisjoint(p) else self._joined(p, unsafe) for p in cut]
                 new = set(chain.from_iterable(cut)).difference(self.known)
             if len(self.known) + len(new) > CACHED_WORDS:
-                self.known.clear()
-                new = set(chain.from_iterable(cut))
+                # What was learned first is what is met most often.
+                self.known = dict(islice(self.known.items(), CACHED_WORDS // 2))
+                new = set(chain.from_iterable(cut)).difference(self.known)
             self._learn(new)
             for pieces in cut:
                 yield np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
