@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.llm.imatch import fingerprint_documents
+from tabflow.llm.jaccard import jaccard_classes
 from tabflow.llm.language import fit, predict_languages
 from tabflow.llm.line_templates import line_report
 from tabflow.llm.mixing import mix
@@ -30,6 +31,11 @@ def op3_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(documents, fit(documents))
 
 
+@register()
+def op4_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 @register()
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
