@@ -10,6 +10,7 @@ from tabflow.llm.jaccard import jaccard_classes
 from tabflow.llm.language import fit, predict_languages
 from tabflow.llm.line_templates import line_report
 from tabflow.llm.mixing import mix
+from tabflow.llm.packing import pack_documents
 from tabflow.llm.registry import QUERIES, SQL, register, table  # noqa: F401
 from tabflow.llm.secret_scan import scan, written
 from tabflow.llm.superkmer import remove_repeated
@@ -44,6 +45,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+@register()
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @register()
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
