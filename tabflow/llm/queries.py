@@ -10,6 +10,7 @@ from tabflow.llm.jaccard import jaccard_classes
 from tabflow.llm.language import fit, predict_languages
 from tabflow.llm.line_templates import line_report
 from tabflow.llm.mixing import mix
+from tabflow.llm.multi_index import nearest
 from tabflow.llm.packing import pack_documents
 from tabflow.llm.registry import QUERIES, SQL, register, table  # noqa: F401
 from tabflow.llm.secret_scan import scan, written
@@ -26,6 +27,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+@register()
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 @register()
 def op3_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
