@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabflow.llm.components import components
@@ -333,3 +333,20 @@ def jaccard_classes(documents: DataFrame, n: int = N_WORDS) -> DataFrame:
     joined = base.join(placed, ["one", "two"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, n: int = N_WORDS) -> DataFrame:
+    """The documents with all their columns, one of each class: the one with the smallest doc_id.
+
+    Rows without an id all stay, as they link with nothing. Of rows with one id, the one with the smallest text stays.
+    """
+    classes = materialize(jaccard_classes(documents, n), "jaccard-result")
+    ids = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
+    ids = ids.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"), (F.col("rows") > 1).alias("repeated"))
+    ids = measured(materialize(ids, "jaccard-kept"))
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("of"))
+    found = rows.join(ids, F.col("id") == F.col("kept_id"))
+    again = F.row_number().over(Window.partitionBy("id").orderBy("of"))
+    first = found.filter("repeated").withColumn("place", again).filter("place = 1").select("row")
+    kept = found.filter("not repeated").select("row").union(first).union(rows.filter("id is null").select("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
