@@ -260,7 +260,7 @@ def _linked() -> Column:
     return F.col("inter") * DENOMINATOR >= F.col("total") * NUMERATOR
 
 
-#: Rounds of stars go on while the pairs that are left are more than so many a row of the signature table.
+#: Rounds of stars go on while the pairs that are left are more than so many a row of the signature table, and each round halves them.
 PAIRS_A_ROW, ROUNDS = 2, 6
 
 
@@ -278,6 +278,7 @@ def link_components(sets: DataFrame) -> DataFrame:
 
     pairs = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     checked = materialize(compare(pairs, sets), "jaccard-checked")
+    before = None
     for turn in range(ROUNDS + 1):
         known = measured(materialize(components(checked.filter(_linked()).select("a", "b")), "jaccard-components"))
         placed = eligible.join(known, "node", "left").select("sig", "node", "lead", F.coalesce("component", "node").alias("component"))
@@ -287,8 +288,9 @@ def link_components(sets: DataFrame) -> DataFrame:
         left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()[0] or 0
         if not left:
             return known
-        if left <= PAIRS_A_ROW * rows or turn == ROUNDS:
+        if left <= PAIRS_A_ROW * rows or turn == ROUNDS or (before is not None and 2 * left > before):
             break
+        before = left
         drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "component")).alias("drawn")
         heads = materialize(placed.groupBy("sig").agg(drawn).select("sig", "drawn.node", "drawn.component"), "jaccard-heads")
         h, p = heads.alias("h"), placed.alias("p")

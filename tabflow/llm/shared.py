@@ -27,7 +27,12 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def shards(df: DataFrame, bytes_each: int) -> int:
-    return max(1, math.ceil(min(plan_bytes(df), 1 << 62) / bytes_each))
+    """Number of parts of about so many bytes: by the files of a plain scan; else the texts are measured."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    size = plan_bytes(df)
+    if leaves != 1 or size >= 1 << 50:
+        size = df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(1, math.ceil(size / bytes_each))
 
 
 def measured(df: DataFrame) -> DataFrame:
