@@ -32,11 +32,12 @@ SLICE_BYTES = 4 << 20
 #: Stands for a null id: larger than any, and no null row is before another.
 NO_ID = np.iinfo(np.int64).max
 _MARKS, _STRINGS = 0, 1
-_FIELDS = (("doc", "<i8"), ("th", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("bytes", "<i4"))
+_FIELDS = (("doc", "<i8"), ("th", "<i8"), ("start", "<i4"), ("windows", "<i2"), ("bytes", "<i4"))
 
 
 def _packed(fields: dict[str, np.ndarray], strings: bytes) -> bytes:
     n = len(fields["doc"])
+    fields = fields | {"doc": np.diff(fields["doc"], prepend=np.int64(0))}  # near each other, so small; wraps around at the ends of the range
     head = b"".join(np.ascontiguousarray(fields[k], t).tobytes() for k, t in _FIELDS)
     return zstandard.ZstdCompressor(level=3).compress(struct.pack("<q", n) + head + strings)
 
@@ -48,6 +49,7 @@ def _unpacked(payload: bytes) -> tuple[dict[str, np.ndarray], bytes]:
         size = n * np.dtype(t).itemsize
         fields[k] = np.frombuffer(raw[at : at + size], t)
         at += size
+    fields["doc"] = np.cumsum(fields["doc"], dtype=np.int64)
     return fields, raw[at:]
 
 
@@ -169,10 +171,18 @@ def _judge(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def repeated_windows(documents: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, th, text. ``th`` tells apart rows that share an id, or have none; where the id is the only one, it is 0 and costs nothing."""
+    rows = documents_of(documents)
+    again = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("again"))
+    again = materialize(again, "repeated-ids")
+    own = F.when(F.col("doc_id").isNull() | F.col("again").isNotNull(), text_key(F.col("text"))).otherwise(F.lit(0).cast("long"))
+    return rows.join(measured(again), F.col("doc_id") == F.col("again"), "left").select("doc_id", own.alias("th"), "text")
+
+
+def repeated_windows(rows: DataFrame, buckets: int) -> DataFrame:
     """doc (NO_ID for null), th and runs (start word and number of windows) of every text that has windows to go."""
-    rows = documents_of(documents).select("doc_id", text_key(F.col("text")).alias("th"), "text")
-    spread = rows.mapInArrow(_spread(shards(documents, bucket_bytes)), "bucket int, kind int, payload binary")
+    spread = rows.mapInArrow(_spread(buckets), "bucket int, kind int, payload binary")
     marks = spread.groupBy("bucket").applyInArrow(_judge, "doc long, th long, start int, windows int")
     return marks.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
 
@@ -183,10 +193,10 @@ def remove_repeated(documents: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> D
     A null text has no words. A null id is larger than any id; windows that only rows with one id share (or only rows without)
     stay. Rows that repeat an id and a text lose the same words. An empty table gives no rows.
     """
-    marks = measured(materialize(repeated_windows(documents, bucket_bytes), "repeated-windows"))
-    rows = documents_of(documents).withColumn("th", text_key(F.col("text")))
-    r, m = rows.alias("r"), marks.alias("m")
-    joined = r.join(m, (F.coalesce("r.doc_id", F.lit(int(NO_ID))) == F.col("m.doc")) & (F.col("r.th") == F.col("m.th")), "left").select("r.doc_id", "r.text", "m.runs")
+    rows = _keyed(documents)
+    marks = repeated_windows(rows, shards(documents, bucket_bytes))
+    r, m = rows.withColumn("doc", F.coalesce("doc_id", F.lit(int(NO_ID)))).alias("r"), marks.alias("m")
+    joined = r.join(m.hint("merge"), ["doc", "th"], "left").select("r.doc_id", "r.text", "m.runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
