@@ -7,9 +7,10 @@ k + 1 partitions hold two differences or more; in another, two of the three part
 hash of what the set has in them. Sets that share no signature cannot link.
 
     1. sets       one row a document: size and digest of its set; equal sets are one class from here on
-    2. filter     a set has a partner only if enough of its shingles in a fixed share of the domain occur in another set
+    2. filter     a set has a partner only if enough of its shingles occur in other sets: first over a fixed share of the domain,
+                  for all sets, then over the whole of it, for those that are left
     3. signatures of the sets that are left; those of one set only are dropped
-    4. stars      each signature's sets are compared with its smallest one; links join into components
+    4. stars      each signature's sets are compared with the one that shares most; links join into components
     5. rest       sets of one signature in different components are compared with each other, but for pairs that the triangle
                   inequality of the Jaccard distance rules out
     6. classes    components of all links
@@ -39,7 +40,7 @@ N_WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 PARTS = 3
 #: Partitions beyond those that could all differ, so that enough signatures are neither empty nor common.
-SLACK = 1.5
+SLACK = 1.4
 #: The filter looks at 3 of 8 parts of the domain.
 LOOKED_AT, OF = 3, 8
 #: Shingles of one bucket of the filter.
@@ -74,22 +75,35 @@ def set_table(documents: DataFrame, n: int = N_WORDS) -> DataFrame:
     return documents_of(documents).mapInArrow(measure, "doc_id long, n_shingles long, one long, two long, looked long")
 
 
-def _shared_shingles(documents: DataFrame, buckets: int, n: int) -> DataFrame:
-    """(one, shared): of the looked-at shingles of a set (by its digest), how many occur in other sets. Sets without any are left out.
+def _named_documents(n: int):
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, np.ndarray]]:
+        for _, _, sets in _sets(batches, n):
+            yield {_digest(s): s for s in sets if len(s)}
 
-    A shingle that several sets of a slice have is sent once, for all of them; so a common one costs a bucket one entry a slice.
+    return named
+
+
+def _named_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, np.ndarray]]:
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            part = batch.slice(at, 500)
+            sets = (np.frombuffer(x.as_buffer(), "<u8") for x in part["shingles"])
+            yield {i: s for i, s in zip(part["node"].to_pylist(), sets, strict=True) if len(s)}
+
+
+def _shared_shingles(rows: DataFrame, named, buckets: int, looked: int = OF) -> DataFrame:
+    """(one, shared): of a set's shingles in ``looked`` of OF parts of the domain, how many occur in sets of other names. Sets without any are left out.
+
+    ``named`` reads the rows as sets by name, slice by slice. A shingle that several sets of a slice have is sent once, for all of
+    them; so a common one costs a bucket one entry a slice.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, sets in _sets(batches, n):
-            known = {}
-            for s in sets:
-                if len(s):
-                    known.setdefault(_digest(s), s)
+        for known in named(batches):
             if not known:
                 continue
             digests = np.array(list(known), np.int64)
-            kept = [s[(s & _U(OF - 1)) < _U(LOOKED_AT)] for s in known.values()]
+            kept = [s[(s & _U(OF - 1)) < _U(looked)] for s in known.values()]
             shingles, owner = np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(s) for s in kept])
             order = np.argsort(shingles, kind="stable")
             shingles, owner = shingles[order], owner[order]
@@ -160,8 +174,7 @@ def _shared_shingles(documents: DataFrame, buckets: int, n: int) -> DataFrame:
             return pa.table({"one": pa.array([], pa.int64()), "shared": pa.array([], pa.int64())})
         return pa.table({"one": pa.array(np.concatenate(digests), pa.int64()), "shared": pa.array(np.concatenate(shared), pa.int64())})
 
-    rows = documents_of(documents).select("text").mapInArrow(spread, "bucket int, payload binary")
-    return rows.groupBy("bucket").applyInArrow(count, "one long, shared long").groupBy("one").agg(F.sum("shared").alias("shared"))
+    return rows.mapInArrow(spread, "bucket int, payload binary").groupBy("bucket").applyInArrow(count, "one long, shared long").groupBy("one").agg(F.sum("shared").alias("shared"))
 
 
 def _sets_of(documents: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -175,6 +188,15 @@ def _sets_of(documents: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return wanted.mapInArrow(collect, "node long, shingles binary")
 
 
+def _that_may_link(sets: DataFrame) -> DataFrame:
+    """The sets of which the threshold's share or more occurs in other sets that are left, over the whole domain."""
+    size = F.octet_length("shingles") / 8
+    total = sets.agg(F.sum(size)).first()[0] or 0
+    shared = materialize(_shared_shingles(sets, _named_nodes, int(total / BUCKET_SHINGLES) + 1), "jaccard-shared")
+    left = sets.join(measured(shared.withColumnRenamed("one", "node")), "node").filter(F.col("shared") * DENOMINATOR >= size * NUMERATOR)
+    return materialize(left.select("node", "shingles"), "jaccard-shingles")
+
+
 def _bands(size: int) -> list[tuple[int, int]]:
     """(tag, largest size) of the band of a size and of the next."""
     tag, low = 0, 1
@@ -264,26 +286,54 @@ def _linked() -> Column:
 PAIRS_A_ROW, ROUNDS = 2, 6
 
 
+def _members(sets: DataFrame) -> DataFrame:
+    """(sig, node, part, spare, n, kept) of the signatures that stand for a group of sets, and of the common ones (kept is false then).
+
+    Signatures of one set only, and all but one of those that the same sets share, say nothing new and are dropped.
+    """
+    signed = signature_table(sets)
+    digests = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(20,0)")).alias(f"d{k}") for k in (0, 1)]
+    groups = signed.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), *digests).filter("low <> high")
+    groups = materialize(groups.select("sig", "n", F.xxhash64("d0", "n").alias("d0"), F.xxhash64("d1", "n").alias("d1")), "jaccard-groups")
+    first = groups.groupBy("n", "d0", "d1").agg(F.min("sig").alias("sig")).select("sig", "n", F.lit(True).alias("kept"))
+    wanted = first.union(groups.filter(F.col("n") > COMMON).select("sig", "n", F.lit(False))).groupBy("sig", "n").agg(F.max("kept").alias("kept"))
+    return materialize(signed.join(measured(materialize(wanted, "jaccard-wanted")), "sig"), "jaccard-members")
+
+
+def _unsafe(members: DataFrame) -> DataFrame:
+    """(node, tag) of the sets that common signatures leave too few partitions, so that they may miss a partner elsewhere."""
+    common = members.filter((F.col("n") > COMMON) & (F.col("part") >= 0))
+    lost = common.groupBy("node", "part").agg(F.min("spare").alias("spare")).groupBy("node", F.pmod("part", F.lit(4)).alias("tag"))
+    return materialize(lost.agg(F.count("*").alias("lost"), F.min("spare").alias("spare")).filter("lost >= spare").select("node", "tag"), "jaccard-unsafe")
+
+
+def _mixed(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components of the links, and the members of those signatures whose sets are still in several of them."""
+    known = measured(materialize(components(links), "jaccard-components"))
+    placed = members.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
+    return known, materialize(placed.join(measured(materialize(mixed, "jaccard-mixed")), "sig", "left_semi"), "jaccard-placed")
+
+
 def link_components(sets: DataFrame) -> DataFrame:
     """(node, component) of all nodes that link with another; ``sets`` is a written table of (node, shingles)."""
-    signed = signature_table(sets)
-    groups = materialize(signed.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("top"), F.count("*").alias("n")).filter("lead <> top").drop("top"), "jaccard-groups")
-    members = materialize(signed.join(groups, "sig"), "jaccard-members")
-    common = members.filter((F.col("n") > COMMON) & (F.col("part") >= 0)).groupBy("node", F.pmod(F.col("part"), F.lit(4)).alias("tag")).agg(F.countDistinct("part").alias("lost"), F.min("spare").alias("spare"))
-    unsafe = materialize(common.filter("lost >= spare").select("node", "tag"), "jaccard-unsafe")
-    tagged = members.withColumn("tag", F.when(F.col("part") >= 0, F.pmod(F.col("part"), F.lit(4))))
-    risky = tagged.filter("n > " + str(COMMON)).join(measured(unsafe), ["node", "tag"], "left_semi")
-    eligible = materialize(tagged.filter((F.col("n") <= COMMON) | (F.col("part") < 0)).select("sig", "node", "lead").union(risky.select("sig", "node", "lead")), "jaccard-eligible")
-    rows = eligible.count()
-
-    pairs = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    every = _members(sets)
+    members = every.filter("kept")
+    # The set that shares most is the likely centre of a group: edited copies link with their origin rather than with each other.
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    heavy = members.join(measured(materialize(weight, "jaccard-weights")), "node")
+    leads = heavy.groupBy("sig").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("lead"))
+    led = materialize(members.join(measured(materialize(leads, "jaccard-leads")), "sig"), "jaccard-led")
+    pairs = led.filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     checked = materialize(compare(pairs, sets), "jaccard-checked")
-    before = None
+    known, placed = _mixed(led, checked.filter(_linked()).select("a", "b"))
+    # In a common signature only sets count that may miss a partner in their others.
+    placed = placed.withColumn("tag", F.when(F.col("part") >= 0, F.pmod("part", F.lit(4))))
+    risky = placed.filter((F.col("n") > COMMON) & (F.col("part") >= 0)).join(measured(_unsafe(every)), ["node", "tag"], "left_semi").select(placed.columns)
+    placed = placed.filter((F.col("n") <= COMMON) | (F.col("part") < 0)).union(risky).select("sig", "node", "lead", "component")
+    placed = materialize(placed, "jaccard-eligible")
+    rows, before = placed.count(), None
     for turn in range(ROUNDS + 1):
-        known = measured(materialize(components(checked.filter(_linked()).select("a", "b")), "jaccard-components"))
-        placed = eligible.join(known, "node", "left").select("sig", "node", "lead", F.coalesce("component", "node").alias("component"))
-        mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
-        placed = materialize(placed.join(measured(materialize(mixed, "jaccard-mixed")), "sig", "left_semi"), "jaccard-placed")
         sizes = placed.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
         left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()[0] or 0
         if not left:
@@ -298,15 +348,16 @@ def link_components(sets: DataFrame) -> DataFrame:
         new = new.select(F.least("p.node", "h.node").alias("a"), F.greatest("p.node", "h.node").alias("b")).distinct()
         new = new.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         checked = materialize(checked.unionByName(compare(new, sets)), "jaccard-checked")
+        known, placed = _mixed(placed, checked.filter(_linked()).select("a", "b"))
 
     far = checked.select("a", "b", (1 - F.col("inter") / F.col("total")).alias("distance"))
     far = far.union(far.select("b", "a", "distance"))
-    measured_to = placed.join(far.select(F.col("a").alias("lead"), F.col("b").alias("node"), "distance"), ["lead", "node"], "left")
-    measured_to = materialize(measured_to.withColumn("distance", F.when(F.col("lead") == F.col("node"), 0.0).otherwise(F.col("distance"))), "jaccard-distances")
-    x, y = measured_to.alias("x"), measured_to.alias("y")
+    apart = placed.join(far.select(F.col("a").alias("lead"), F.col("b").alias("node"), "distance"), ["lead", "node"], "left")
+    apart = materialize(apart.withColumn("distance", F.when(F.col("lead") == F.col("node"), 0.0).otherwise(F.col("distance"))), "jaccard-distances")
+    x, y = apart.alias("x"), apart.alias("y")
     limit = 1 - NUMERATOR / DENOMINATOR + 1e-9
     near = F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= limit, F.lit(True))
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))).filter(near)
+    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & near)
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
     more = materialize(compare(rest, sets).filter(_linked()).select("a", "b"), "jaccard-rest")
     return components(checked.filter(_linked()).select("a", "b").union(more))
@@ -322,10 +373,11 @@ def jaccard_classes(documents: DataFrame, n: int = N_WORDS) -> DataFrame:
     classes = base.filter("n_shingles > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size"), F.max("looked").alias("looked"))
     classes = materialize(classes, "jaccard-classes")
     total = base.agg(F.sum("n_shingles")).first()[0] or 0
-    shared = _shared_shingles(documents, max(1, int(total * LOOKED_AT / OF / BUCKET_SHINGLES) + 1), n)
+    texts, buckets = documents_of(documents).select("text"), int(total * LOOKED_AT / OF / BUCKET_SHINGLES) + 1
+    shared = _shared_shingles(texts, _named_documents(n), buckets, LOOKED_AT)
     need = F.col("looked") - F.floor(F.col("size") * (DENOMINATOR - NUMERATOR) / DENOMINATOR)
     left = classes.join(shared, "one", "left").filter(F.coalesce("shared", F.lit(0)) >= need).select("node").distinct()
-    sets = materialize(_sets_of(documents, materialize(left, "jaccard-left"), n), "jaccard-shingles")
+    sets = _that_may_link(materialize(_sets_of(documents, materialize(left, "jaccard-left"), n), "jaccard-shingles"))
     same = base.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
     several = base.join(measured(materialize(same, "jaccard-repeated")), "doc_id", "left_semi").join(classes.select("one", "two", "node"), ["one", "two"])
     links = link_components(sets).select(F.col("node").alias("a"), F.col("component").alias("b")).union(several.select("doc_id", "node"))
