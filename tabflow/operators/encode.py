@@ -17,16 +17,13 @@ from tabflow.operators.stats import Categories
 MAP_LIMIT = 64
 
 
-class TooManyCategories(ValueError):
-    """One-hot encoding would add more columns than a plan can carry."""
-
-
 def one_hot_values(categories: Categories, categorical: bool = True) -> list:
-    """The allowed values in order; categoricals end with ``other``."""
+    """The allowed values in order; categoricals end with ``other``. Each becomes a column, so however many there are, they are listed."""
+    values = categories.values
     if not categories.inline:
-        raise TooManyCategories(f"more than {Categories.MAX_INLINE} categories; use the ordinal encoding")
-    extra = [OTHER] if categorical and OTHER not in categories.values else []
-    return [*categories.values, *extra]
+        values = [r["value"] for r in categories.table.orderBy("label").select("value").collect()]
+    extra = [OTHER] if categorical and OTHER not in values else []
+    return [*values, *extra]
 
 
 def one_hot(c: Column, column: str, values: list) -> list[Column]:
@@ -93,9 +90,11 @@ def decode_column(df: DataFrame, column: str, categories: Categories) -> DataFra
     return joined.select([F.col("_value").alias(c) if c == column else F.col(quote(c)) for c in df.columns])
 
 
-def explode_embedding(df: DataFrame, column: str, dimensions: int = 1, source: str | None = None) -> DataFrame:
-    """The vector column becomes one column per dimension, ``{column}_embedding_{i}``."""
+def explode_embedding(df: DataFrame, column: str, dimensions: int | None = None, source: str | None = None) -> DataFrame:
+    """The vector column becomes one column per dimension, ``{column}_embedding_{i}``; by default all of the longest vector."""
     vector = source or embedding_name(column)
+    if dimensions is None:
+        dimensions = df.agg(F.max(F.size(quote(vector)))).first()[0] or 0
     rest = [F.col(quote(c)) for c in df.columns if c != vector]
     parts = [F.get(F.col(quote(vector)), F.lit(i)).alias(f"{embedding_name(column)}_{i}") for i in range(dimensions)]
     return df.select(*rest, *parts)

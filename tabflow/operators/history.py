@@ -18,7 +18,6 @@ from tabflow.operators.ordering import MAX_RANGES, RangeCuts, exact_position, po
 from tabflow.session import cut_lineage
 
 HOT_ROWS = 5_000_000
-MAX_HOT_GROUPS = 1000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -30,11 +29,10 @@ class Earlier:
     where: Column | None = None
 
 
-def hot_groups(df: DataFrame, group: str, hot_rows: int = HOT_ROWS) -> list:
-    """The largest groups beyond the limit. Any others beyond it hold less than a thousandth of the rows each."""
-    counts = df.groupBy(F.col(quote(group)).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.filter(F.col("n") > hot_rows).orderBy(F.desc("n")).limit(MAX_HOT_GROUPS).collect()
-    return [r.g for r in rows]
+def hot_groups(df: DataFrame, group: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(_hot_group): all groups beyond the limit, however many; a written table."""
+    counts = df.groupBy(F.col(quote(group)).alias("_hot_group")).agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(counts.filter(F.col("n") > hot_rows).select("_hot_group"))
 
 
 def with_earlier(
@@ -56,12 +54,16 @@ def with_earlier(
         }
     )
     keep = [F.col(quote(c)) for c in df.columns]
-    if not hot:
+    if hot.isEmpty():
         before = Window.partitionBy(quote(group)).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
         taken = [F.last(F.col(f"_e{i}"), ignorenulls=True).over(before).getField("v").alias(n) for i, n in enumerate(names)]
         return marked.select(*keep, *taken)
 
-    is_hot = _any_of(F.col(quote(group)), hot)
+    known = hot.withColumn("_is_hot", F.lit(True))
+    if _measured_small(hot):
+        known = F.broadcast(known)
+    marked = marked.join(known, F.col(quote(group)).eqNullSafe(F.col("_hot_group")), "left").drop("_hot_group")
+    is_hot = F.coalesce(F.col("_is_hot"), F.lit(False))
     ranged = _cut_groups(marked, is_hot, order)
     ordering = F.struct(*[F.col(quote(c)) for c in order])
     handed = (
@@ -107,12 +109,6 @@ def _cut_groups(df: DataFrame, is_hot: Column, order: Sequence[str]) -> DataFram
     return df.withColumn("_range", F.when(is_hot, number).otherwise(F.lit(-1).cast("long")))
 
 
-def _any_of(c: Column, values: list) -> Column:
-    present = [v for v in values if v is not None]
-    hit = F.coalesce(c.isin(*present), F.lit(False)) if present else F.lit(False)
-    return hit | c.isNull() if None in values else hit
-
-
 def previous_value(df: DataFrame, group: str, order: Sequence[str], value: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The value of the row just before in the same group."""
     return with_earlier(df, group, order, {name: Earlier(F.col(quote(value)))}, hot_rows)

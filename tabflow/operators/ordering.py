@@ -126,8 +126,8 @@ def running_total(df: DataFrame, key: str, totals: Mapping[str, Column], ranges:
 def global_rank(df: DataFrame, key: str, name: str = "rank", descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Number of rows with a smaller key (a larger one when descending), added as a column. NULL is the smallest key.
 
-    Rows of a key that fills whole ranges, and rows without a key, all have rank 1 inside a range of their own, so they
-    are spread over several tasks. Types without an exact position are ranked on their distinct keys and joined back.
+    Rows of a key that fills whole ranges, and rows without a key, all have rank 1 inside a range of their own, so each
+    is a group by itself and they spread over all tasks. Types without an exact position are ranked on their distinct keys and joined back.
     """
     if not exact_position(df.schema[key].dataType):
         return _rank_by_distinct_key(df, key, name, descending, ranges)
@@ -139,7 +139,7 @@ def global_rank(df: DataFrame, key: str, name: str = "rank", descending: bool =
     bucketed = bucketed.withColumns(
         {
             "_range": F.when(no_key, F.lit(2 * MAX_RANGES + 2 if descending else -1)).otherwise(F.col("_range")),
-            "_spread": F.when(alone, F.pmod(F.spark_partition_id(), F.lit(64))).otherwise(F.lit(0)),
+            "_spread": F.when(alone, F.monotonically_increasing_id()).otherwise(F.lit(-1)),
         }
     )
     per_range = bucketed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))

@@ -30,52 +30,64 @@ class DateSplitter:
     months_valid: int = 2
     today: dt.datetime | None = None
     bounds: tuple[dt.datetime, dt.datetime] | None = field(default=None, init=False)
+    format: str | None = field(default=None, init=False)
 
     def __post_init__(self) -> None:
         if self.months_test <= 0 or self.months_valid <= 0:
             raise ValueError("months_test and months_valid must be positive")
 
-    def _dated(self, df: DataFrame) -> DataFrame:
+    def _format_of(self, df: DataFrame) -> str | None:
+        """The format of a text date column; None for a column of dates."""
         t = df.schema[self.date_col].dataType
         if is_temporal(t):
+            return None
+        found = date_formats(df, [self.date_col]) if isinstance(t, T.StringType) else {}
+        if not found:
+            raise TypeError(f"{self.date_col} is not a date column")
+        return found[self.date_col]
+
+    def _dated(self, df: DataFrame, format: str | None) -> DataFrame:
+        if format is None:
             return df
-        if isinstance(t, T.StringType):
-            found = date_formats(df, [self.date_col])
-            if found:
-                return df.withColumn(self.date_col, parse_datetime(F.col(quote(self.date_col)), found[self.date_col]))
-        raise TypeError(f"{self.date_col} is not a date column")
+        return df.withColumn(self.date_col, parse_datetime(F.col(quote(self.date_col)), format))
 
-    def fit(self, df: DataFrame) -> DateSplitter:
-        """Finds where validation and test begin; two literals, whatever the size of the table."""
-        df = self._dated(df)
+    def _find(self, df: DataFrame) -> tuple[tuple[dt.datetime, dt.datetime], str | None]:
+        format = self._format_of(df)
         last = F.max(F.col(quote(self.date_col)).cast("date"))
         fallback = F.lit((self.today or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).date())
         test = F.add_months(F.coalesce(last, fallback), -self.months_test)
-        row = df.agg(test.alias("test"), F.add_months(test, -self.months_valid).alias("valid")).first()
+        row = self._dated(df, format).agg(test.alias("test"), F.add_months(test, -self.months_valid).alias("valid")).first()
         start_of_day = lambda d: dt.datetime(d.year, d.month, d.day)
-        self.bounds = (start_of_day(row.valid), start_of_day(row.test))
+        return (start_of_day(row.valid), start_of_day(row.test)), format
+
+    def fit(self, df: DataFrame) -> DateSplitter:
+        """Finds where validation and test begin; two literals, whatever the size of the table. They hold until the next fit."""
+        self.bounds, self.format = self._find(df)
         return self
 
-    def assign(self, df: DataFrame) -> DataFrame:
+    def _placed(self, df: DataFrame) -> tuple[DataFrame, Column, Column]:
+        """The frame with its dates, and where validation and test begin: as fitted, or for this frame alone without a fit."""
         if self.bounds is None:
-            self.fit(df)
-        df = self._dated(df)
+            bounds, format = self._find(df)
+        else:
+            known = self.format if isinstance(df.schema[self.date_col].dataType, T.StringType) else None
+            bounds, format = self.bounds, known or self._format_of(df)
+        df = self._dated(df, format)
         kind = df.schema[self.date_col].dataType
+        valid, test = (F.lit(b).cast("timestamp_ntz").cast(kind) for b in bounds)
+        return df, valid, test
+
+    def assign(self, df: DataFrame) -> DataFrame:
+        df, valid, test = self._placed(df)
         c = F.col(quote(self.date_col))
-        valid, test = (F.lit(b).cast("timestamp_ntz").cast(kind) for b in self.bounds)
         return df.withColumn("split", F.when(c < valid, "train").when(c < test, "valid").otherwise("test"))
 
-
     def rows(self, df: DataFrame, name: str) -> DataFrame:
         """One segment by plain comparisons of the date, which reach the scan; a filter on the label does not."""
-        if self.bounds is None:
-            self.fit(df)
         if name not in SEGMENTS:
             raise ValueError(f"unknown segment {name!r}")
-        df = self._dated(df)
-        kind = df.schema[self.date_col].dataType
+        df, valid, test = self._placed(df)
         c = F.col(quote(self.date_col))
-        valid, test = (F.lit(b).cast("timestamp_ntz").cast(kind) for b in self.bounds)
         wanted = {"train": c < valid, "valid": (c >= valid) & (c < test), "test": (c >= test) | c.isNull()}[name]
         return df.filter(wanted).withColumn("split", F.lit(name))
 
@@ -123,11 +135,10 @@ class RandomSplitter:
                 keyed, digest = df, row_digest(df.columns, seed)
         return keyed, F.shiftrightunsigned(digest, 64 - _HASH_BITS)
 
-    def fit(self, df: DataFrame) -> RandomSplitter:
+    def _find(self, df: DataFrame) -> tuple[int, int]:
         top = 1 << _HASH_BITS
         if not self.exact:
-            self.cuts = (int(top * self.train), int(top * (self.train + self.valid)))
-            return self
+            return int(top * self.train), int(top * (self.train + self.valid))
         keyed, h = self._hash(df)
         hashes = keyed.select(h.alias("h"))
         shift = _HASH_BITS - _STEP_BITS
@@ -135,14 +146,17 @@ class RandomSplitter:
         n = sum(counts.values())
         n_train = math.floor(n * self.train)
         targets = (n_train, n_train + math.floor(n * self.valid))
-        self.cuts = tuple(_hash_at_rank(hashes, counts, shift, rank) for rank in targets)
+        return tuple(_hash_at_rank(hashes, counts, shift, rank) for rank in targets)
+
+    def fit(self, df: DataFrame) -> RandomSplitter:
+        """Finds the cuts of this frame. They hold until the next fit."""
+        self.cuts = self._find(df)
         return self
 
     def assign(self, df: DataFrame) -> DataFrame:
-        if self.cuts is None:
-            self.fit(df)
+        """By the fitted cuts; without a fit by this frame's own, which are not kept."""
         keyed, h = self._hash(df)
-        train_end, valid_end = self.cuts
+        train_end, valid_end = self.cuts or self._find(df)
         label = F.when(h < F.lit(train_end), "train").when(h < F.lit(valid_end), "valid").otherwise("test")
         return keyed.withColumn("split", label).drop("_row")
 
@@ -194,29 +208,34 @@ class PredefinedSplitter:
         if len(flat) != len(set(flat)):
             raise ValueError("a file may belong to one segment only")
 
-    def read(self, spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, format: str | None = None) -> DataFrame:
+    def read(
+        self, spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, format: str | None = None, **options
+    ) -> DataFrame:
+        """One scan over all listed files, so that their types are settled together; the segment comes from the file's name."""
         from tabflow.sources.files import scan
 
-        wanted = {name: s for s in SEGMENTS for name in getattr(self, s)}
-        stem = F.regexp_replace("name", r"\.(csv\.gz|[^.]+)$", "")
-        found = paths.list_files(spark, path).select("path", stem.alias("stem")).filter(F.col("stem").isin(*wanted)).collect()
+        wanted = [name for s in SEGMENTS for name in getattr(self, s)]
+        found = paths.list_files(spark, path).select(_stem(F.col("name")).alias("stem")).filter(F.col("stem").isin(wanted)).distinct().collect()
         missing = set(wanted) - {r.stem for r in found}
         if missing:
             raise FileNotFoundError(f"no file for {sorted(missing)} below {path}")
-        out = None
-        for s in SEGMENTS:
-            files = [r.path for r in found if wanted[r.stem] == s]
-            part = scan(spark, files, format=format, schema=schema).withColumn("split", F.lit(s))
-            out = part if out is None else out.unionByName(part)
-        return out
+        listed = lambda name: _stem(name).isin(wanted)
+        rows = scan(spark, path, format=format, schema=schema, file_filter=listed, file_column="_file", **options)
+        return rows.withColumn("split", self._label(_stem(F.col("_file")))).drop("_file")
 
-    def assign(self, df: DataFrame) -> DataFrame:
-        """For a frame straight from a file scan: the segment of the file a row was read from."""
-        stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.(csv\.gz|[^.]+)$", "")
+    def _label(self, stem: Column) -> Column:
         label = F.lit(None).cast("string")
         for s in SEGMENTS:
             label = F.when(stem.isin(*getattr(self, s)), s).otherwise(label)
-        return df.select("*", label.alias("split")).filter(F.col("split").isNotNull())
+        return label
+
+    def assign(self, df: DataFrame) -> DataFrame:
+        """For a frame straight from a file scan: the segment of the file a row was read from."""
+        return df.select("*", self._label(_stem(F.col("_metadata.file_name"))).alias("split")).filter(F.col("split").isNotNull())
+
+
+def _stem(name: Column) -> Column:
+    return F.regexp_replace(name, r"\.(csv\.gz|[^.]+)$", "")
 
 
 def write_split(df: DataFrame, path: str, mode: str = "overwrite") -> None:

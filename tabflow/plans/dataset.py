@@ -79,11 +79,13 @@ class Dataset:
     # ------------------------------------------------------------ fit
 
     def split(self, df: DataFrame) -> DataFrame:
-        """Adds the ``split`` column, unless the frame has one."""
+        """Adds the ``split`` column, unless the frame has one; the splitter is fitted to this frame."""
         if "split" in df.columns:
             return df
         if self.splitter is None:
             raise ValueError("the dataset has no splitter and the frame no split column")
+        if hasattr(self.splitter, "fit"):
+            self.splitter.fit(df)
         return self.splitter.assign(df)
 
     def fit(self, df: DataFrame, profile: bool = False) -> Dataset:

@@ -180,7 +180,7 @@ class Model:
         if self.objective == "binary:hinge":
             return LinearSVC(**common, maxIter=int(h["n_estimators"]))
         if self.objective == "reg:logistic":
-            return self._fractional_logistic(common, 25, 0.0)
+            return self._fractional_logistic(common, int(h["n_estimators"]), 0.0)
         trees = {
             **common,
             "maxIter": int(h["n_estimators"]),
@@ -202,7 +202,7 @@ class Model:
 
     @staticmethod
     def _fractional_logistic(common: dict, iterations: int, strength: float):
-        return GeneralizedLinearRegression(**common, family="binomial", link="logit", maxIter=min(iterations, 25), regParam=strength)
+        return GeneralizedLinearRegression(**common, family="binomial", link="logit", maxIter=iterations, regParam=strength)
 
     def _stage(self):
         return self.pipeline.stages[-1]

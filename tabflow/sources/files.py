@@ -7,7 +7,6 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,14 +60,20 @@ def scan(
     columns: Mapping[str, str] | None = None,
     file_filter: Callable[[Column], Column] | None = None,
     modified_after: dt.datetime | None = None,
+    file_column: str | None = None,
+    **options: Any,
 ) -> DataFrame:
-    """All files below a folder as one frame. Where a folder holds Parquet and CSV, Parquet wins."""
+    """All files below a folder as one frame. Where a folder holds Parquet and CSV, Parquet wins.
+
+    ``file_filter`` gets the file name column; ``modified_after`` takes files changed later; ``file_column`` adds each row's file
+    name. Further options go to the CSV reader.
+    """
     if format is None:
         format = "parquet" if not paths.list_files(spark, path, "*.parquet").isEmpty() else "csv"
     if format == "parquet":
-        return scan_parquet(spark, path, schema, file_filter, modified_after)
+        return scan_parquet(spark, path, schema, file_filter, modified_after, file_column)
     if format == "csv":
-        return scan_csv(spark, path, columns, schema)
+        return scan_csv(spark, path, columns, schema, file_filter, modified_after, file_column, **options)
     raise ValueError(f"unknown format {format!r}")
 
 
@@ -78,6 +83,7 @@ def scan_parquet(
     schema: T.StructType | None = None,
     file_filter: Callable[[Column], Column] | None = None,
     modified_after: dt.datetime | None = None,
+    file_column: str | None = None,
 ) -> DataFrame:
     """Parquet below a folder. ``file_filter`` gets the file name column; Spark prunes whole files with it."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
@@ -86,13 +92,19 @@ def scan_parquet(
     if modified_after is not None:
         if schema is None:
             raise ValueError("an incremental scan needs a schema, because no file may match")
-        reader = reader.option("modifiedAfter", modified_after.strftime("%Y-%m-%dT%H:%M:%S"))
+        reader = reader.option("modifiedAfter", _instant(modified_after))
     df = reader.parquet(*([path] if isinstance(path, str) else path))
+    if file_column is not None:
+        df = df.select("*", F.col("_metadata.file_name").alias(file_column))
     if file_filter is not None:
         df = df.filter(file_filter(F.col("_metadata.file_name")))
     return df
 
 
+def _instant(at: dt.datetime) -> str:
+    return at.strftime("%Y-%m-%dT%H:%M:%S")
+
+
 def scan_stream(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
     """Parquet files of a folder as a stream; a run with ``availableNow`` reads the files that no run has read yet."""
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
@@ -104,39 +116,32 @@ def scan_stream(spark: SparkSession, path: str, schema: T.StructType, pattern: s
 _CSV_NAMES = "*.{csv,csv.gz}"
 
 
-def _csv_headers(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], str | list[str]]]:
-    """Distinct header lines and where the files with each are; every file's first line is read in a task.
+def _csv_reader(spark: SparkSession, modified_after: dt.datetime | None, options: Mapping[str, Any]):
+    reader = spark.read.options(recursiveFileLookup=True, pathGlobFilter=_CSV_NAMES, **options)
+    return reader if modified_after is None else reader.option("modifiedAfter", _instant(modified_after))
 
-    Where all files agree, which is usual, that is the folder itself; only otherwise are file names collected.
-    """
 
-    def first_lines(batches):
-        import csv
-        import io
-
-        from pyarrow import fs
-
-        for batch in batches:
-            headers = []
-            for uri in batch["path"]:
-                filesystem, local = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://").replace("file:///", "/").replace("file:/", "/"))
-                with filesystem.open_input_stream(local) as stream:
-                    head = b""
-                    while b"\n" not in head:
-                        piece = stream.read(65536)
-                        if not piece:
-                            break
-                        head += piece
-                line = head.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
-                headers.append(next(csv.reader(io.StringIO(line)), []))
-            yield pd.DataFrame({"path": batch["path"], "header": headers})
-
-    heads = paths.list_files(spark, path, _CSV_NAMES).select("path").mapInPandas(first_lines, "path string, header array<string>")
-    headers = heads.groupBy("header").agg(F.count(F.lit(1)).alias("n")).collect()
-    if len(headers) == 1:
-        return [(list(headers[0].header), path)]
-    groups = heads.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files")).collect()
-    return sorted(((list(g.header), list(g.files)) for g in groups), key=lambda g: g[1][0])
+def _csv_heads(spark: SparkSession, path: str | list[str], file_filter, modified_after, options: Mapping[str, Any]) -> DataFrame:
+    """file, head: the first line of every file, by Spark's own text reader, so that any path and its credentials work."""
+    kept = {k: v for k, v in options.items() if k.lower() in ("linesep", "encoding")}
+    lines = _csv_reader(spark, modified_after, {k: v for k, v in kept.items() if k.lower() == "linesep"}).text(path)
+    lines = lines.filter("_metadata.file_block_start = 0")
+    if file_filter is not None:
+        lines = lines.filter(file_filter(F.col("_metadata.file_name")))
+    line = F.col("value")
+    for k, v in kept.items():
+        if k.lower() == "encoding":
+            line = F.decode(line.cast("binary"), v)
+    # A text partition holds its lines in order, so the smallest number belongs to the first line.
+    numbered = lines.select(F.col("_metadata.file_path").alias("file"), line.alias("line"), F.monotonically_increasing_id().alias("n"))
+    return numbered.groupBy("file").agg(F.regexp_replace(F.min_by("line", "n"), "^\ufeff|\r$", "").alias("head"))
+
+
+def _header_names(spark: SparkSession, head: str, options: Mapping[str, Any]) -> list[str]:
+    """The names in a header line, split by Spark with the options of the scan."""
+    plain = {k: v for k, v in options.items() if k.lower() not in ("linesep", "encoding", "header")}
+    row = spark.read.options(**plain).csv(spark.sparkContext.parallelize([head], 1)).first()
+    return [] if row is None else [name or f"_c{i}" for i, name in enumerate(row)]
 
 
 def scan_csv(
@@ -144,25 +149,40 @@ def scan_csv(
     path: str | list[str],
     columns: Mapping[str, str] | None = None,
     schema: T.StructType | None = None,
+    file_filter: Callable[[Column], Column] | None = None,
+    modified_after: dt.datetime | None = None,
+    file_column: str | None = None,
     **options: Any,
 ) -> DataFrame:
     """CSV with a header. Files may order their columns differently; only columns found in every file are kept.
 
-    ``columns`` maps names to semantic types; types of all other columns are inferred from the data.
+    ``columns`` maps names to semantic types; types of all other columns are inferred from the data of all files together.
+    ``options`` are those of Spark's reader (``sep``, ``quote``, ``encoding`` and so on); the header is split with them, too. Only the distinct
+    headers come to the driver, however many files there are.
     """
-    groups = _csv_headers(spark, path)
-    if not groups:
+    heads = _csv_heads(spark, path, file_filter, modified_after, options)
+    distinct = sorted(r["head"] for r in heads.select("head").distinct().collect())
+    if not distinct:
+        if schema is not None:
+            return spark.createDataFrame([], schema if file_column is None else T.StructType([*schema.fields, T.StructField(file_column, T.StringType())]))
         raise FileNotFoundError(f"no CSV file below {path}")
-    shared = [c for c in groups[0][0] if all(c in header for header, _ in groups)]
-    text = None
-    for header, files in groups:
-        strings = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        reader = spark.read.options(header=True, recursiveFileLookup=True, pathGlobFilter=_CSV_NAMES, **options)
-        part = reader.schema(strings).csv(files)
-        part = part.select([_missing(F.col(quote(c))).alias(c) for c in shared])
-        text = part if text is None else text.unionByName(part)
+    headers = [_header_names(spark, h, options) for h in distinct]
+    shared = [c for c in headers[0] if all(c in h for h in headers)]
+    cells = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(max(map(len, headers)))])
+    rows = _csv_reader(spark, modified_after, {**options, "header": True}).schema(cells).csv(path)
+    if file_filter is not None:
+        rows = rows.filter(file_filter(F.col("_metadata.file_name")))
+    extra = [] if file_column is None else [F.col("_metadata.file_name").alias(file_column)]
+    if len(headers) == 1:
+        text = rows.select(*[_missing(F.col(f"_{headers[0].index(c)}")).alias(c) for c in shared], *extra)
+    else:
+        # Each row takes its places from its own file's header.
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_path"), *extra).join(heads.select(F.col("file").alias("_path"), F.col("head").alias("_head")), "_path")
+        cell = lambda c: F.coalesce(*[F.when(F.col("_head") == h, F.col(f"_{names.index(c)}")) for h, names in zip(distinct, headers, strict=True)])
+        text = rows.select(*[_missing(cell(c)).alias(c) for c in shared], *([] if file_column is None else [F.col(quote(file_column))]))
+    names = [] if file_column is None else [F.col(quote(file_column))]
     if schema is not None:
-        return text.select([safe_cast(F.col(quote(f.name)), T.StringType(), f.dataType).alias(f.name) for f in schema.fields])
+        return text.select(*[safe_cast(F.col(quote(f.name)), T.StringType(), f.dataType).alias(f.name) for f in schema.fields], *names)
     declared = dict(columns or {})
     inferred = infer_types(text, [c for c in shared if c not in declared])
     return apply_types(text, {**inferred, **{c: (t, None) for c, t in declared.items()}})

@@ -21,7 +21,6 @@ TEXT_IF_MORE_DISTINCT_THAN = 100
 
 _WHOLE = r"^\s*[+-]?\d{1,19}\s*$"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_LONGEST_DATE = 48
 
 TypeMap = dict[str, tuple[str, str | None]]
 
@@ -82,27 +81,24 @@ def unify(frames: Sequence[DataFrame]) -> DataFrame:
 def date_formats(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """The first format that fits every non-null value, for each string column that has one.
 
-    One pass finds a sample value and the longest value of every column. Only formats that fit the sample can fit the
+    One pass finds a sample value of every column. Only formats that fit the sample can fit the
     column, so the second pass checks one or two formats for few columns instead of all formats for all columns.
     """
     if not columns:
         return {}
     probe = df.agg(
         *[
-            F.struct(
-                F.any_value(F.col(quote(c)), F.lit(True)).alias("sample"),
-                F.max(F.length(F.col(quote(c)))).alias("longest"),
-            ).alias(f"c{i}")
+            F.any_value(F.col(quote(c)), F.lit(True)).alias(f"c{i}")
             for i, c in enumerate(columns)
         ]
     ).first()
     samples = {c: probe[f"c{i}"] for i, c in enumerate(columns)}
     spark = df.sparkSession
-    plausible = [c for c in columns if samples[c].sample is not None and samples[c].longest <= _LONGEST_DATE]
+    plausible = [c for c in columns if samples[c] is not None]
     if not plausible:
         return {}
     one_row = spark.range(1).select(
-        *[parse_datetime(F.lit(samples[c].sample), f).isNotNull().alias(f"c{i}_{j}") for i, c in enumerate(plausible) for j, f in enumerate(DATE_FORMATS)]
+        *[parse_datetime(F.lit(samples[c]), f).isNotNull().alias(f"c{i}_{j}") for i, c in enumerate(plausible) for j, f in enumerate(DATE_FORMATS)]
     ).first()
     candidates = {c: [j for j in range(len(DATE_FORMATS)) if one_row[f"c{i}_{j}"]] for i, c in enumerate(plausible)}
     checks = [(c, j) for c in plausible for j in candidates[c]]
@@ -192,7 +188,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> TypeMap:
             F.count(c).alias("n"),
             F.count_if(c.isNotNull() & ~(c.rlike(_WHOLE) & c.try_cast("bigint").isNotNull())).alias("not_whole"),
             F.count_if(c.isNotNull() & ~c.rlike(_NUMBER)).alias("not_number"),
-            F.count_if(c.isNotNull() & ~c.isin("true", "false")).alias("not_bool"),
+            F.count_if(c.isNotNull() & ~F.lower(c).isin("true", "false")).alias("not_bool"),
             F.approx_count_distinct(c).alias("distinct"),
         )
 
@@ -251,6 +247,8 @@ def apply_types(df: DataFrame, types: Mapping[str, tuple[str, str | None]]) -> D
                 c = parse_datetime(c, fmt)
             elif isinstance(f.dataType, T.StringType) and semantic in ("integer", "float"):
                 c = F.trim(c).try_cast(spark_type(semantic))
+            elif isinstance(f.dataType, T.StringType) and semantic == "boolean":
+                c = F.lower(c) == F.lit("true")
             else:
                 c = safe_cast(c, f.dataType, spark_type(semantic))
         out.append(c.alias(f.name))

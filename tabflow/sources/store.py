@@ -14,14 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabflow.functions.columns import quote
+from tabflow.functions.columns import quote, row_digest
 from tabflow.functions.types import is_integer
 from tabflow.operators.ordering import key_partition
 from tabflow.operators.query import query
+from tabflow.session import scratch_path
 from tabflow.sources import paths
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-MAX_FOLDERS = 10_000
+#: Partition numbers share this many folders, by their remainder, whatever keys a batch holds.
+FOLDERS = 1000
 ROWS_PER_FILE = 5_000_000
 
 
@@ -70,20 +72,24 @@ class Store:
                 raise FileNotFoundError(f"the store {self.path} holds nothing yet")
             return self.spark.createDataFrame([], schema)
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
-        return reader.parquet(self._current())
+        return reader.parquet(self._current()).drop("folder")
 
     def between(self, low: int, high: int) -> DataFrame:
         """Rows with the key in [low, high]. Only the folders of that range are opened, and those rows' files that were
-        written without a partition number; there Parquet's minimum and maximum skip the rest."""
-        df = self.read()
-        if self.partition_size and "partition" in df.columns:
+        written without a partition number; in all of them Parquet's minimum and maximum skip the rest."""
+        df = self.spark.read.parquet(self._current())
+        if self.partition_size and "folder" in df.columns:
             first, last = low // self.partition_size + 1, high // self.partition_size + 1
-            number = F.col("partition").cast("long")
-            df = df.filter(number.isNull() | number.between(first, last))
-        return df.filter(F.col(quote(self.key)).between(low, high)).drop("partition")
+            if last - first + 1 < FOLDERS:
+                folders = sorted({n % FOLDERS for n in range(first, last + 1)})
+                df = df.filter(F.col("folder").isNull() | F.col("folder").isin(folders))
+            df = df.filter(F.col("partition").isNull() | F.col("partition").between(first, last))
+        return df.filter(F.col(quote(self.key)).between(low, high)).drop("partition", "folder")
 
-    def query(self, filter: Column | str | None = None, **verbs) -> DataFrame:
-        return query(self.read().drop("partition"), filter=filter, **verbs)
+    def query(self, filter: Column | str | None = None, keys: tuple[int, int] | None = None, **verbs) -> DataFrame:
+        """The query verbs over the stored rows; with a key range ``keys``, only its folders are opened."""
+        rows = self.read().drop("partition") if keys is None else self.between(*keys)
+        return query(rows, filter=filter, **verbs)
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """Stored rows whose key is among those of ``keys``, as a semi-join."""
@@ -92,27 +98,55 @@ class Store:
     # ------------------------------------------------------------ writes
 
     def append(self, df: DataFrame) -> WriteResult:
-        """Adds the rows; an empty frame writes nothing."""
-        return WriteResult("skipped", "empty frame") if df.isEmpty() else self._write(df)
+        """Adds the rows; an empty frame writes nothing.
+
+        Columns that are stored but missing in the frame become NULL; columns that are not stored, or of another type, are refused.
+        A partitioned store first writes the batch aside, once, because checks and range sampling read it, too.
+        """
+        df = self._fitting(df)
+        if self.partition_size is None:
+            if df.isEmpty():
+                return WriteResult("skipped", "empty frame")
+            df.write.mode("append").parquet(self._current())
+            return WriteResult("append")
+        aside = scratch_path(self.spark, "batch")
+        rows = self._aside(df, aside)
+        try:
+            return WriteResult("skipped", "empty frame") if rows.isEmpty() else self._write(rows)
+        finally:
+            paths.delete(self.spark, aside)
+
+    def _fitting(self, df: DataFrame) -> DataFrame:
+        if self.is_empty():
+            return df
+        stored = {f.name: f.dataType for f in self.read().drop("partition").schema.fields}
+        odd = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if stored.get(f.name) != f.dataType]
+        if odd:
+            raise ValueError(f"the store {self.path} has no column {', '.join(odd)}")
+        return df.select([F.col(quote(c)) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in stored.items()]) if set(stored) - set(df.columns) else df
 
     def _write(self, df: DataFrame) -> WriteResult:
+        """Writes a batch that can be read several times. An empty batch only leaves its schema, in an empty store."""
+        if not self.is_empty() and df.isEmpty():
+            return WriteResult("skipped", "empty frame")
         if self.partition_size is None:
             df.write.mode("append").parquet(self._current())
             return WriteResult("append")
         reason = self._unpartitionable(df)
-        if reason is None:
-            number = key_partition(F.col(quote(self.key)), self.partition_size)
-        else:
-            # Same layout, so that readers see these rows next to partitioned ones.
-            number = F.lit(None).cast("long")
-        rows = df.withColumn("partition", number)
-        if self.key in df.columns:
-            # Few files per folder, and a folder with much of the table is written by several tasks.
-            order = [F.col("partition"), F.col(quote(self.key))]
-            rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        rows.write.mode("append").partitionBy("partition").parquet(self._current())
+        # Same layout without a number, so that readers see these rows next to partitioned ones.
+        number = F.lit(None).cast("long") if reason else key_partition(F.col(quote(self.key)), self.partition_size)
+        rows = df.withColumn("partition", number).withColumn("folder", F.pmod("partition", F.lit(FOLDERS)).cast("int"))
+        self._sorted(rows).write.mode("append").partitionBy("folder").parquet(self._current())
         return WriteResult("partitioned" if reason is None else "append", reason)
 
+    def _sorted(self, rows: DataFrame, files: int | None = None) -> DataFrame:
+        """Few files per folder, each a range of the key. A hash of the row comes last, so rows without a key, or with one key, are cut too."""
+        order = [F.col(c) for c in ("folder", "partition") if c in rows.columns]
+        order += [F.col(quote(self.key))] if self.key in rows.columns else []
+        cut = [*order, row_digest(rows.columns)]
+        ranged = rows.repartitionByRange(*cut) if files is None else rows.repartitionByRange(files, *cut)
+        return ranged.sortWithinPartitions(*order) if order else ranged
+
     def _unpartitionable(self, df: DataFrame) -> str | None:
         """Why rows cannot be put into folders by key. Rows without a key are no reason: they get the NULL folder."""
         if self.key is None:
@@ -122,32 +156,37 @@ class Store:
         t = df.schema[self.key].dataType
         if isinstance(t, (T.ArrayType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
             return f"the key {self.key} is no whole number"
+        if is_integer(t):
+            return None
         c = F.col(quote(self.key))
         number = c.try_cast("decimal(38,6)")
-        odd = F.lit(False) if is_integer(t) else c.isNotNull() & (number.isNull() | (number != F.floor(number)))
-        ends = df.agg(F.count_if(odd).alias("odd"), F.min(number).alias("low"), F.max(number).alias("high")).first()
-        if ends.odd:
-            return f"the key {self.key} is no whole number"
-        if ends.low is not None and (ends.high - ends.low) // self.partition_size >= MAX_FOLDERS:
-            return f"the keys span more than {MAX_FOLDERS} partitions; raise the partition size"
-        return None
+        odd = c.isNotNull() & (number.isNull() | (number != F.floor(number)))
+        return f"the key {self.key} is no whole number" if df.agg(F.count_if(odd)).first()[0] else None
 
     def append_new(self, df: DataFrame, order_by: list[str] | None = None) -> WriteResult:
         """Adds only rows whose key is not stored yet; of several rows with one key the first by ``order_by``.
 
-        Repeating a write adds nothing, so a retried job is harmless. NULL counts as one key.
+        Repeating a write adds nothing and writes no file, so a retried job is harmless. NULL counts as one key.
         """
         if self.key is None:
             raise ValueError("an append-only store needs a key")
+        asides = [scratch_path(self.spark, "batch") for _ in range(2)]
         fresh = first_per_key(df, self.key, order_by)
-        if self.is_empty():
-            return self._write(fresh)
-        # Kept meanwhile, because measuring the batch and writing what is new of it both read it.
-        fresh = fresh.persist()
+        if not self.is_empty():
+            # Columns that only order the rows need not be stored.
+            fresh = fresh.drop(*set(order_by or ()).difference(self.read().columns))
+        fresh = self._aside(self._fitting(fresh), asides[0])
         try:
-            return self._write(without_known(fresh, self.read(), self.key))
+            if not self.is_empty():
+                fresh = self._aside(without_known(fresh, self.read(), self.key), asides[1])
+            return self._write(fresh)
         finally:
-            fresh.unpersist()
+            for aside in asides:
+                paths.delete(self.spark, aside)
+
+    def _aside(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def append_named(self, df: DataFrame, name: str) -> WriteResult:
         """Adds the rows below a sub-folder of their own."""
@@ -158,17 +197,11 @@ class Store:
         found = self._generations()
         if not found:
             return
-        df = self.read()
+        df = self.spark.read.parquet(self._current())
         files = max(1, math.ceil(df.count() / rows_per_file))
         target = self._folder(found[-1] + 1)
-        if "partition" in df.columns:
-            order = [F.col("partition"), F.col(quote(self.key))]
-            df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("partition").parquet(target)
-        elif self.key is not None and self.key in df.columns:
-            order = [F.col(quote(self.key))]
-            df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(target)
-        else:
-            df.repartition(files).write.mode("overwrite").parquet(target)
+        writer = self._sorted(df, files).write.mode("overwrite")
+        (writer.partitionBy("folder") if "folder" in df.columns else writer).parquet(target)
         if not keep_old:
             for g in found:
                 paths.delete(self.spark, self._folder(g))

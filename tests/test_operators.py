@@ -8,8 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabflow.operators.encode import TooManyCategories, decode_column, encode_one_hot, encode_ordinal, explode_embedding
-from tabflow.operators.history import Earlier, with_earlier
+from tabflow.operators.encode import decode_column, encode_one_hot, encode_ordinal, explode_embedding
+from tabflow.operators.history import Earlier, previous_value, with_earlier
 from tabflow.operators.impute import Step, impute
 from tabflow.operators.inspect import frame_diff, null_columns, null_report, primary_key, primary_key_candidates, same_rows
 from tabflow.operators.ordering import batch_bounds, global_rank, key_batches, partition_bounds, running_total
@@ -301,8 +301,8 @@ def test_ordinal_and_decode_are_inverse_for_any_number_of_categories(spark, n):
     assert {r.c for r in back.filter("id < 0").collect()} == {None}
     assert same_rows(back.filter("id >= 0"), df)
     if not cats.inline:
-        with pytest.raises(TooManyCategories):
-            encode_one_hot(df, "c", cats)
+        hot = encode_one_hot(df, "c", cats)
+        assert len(hot.columns) == n + 2 and hot.filter("c_v01001").count() == 1
         filled = impute(unseen, {"c": {"method": "categorical"}}, Statistics(), {"c": cats})
         assert filled.filter("c = 'other'").count() == 2 and filled.count() == n + 2
 
@@ -315,6 +315,7 @@ def test_label_table_orders_by_value(spark):
 def test_embedding_columns(spark):
     df = spark.createDataFrame([(1, [0.5, 1.5]), (2, [2.5])], "id long, t_embedding array<float>")
     assert rows(explode_embedding(df, "t", 2)) == [(1, 0.5, 1.5), (2, 2.5, None)]
+    assert explode_embedding(df, "t").columns == ["id", "t_embedding_0", "t_embedding_1"]
 
 
 # ---------------------------------------------------------------- history
@@ -335,3 +336,22 @@ def test_earlier_rows_equal_the_plain_window(spark, hot_rows):
     )
     got = with_earlier(df, "k", ["t", "id"], {"prev": Earlier(F.col("v")), "last_ok": Earlier(F.col("t"), F.col("ok"))}, hot_rows)
     assert rows(got.select("id", "prev", "last_ok")) == rows(want)
+
+
+def test_splitters_keep_no_cuts_that_nobody_fitted(spark):
+    year = lambda y: spark.sql(f"SELECT explode(sequence(date'{y}-01-01', date'{y}-12-31')) AS d")
+    splitter = DateSplitter("d")
+    for y in (2023, 2024):
+        assert {r.split: r["count"] for r in splitter.assign(year(y)).groupBy("split").count().collect()}["train"] > 200
+    text = year(2024).select(F.date_format("d", "MM/dd/yyyy").alias("d"))
+    fitted = DateSplitter("d").fit(text)
+    assert fitted.format == "MM/dd/yyyy" and fitted.assign(text).filter("split = 'test'").count() == splitter.assign(year(2024)).filter("split = 'test'").count()
+    random = RandomSplitter(key=["id"])
+    for n in (100, 1000):
+        assert {r.split: r["count"] for r in random.assign(spark.range(n)).groupBy("split").count().collect()} == {"train": n * 6 // 10, "valid": n // 5, "test": n // 5}
+
+
+def test_earlier_rows_with_many_hot_groups(spark):
+    df = spark.range(30_000).select((F.col("id") % 1500).alias("k"), "id")
+    got = previous_value(df, "k", ["id"], "id", "prev", hot_rows=5)
+    assert got.filter("prev <=> CASE WHEN id >= 1500 THEN id - 1500 END").count() == 30_000

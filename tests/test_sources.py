@@ -147,3 +147,28 @@ def test_null_type_columns_are_stored_as_text(spark, scratch):
     spark.sql("SELECT 1L a").write.parquet(f"{path}/1")
     out = convert_to_parquet(spark.sql("SELECT CAST(NULL AS STRING) a, 1 b"), scratch(), {"a": "null"})
     assert out.schema["a"].dataType == T.StringType()
+
+
+def test_csv_options_filters_and_headers(spark, folder):
+    folder("a.csv", "\ufeffa;b\n1;'x;y'\n2;TRUE\n")
+    path = folder("b.csv", "b;c;a\nz;9;3\n")
+    df = scan(spark, path, format="csv", sep=";", quote="'", file_column="_f").orderBy("a")
+    assert [tuple(r) for r in df.collect()] == [(1, "x;y", "a.csv"), (2, "TRUE", "a.csv"), (3, "z", "b.csv")]
+    only = scan(spark, path, format="csv", sep=";", file_filter=lambda n: n == "b.csv")
+    assert only.columns == ["b", "c", "a"] and only.count() == 1
+    with pytest.raises(FileNotFoundError):
+        scan(spark, path, format="csv", sep=";", modified_after=dt.datetime(2090, 1, 1))
+
+
+def test_truth_values_in_capitals_and_long_zone_names(spark, folder):
+    path = folder("a.csv", "flag,at\nTRUE,2024-01-02 03:04:05.000000 America/Argentina/Buenos_Aires\nfalse,2024-01-03 03:04:05.000000 America/Argentina/Buenos_Aires\n")
+    df = scan_csv(spark, path)
+    assert dict(df.dtypes) == {"flag": "boolean", "at": "timestamp_ntz"} and sorted(r.flag for r in df.collect()) == [False, True]
+
+
+def test_predefined_csv_files_are_typed_together(spark, folder):
+    folder("one.csv", "v,w\n1,1\n")
+    folder("two.csv", "w,v\n2.5,2.5\n")
+    path = folder("three.csv", "v,w\nx,3\n")
+    df = PredefinedSplitter(train=["one"], valid=["two"], test=["three"]).read(spark, path)
+    assert {r.split: (r.v, r.w) for r in df.collect()} == {"train": ("1", 1.0), "valid": ("2.5", 2.5), "test": ("x", 3.0)}

@@ -52,6 +52,8 @@ def test_partitions_lookup_and_null_keys(spark, scratch):
     assert rows(store.between(4, 14)) == [(5, "a")]
     plan = store.between(4, 14)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [(isnull(" in plan
+    ranged = store.query(keys=(10, 19), select=["t"])
+    assert "PartitionFilters: [(isnull(" in ranged._jdf.queryExecution().executedPlan().toString() and rows(ranged) == [("b",)]
     assert store.query(filter="ID = 15", select=["t"]).collect()[0].t == "b"
     assert rows(store.lookup(spark.createDataFrame([(15,), (15,)], "ID long"))) == [(15, "b")]
 
@@ -61,12 +63,13 @@ def test_rows_that_cannot_be_partitioned_stay_readable(spark, scratch, monkeypat
     store.append(spark.createDataFrame([(1.0, "a"), (12.0, "b")], "k double, t string"))
     result = store.append(spark.createDataFrame([(3.5, "c")], "k double, t string"))
     assert result.mode == "append" and "whole number" in result.reason
-    monkeypatch.setattr(store_module, "MAX_FOLDERS", 5)
+    monkeypatch.setattr(store_module, "FOLDERS", 5)
     result = store.append(spark.createDataFrame([(1.0, "d"), (500.0, "e")], "k double, t string"))
-    assert "raise the partition size" in result.reason
+    assert result.mode == "partitioned"
     assert sorted(r.t for r in store.read().collect()) == list("abcde")
     assert sorted(r.t for r in store.between(0, 9).collect()) == ["a", "c", "d"]
-    assert "not in the frame" in store.append(spark.createDataFrame([("f",)], "t string")).reason
+    assert store.append(spark.createDataFrame([("f",)], "t string")).mode == "partitioned"
+    assert store.read().filter("k is null").count() == 1
 
 
 @pytest.mark.parametrize("size", [None, 7])
@@ -84,6 +87,34 @@ def test_compaction_keeps_the_rows_and_sorts_the_files(spark, scratch, size):
     assert store.read().count() == 91
 
 
+def test_rows_without_a_key_are_cut_into_files(spark, scratch):
+    store = Store(spark, scratch(), key="k", partition_size=10)
+    store.append(spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), "id"))
+    nulls = lambda: store.read().filter("k is null").select(F.input_file_name()).distinct().count()
+    store.compact(rows_per_file=5_000)
+    assert nulls() > 1 and store.read().count() == 40_000
+
+
+def test_partitions_beyond_the_folders_still_prune(spark, scratch):
+    store = Store(spark, scratch(), key="k", partition_size=1)
+    store.append(spark.range(0, 100_010, 10).select(F.col("id").alias("k")))
+    assert rows(store.between(50_000, 50_010)) == [(50_000,), (50_010,)]
+    assert "PartitionFilters: [(isnull(" in store.between(50_000, 50_010)._jdf.queryExecution().executedPlan().toString()
+    assert store.read().count() == 10_001
+
+
+def test_other_schemas_and_known_keys(spark, scratch):
+    store = Store(spark, scratch(), key="k")
+    store.append_new(spark.createDataFrame([(1, "a")], "k long, v string"))
+    with pytest.raises(ValueError, match="n long|n bigint"):
+        store.append(spark.createDataFrame([(2, "b", 3)], "k long, v string, n long"))
+    store.append(spark.createDataFrame([(2,)], "k long"))
+    assert rows(store.read()) == [(1, "a"), (2, None)]
+    before = sorted(os.listdir(store._current()))
+    assert store.append_new(spark.createDataFrame([(1, "z")], "k long, v string")).mode == "skipped"
+    assert sorted(os.listdir(store._current())) == before
+
+
 def test_an_unfinished_generation_is_not_read(spark, scratch):
     store = Store(spark, scratch(), key="k")
     store.append(spark.range(3).withColumnRenamed("id", "k"))

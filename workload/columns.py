@@ -224,11 +224,7 @@ def n_decode_roundtrip(spark, sf):
     return coded.select("c_custkey", decode(F.col("c_mktsegment"), cats).alias("c_mktsegment"))
 
 
-@register("""
-SELECT vec_id, label, embedding[1] AS vec_embedding_0, embedding[2] AS vec_embedding_1, embedding[3] AS vec_embedding_2, embedding[4] AS vec_embedding_3
-FROM embeddings
-""")
+@register("SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}] AS vec_embedding_{i}" for i in range(64)) + " FROM embeddings")
 def n_embedding_explode(spark, sf):
-    return explode_embedding(table(spark, sf, "embeddings"), "vec", 4, source="embedding")
-
-
+    """All elements; the width is that of the longest vector."""
+    return explode_embedding(table(spark, sf, "embeddings"), "vec", source="embedding")

@@ -3,10 +3,11 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabflow.operators.stats import fit_statistics
 from tabflow.session import scratch_path
-from tabflow.sources.files import Source, convert_to_parquet, scan_csv, scan_parquet
+from tabflow.sources.files import Source, convert_to_parquet, scan, scan_csv, scan_parquet
 from tabflow.sources.schema import fingerprint, improve, infer_types, scan_unified
 from workload.registry import half_up, register, table
 
@@ -45,6 +46,38 @@ def s_csv_null_tokens(spark, sf):
     return scan_csv(spark, path)
 
 
+def _two_files(spark, sf):
+    """Suppliers with even keys as plain CSV, with odd keys compressed and in another column order; upper-case truth values."""
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 4 < 2, "TRUE").otherwise("FALSE").alias("flag"))
+    path = scratch_path(spark, "csv")
+    rows.filter("s_suppkey % 2 = 0").write.option("header", True).csv(path)
+    rows.filter("s_suppkey % 2 = 1").select("flag", "s_suppkey", "s_name").write.mode("append").options(header=True, compression="gzip").csv(path)
+    return path
+
+
+@register("SELECT s_suppkey, s_name, s_suppkey % 4 < 2 AS flag FROM supplier WHERE s_suppkey % 2 = 1")
+def s_csv_file_subset(spark, sf):
+    rows = scan(spark, _two_files(spark, sf), format="csv", file_filter=lambda name: name.endswith(".gz"))
+    return rows.select("s_suppkey", "s_name", "flag")
+
+
+@register("SELECT s_suppkey, s_name, s_suppkey % 4 < 2 AS flag FROM supplier")
+def s_csv_incremental(spark, sf):
+    """Files changed after a date; none is newer than a date far ahead."""
+    path, schema = _two_files(spark, sf), T.StructType([T.StructField("s_suppkey", T.LongType())])
+    late = scan(spark, path, format="csv", schema=schema, modified_after=dt.datetime(2090, 1, 1))
+    rows = scan(spark, path, format="csv", modified_after=dt.datetime(2000, 1, 1)).select("s_suppkey", "s_name", "flag")
+    return rows.join(late.withColumnRenamed("s_suppkey", "late"), F.col("s_suppkey") == F.col("late"), "left_anti")
+
+
+@register("SELECT n_nationkey::BIGINT AS n_nationkey, n_name || '; ' || n_name AS n_name FROM nation")
+def s_csv_separator(spark, sf):
+    path = scratch_path(spark, "csv")
+    name = F.concat("n_name", F.lit("; "), "n_name").alias("n_name")
+    table(spark, sf, "nation").select("n_nationkey", name).write.options(header=True, sep=";", quote="'").csv(path)
+    return Source(path=path, format="csv", options={"sep": ";", "quote": "'"}).read(spark)
+
+
 @register("SELECT CAST(s_suppkey AS DOUBLE) AS s_suppkey, CAST(s_nationkey AS VARCHAR) AS s_nationkey, s_name FROM supplier")
 def s_csv_to_parquet(spark, sf):
     path = scratch_path(spark, "csv")

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabflow.operators.split import DateSplitter, PredefinedSplitter, RandomSplitter, write_split
+from tabflow.operators.split import SEGMENTS, DateSplitter, PredefinedSplitter, RandomSplitter, write_split
 from tabflow.session import scratch_path
+from tabflow.sources.paths import list_files
 from workload.registry import register, table
 
 _BOUNDS = """
@@ -61,8 +62,27 @@ def p_file_split(spark, sf):
     return rows.select("split", F.coalesce(*keys).alias("id"))
 
 
-@register(_BOUNDS + "SELECT o_orderkey, split FROM s WHERE split = 'valid'")
+@register(_BOUNDS + "SELECT o_orderkey, split FROM s")
 def p_split_table(spark, sf):
     path = scratch_path(spark, "split")
     write_split(_split(spark, sf).select("o_orderkey", "split"), path)
-    return spark.read.parquet(path).filter(F.col("split") == "valid")
+    parts = [spark.read.parquet(path).filter(F.col("split") == name) for name in SEGMENTS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("""
+SELECT 'train' AS split, o_orderkey, CAST(o_custkey AS VARCHAR) AS code, CAST(o_custkey AS DOUBLE) AS amount FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT 'valid', o_orderkey, o_custkey || '.5', o_custkey + 0.5 FROM orders WHERE o_orderkey % 3 = 1
+UNION ALL SELECT 'test', o_orderkey, 'x' || o_custkey, CAST(o_custkey AS DOUBLE) FROM orders WHERE o_orderkey % 3 = 2
+""")
+def p_csv_split_types(spark, sf):
+    """A column of whole numbers in one file, fractions in the next, text in the last has one type over all of them."""
+    root, key = scratch_path(spark, "split"), F.col("o_custkey").cast("string")
+    orders, names = table(spark, sf, "orders"), {}
+    codes = {"train": (key, key), "valid": (F.concat(key, F.lit(".5")),) * 2, "test": (F.concat(F.lit("x"), key), key)}
+    for i, (name, (code, amount)) in enumerate(codes.items()):
+        rows = orders.filter(F.col("o_orderkey") % 3 == i).select("o_orderkey", code.alias("code"), amount.alias("amount"))
+        rows.coalesce(1).write.option("header", True).csv(f"{root}/{name}")
+        found = list_files(spark, f"{root}/{name}", "*.csv").select("name").collect()
+        names[name] = [r.name.removesuffix(".csv") for r in found]
+    return PredefinedSplitter(**names).read(spark, root)

@@ -81,13 +81,11 @@ def w_compact_roundtrip(spark, sf):
     return after.withColumn("unchanged", F.lit(same_rows(orders, after)))
 
 
-@register("SELECT 'o_orderpriority' AS key, 'append' AS mode, 'the key o_orderpriority is no whole number' AS reason, count(*) AS num_rows FROM orders")
+@register("SELECT o_orderkey, o_orderpriority, 'append' AS mode, 'the key o_orderpriority is no whole number' AS reason FROM orders")
 def w_partition_fallback(spark, sf):
     store = Store(spark, scratch_path(spark, "store"), key="o_orderpriority", partition_size=10)
     result = store.append(table(spark, sf, "orders").select("o_orderpriority", "o_orderkey"))
-    return store.read().agg(F.count(F.lit(1)).alias("num_rows")).select(
-        F.lit(store.key).alias("key"), F.lit(result.mode).alias("mode"), F.lit(result.reason).alias("reason"), "num_rows"
-    )
+    return store.read().select("o_orderkey", "o_orderpriority", F.lit(result.mode).alias("mode"), F.lit(result.reason).alias("reason"))
 
 
 @register("SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_name FROM supplier")
@@ -156,26 +154,21 @@ def n_embedding_encode(spark, sf):
 
 
 @register("""
-WITH d AS (SELECT doc_id, text FROM documents)
-SELECT 'known' AS step, count(DISTINCT text) AS n FROM d WHERE doc_id % 2 = 0
-UNION ALL SELECT 'missing', count(DISTINCT text) FROM d WHERE text NOT IN (SELECT text FROM d WHERE doc_id % 2 = 0)
-UNION ALL SELECT 'stored', count(DISTINCT text) FROM d
-UNION ALL SELECT 'attached', count(*) FROM d
-UNION ALL SELECT 'missing_after', 0
+WITH d AS (SELECT doc_id, text FROM documents),
+n AS (SELECT count(DISTINCT text) FILTER (doc_id % 2 = 0) AS known, count(DISTINCT text) AS stored,
+             count(DISTINCT text) FILTER (text NOT IN (SELECT text FROM d WHERE doc_id % 2 = 0)) AS missing FROM d)
+SELECT doc_id, 16 AS dims, known, missing, stored, 0::BIGINT AS missing_after FROM d, n
 """)
 def b_incremental(spark, sf):
-    """First the texts of every second document, then of all: only the others are embedded."""
+    """First the texts of every second document, then of all: only the others are embedded, and every document gets its vector."""
     docs, embedder = table(spark, sf, "documents").select("doc_id", "text"), hashing_embedder(16)
     store = EmbeddingStore(spark, scratch_path(spark, "embeddings"))
     store.update(docs.filter("doc_id % 2 = 0"), "text", embedder)
-    counts = [("known", store.full.read().count()), ("missing", store.missing(docs, "text").count())]
+    counts = {"known": store.full.read().count(), "missing": store.missing(docs, "text").count()}
     store.update(docs, "text", embedder)
-    counts += [
-        ("stored", store.full.read().count()),
-        ("attached", store.attach(docs, "text").filter(F.col("text_embedding").isNotNull()).count()),
-        ("missing_after", store.missing(docs, "text").count()),
-    ]
-    return spark.createDataFrame(counts, "step string, n long")
+    counts |= {"stored": store.full.read().count(), "missing_after": store.missing(docs, "text").count()}
+    rows = store.attach(docs, "text").select("doc_id", F.size("text_embedding").alias("dims"))
+    return rows.select("doc_id", "dims", *[F.lit(n).cast("long").alias(c) for c, n in counts.items()])
 
 
 @register("SELECT count(*) AS num_rows, true AS fewer, true AS keeps_nine_tenths FROM embeddings")

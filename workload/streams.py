@@ -55,11 +55,11 @@ def t_stream_append_only(spark, sf):
     return store.read()
 
 
-@register("SELECT count(DISTINCT user_id) AS num_rows FROM events")
+@register("SELECT DISTINCT user_id FROM events")
 def t_stream_dedupe(spark, sf):
     """One row per user within a horizon longer than the data."""
     rows = arriving(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     out, state = scratch_path(spark, "deduped"), scratch_path(spark, "state")
     writer = dedupe_stream(rows, "user_id", "ts", "400 days").writeStream.format("parquet").option("checkpointLocation", state)
     writer.trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("num_rows"))
+    return spark.read.parquet(out).select("user_id")
