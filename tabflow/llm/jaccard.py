@@ -170,11 +170,24 @@ def _shared_shingles(rows: DataFrame, named, buckets: int, looked: int = OF) ->
             names, counts = np.unique(of[met], return_counts=True)
             digests.append(names)
             shared.append(counts)
-        if not digests:
-            return pa.table({"one": pa.array([], pa.int64()), "shared": pa.array([], pa.int64())})
-        return pa.table({"one": pa.array(np.concatenate(digests), pa.int64()), "shared": pa.array(np.concatenate(shared), pa.int64())})
-
-    return rows.mapInArrow(spread, "bucket int, payload binary").groupBy("bucket").applyInArrow(count, "one long, shared long").groupBy("one").agg(F.sum("shared").alias("shared"))
+        names = np.concatenate(digests) if digests else np.zeros(0, np.int64)
+        counts = np.concatenate(shared) if shared else np.zeros(0, np.int64)
+        group = (mix(names.view(np.uint64)) % _U(buckets)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[order])) + 1
+        parts = [p for p in np.split(order, cuts) if len(p)]
+        packed = [names[p].astype("<i8").tobytes() + counts[p].astype("<i8").tobytes() for p in parts]
+        return pa.table({"bucket": pa.array([int(group[p[0]]) for p in parts], pa.int32()), "payload": pa.array(packed, pa.binary())})
+
+    def total(table: pa.Table) -> pa.Table:
+        pairs = [np.frombuffer(p.as_buffer(), "<i8").reshape(2, -1) for p in table["payload"]]
+        names, place = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([p[1] for p in pairs]), len(names)).astype(np.int64)
+        return pa.table({"one": pa.array(names, pa.int64()), "shared": pa.array(counts, pa.int64())})
+
+    # Counts travel packed, a row for each pair of buckets, and each name is summed in one place.
+    counted = rows.mapInArrow(spread, "bucket int, payload binary").groupBy("bucket").applyInArrow(count, "bucket int, payload binary")
+    return counted.groupBy("bucket").applyInArrow(total, "one long, shared long")
 
 
 def _sets_of(documents: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -297,7 +310,7 @@ def _members(sets: DataFrame) -> DataFrame:
     groups = materialize(groups.select("sig", "n", F.xxhash64("d0", "n").alias("d0"), F.xxhash64("d1", "n").alias("d1")), "jaccard-groups")
     first = groups.groupBy("n", "d0", "d1").agg(F.min("sig").alias("sig")).select("sig", "n", F.lit(True).alias("kept"))
     wanted = first.union(groups.filter(F.col("n") > COMMON).select("sig", "n", F.lit(False))).groupBy("sig", "n").agg(F.max("kept").alias("kept"))
-    return materialize(signed.join(measured(materialize(wanted, "jaccard-wanted")), "sig"), "jaccard-members")
+    return materialize(signed.join(materialize(wanted, "jaccard-wanted").hint("merge"), "sig"), "jaccard-members")
 
 
 def _unsafe(members: DataFrame) -> DataFrame:
