@@ -65,7 +65,7 @@ def recurring_lines(documents: DataFrame, least: int = LEAST_TEXTS, least_tokens
 
 def _cut(documents: DataFrame, **options) -> DataFrame:
     """row (all columns), written (its lines) and drop (the places of those that go)."""
-    drops = measured(recurring_lines(documents, **options))
+    drops = recurring_lines(documents, **options).hint("merge")  # one form at every size
     rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key(F.col("text").cast("string")).alias("of"))
     r, d = rows.alias("r"), drops.alias("d")
     joined = r.join(d, F.col("r.id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.of") == F.col("d.th")), "left")
