@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.columns import quote
 from tabflow.operators.inspect import is_unique
+from tabflow.operators.lookup import lookup
 from tabflow.operators.query import sort_order
 from tabflow.session import cut_lineage
 from tabflow.sources.store import Store, WriteResult
@@ -68,6 +69,11 @@ class FeatureStore:
         on = on or self.feature.primary_key
         return self.read().join(keys.select(quote(on)), on, "left_semi")
 
+    def attach(self, df: DataFrame, on: str | None = None) -> DataFrame:
+        """The frame with the stored columns of its keys, NULL where there are none. Rows without a key spread over tasks."""
+        on = on or self.feature.primary_key
+        return lookup(df, F.col(quote(on)), self.read().withColumnRenamed(on, "_stored_key"), "_stored_key").drop("_stored_key")
+
     def write(self, rows: DataFrame) -> WriteResult:
         """Adds the rows. A repeated primary key would multiply rows in the join of ``transform``, so it is refused
         before anything is written; stored keys are only compared with the new ones, not shuffled again."""

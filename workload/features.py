@@ -97,7 +97,7 @@ class OrderHistory(Feature):
         return df.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("order_total"))
 
     def transform(self, df, stored):
-        return df.join(stored.read(), "o_custkey", "left")
+        return stored.attach(df)
 
 
 class BigOrder(Feature):
