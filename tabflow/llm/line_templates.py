@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tabflow.llm.shared import documents_of, measured, text_key
 from tabflow.session import materialize
 
-BLANKS = r"[\x20\x09-\x0D]+"
+BLANKS = "\t\x0b\x0c\r"
 VARIABLE = "<*>"
 DEPTH = 3
 LEAST_TEXTS = 8
@@ -27,15 +27,21 @@ CONSTANT = 0.6
 
 
 def _tokens(line: Column) -> Column:
+    """Split at single blanks, which needs no pattern matching."""
+    return F.filter(F.split(F.translate(line, BLANKS, " " * len(BLANKS)), " "), lambda t: t != "")
+
+
+def _masked(tokens: Column) -> Column:
     """Tokens with a digit are variable fields from the start."""
-    return F.transform(F.filter(F.split(line, BLANKS), lambda t: t != ""), lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
 
 
 def lines(documents: DataFrame, least_tokens: int) -> DataFrame:
     """doc_id, th (tells texts apart), line (its place), tokens, leaf."""
-    docs = documents_of(documents).select("doc_id", text_key(F.col("text")).alias("th"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "written"))
-    rows = docs.select("doc_id", "th", "line", _tokens(F.col("written")).alias("tokens")).filter(F.size("tokens") >= least_tokens)
-    return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)))
+    # Cut inside the generator, so that its output is a column and the cutting is done once.
+    cut = F.posexplode(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), _tokens)).alias("line", "tokens")
+    rows = documents_of(documents).select("doc_id", text_key(F.col("text")).alias("th"), cut).filter(F.size("tokens") >= least_tokens)
+    return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), _masked(F.slice("tokens", 1, DEPTH))))
 
 
 def recurring_lines(documents: DataFrame, least: int = LEAST_TEXTS, least_tokens: int = LEAST_TOKENS, leaf_share: float = LEAF_SHARE, constant: float = CONSTANT) -> DataFrame:
@@ -43,7 +49,7 @@ def recurring_lines(documents: DataFrame, least: int = LEAST_TEXTS, least_tokens
     every = lines(documents, least_tokens)
     leaves = every.groupBy("leaf", "th").agg(F.lit(1)).groupBy("leaf").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least)
     leaves = measured(materialize(leaves, "line-leaves"))
-    rows = materialize(every.join(leaves, "leaf"), "line-tokens")
+    rows = materialize(every.join(leaves, "leaf").withColumn("tokens", _masked(F.col("tokens"))), "line-tokens")
 
     places = rows.select("leaf", "texts", "th", F.posexplode("tokens").alias("place", "token"))
     counts = places.groupBy("leaf", "texts", "place", "token", "th").agg(F.lit(1)).groupBy("leaf", "texts", "place", "token").agg(F.count("*").alias("n"))
