@@ -1,10 +1,12 @@
 """I-Match fingerprints: the terms of a text in a band of document frequency, hashed under several random lexicons.
 
-The lexicon is what occurs in at least ``LEAST`` and at most ``MOST`` of all documents. It is exact: a term that reaches the share in
+The lexicon is what occurs in at least ``LEAST`` and at most ``MOST`` of all different texts, so copies of a text do not push its terms
+out. It is exact: a term that reaches the share in
 the corpus reaches it in some partition, so each partition names its own candidates, and then only the candidates are counted.
 Every random lexicon keeps another part of the terms: ``EACH`` lexicons each of a half, a quarter, ... of them. A slot of the
 fingerprint is the hash of a text's distinct terms in one of them. Sparse lexicons survive edits of long texts, dense ones tell
-short texts apart. Likeness is the share of equal slots among those that either text fills.
+short texts apart. A text that no lexicon meets has slots from all its own terms, the rarer and the commoner ones; it is compared on
+that footing with any text. Likeness is the share of equal slots among those that either text fills.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabflow.llm.shared import documents_of, shards, text_key
+from tabflow.llm.shared import documents_of, measured, shards, text_key
 from tabflow.llm.words import mix, words
 from tabflow.session import materialize
 
@@ -75,12 +77,12 @@ def _counter(wanted: np.ndarray | None, least: float):
 
 
 def lexicon(documents: DataFrame, least: float = LEAST, most: float = MOST) -> np.ndarray:
-    """The sorted hashes of all terms whose share of documents is in the band.
+    """The sorted hashes of all terms whose share of documents is in the band; every row counts.
 
     No more than (mean number of distinct terms) / ``least`` terms reach the share, however many documents there are; that bounds
     what is sent to the tasks.
     """
-    texts = documents_of(documents).select("text")
+    texts = documents.select(F.col("text").cast("string").alias("text"))
     named = texts.mapInArrow(_counter(None, least), "term long, n long").select("term").distinct().toPandas()["term"]
     wanted = np.sort(named.to_numpy(np.int64).view(np.uint64))
     counted = texts.mapInArrow(_counter(wanted, least), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -89,12 +91,21 @@ def lexicon(documents: DataFrame, least: float = LEAST, most: float = MOST) -> n
     return np.sort(band.to_numpy(np.int64).view(np.uint64))
 
 
-def fingerprints(texts: list[str], band: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """A string for each text, and its slots as numbers (0: empty). A text without terms in the band has a digest of itself in place of the slots."""
+def distinct_texts(documents: DataFrame) -> DataFrame:
+    """Every text once. Only texts that repeat are gathered, each once a map task; the others stay where they are."""
+    docs = documents_of(documents).select("text", text_key(F.col("text")).alias("th"))
+    repeated = measured(materialize(docs.groupBy("th").count().filter("count > 1").select("th"), "imatch-repeated"))
+    copied = docs.join(repeated, "th", "left_semi").dropDuplicates(["th"]).select("text")
+    return docs.join(repeated, "th", "left_anti").select("text").unionByName(materialize(copied, "imatch-copied"))
+
+
+def _slots(texts: list[str], band: np.ndarray | None) -> np.ndarray:
+    """The slots of each text as numbers (0: empty), from its terms in the band, or from all."""
     slots = np.zeros((len(texts), SLOTS), np.int64)
     for first, n, terms, row in _terms(pa.array(texts, pa.large_string())):
-        inside = np.isin(terms, band) if len(band) else np.zeros(len(terms), bool)
-        terms, row = terms[inside], row[inside]
+        if band is not None:
+            inside = np.isin(terms, band) if len(band) else np.zeros(len(terms), bool)
+            terms, row = terms[inside], row[inside]
         for j in range(SLOTS):
             drawn = mix(terms + np.uint64(j))
             kept = drawn >> np.uint64(64 - 1 - j // EACH) == 0
@@ -104,10 +115,29 @@ def fingerprints(texts: list[str], band: np.ndarray) -> tuple[list[str], np.ndar
                 full = np.zeros(n, bool)
                 full[row[kept]] = True
                 slots[first : first + n, j][full] = (mix(total[full]) % np.uint64(16**DIGITS - 1)).astype(np.int64) + 1
+    return slots
+
+
+def fingerprints(texts: list[str], band: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """A string for each text, its slots, and whether these come from all its terms, as the band fills none. A text that fills none even so (as one without terms) has a digest of itself in place of the slots."""
+    slots = _slots(texts, band)
+    bare = ~slots.any(axis=1)
+    if bare.any():
+        slots[bare] = _slots([texts[i] for i in np.flatnonzero(bare)], None)
     names = []
     for text, own in zip(texts, slots.tolist(), strict=True):
         names.append("".join(f"{s:0{DIGITS}x}" if s else EMPTY for s in own) if any(own) else hashlib.md5(text.encode()).hexdigest())
-    return names, slots
+    return names, slots, bare
+
+
+def nearness(texts: tuple[list[str], list[str]], names: tuple[list[str], list[str]], slots: tuple[np.ndarray, np.ndarray], bare: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Likeness of pairs of texts; if the band fills slots of one of them only, by all terms of both."""
+    one, two = slots
+    uneven = np.flatnonzero(bare[0] != bare[1])
+    if len(uneven):
+        one, two = one.copy(), two.copy()
+        one[uneven], two[uneven] = (_slots([t[i] for i in uneven], None) for t in texts)
+    return likeness(one, two, np.array([a == b for a, b in zip(*names, strict=True)], bool))
 
 
 def likeness(a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> np.ndarray:
@@ -157,22 +187,24 @@ def fingerprint_documents(documents: DataFrame, least: float = LEAST, most: floa
 
     A null text is an empty one. Of one row alone, the next is itself; an empty table gives no rows.
     """
-    band = lexicon(documents, least, most)
+    band = lexicon(distinct_texts(documents), least, most)
 
     def told(rows: list[tuple]) -> pa.RecordBatch:
         texts = [t or "" for _, _, t in rows]
-        names, slots = fingerprints(texts, band)
+        names, slots, bare = fingerprints(texts, band)
         here = [i for i in range(len(rows) - 1) if not rows[i][0]]
         after = [edited(texts[i], texts[i + 1]) for i in here]
-        new_names, new_slots = fingerprints(after, band)
-        own, following = slots[here], slots[[i + 1 for i in here]]
-        near_edited = likeness(own, new_slots, np.array([names[i] == e for i, e in zip(here, new_names, strict=True)], bool))
-        near_next = likeness(own, following, np.array([names[i] == names[i + 1] for i in here], bool))
+        new_names, new_slots, new_bare = fingerprints(after, band)
+        following = [i + 1 for i in here]
+        pick = lambda values, places: [values[i] for i in places]
+        own, own_names = pick(texts, here), pick(names, here)
+        near_edited = nearness((own, after), (own_names, new_names), (slots[here], new_slots), (bare[here], new_bare))
+        near_next = nearness((own, pick(texts, following)), (own_names, pick(names, following)), (slots[here], slots[following]), (bare[here], bare[following]))
         columns = [
             pa.array([rows[i][1] for i in here], pa.int64()),
             pa.array([len(texts[i]) for i in here], pa.int64()),
             pa.array([hashlib.sha256(e.encode()).hexdigest() for e in after], pa.string()),
-            pa.array([names[i] for i in here], pa.string()),
+            pa.array(own_names, pa.string()),
             pa.array(new_names, pa.string()),
             pa.array(near_edited, pa.float64()),
             pa.array(near_next, pa.float64()),

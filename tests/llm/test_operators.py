@@ -349,6 +349,24 @@ def test_the_next_of_the_last_document_is_the_first(spark):
     assert len(alone) == 1 and alone[0].near_next == 1.0
 
 
+def test_copies_of_a_text_do_not_empty_its_slots(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(2000)}" for _ in range(60)) for _ in range(100)]
+    single = [(i, t) for i, t in enumerate(texts)]
+    copies = single + [(1000 + i, texts[50]) for i in range(60)]
+    once, often = ({r.doc_id: r for r in fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()} for rows in (single, copies))
+    assert all(once[i].fingerprint == often[i].fingerprint for i in range(100))
+    assert often[50].near_edited > 0 and often[1059].near_edited > 0
+
+
+def test_texts_without_terms_in_the_band_are_told_by_their_own_terms(spark):
+    texts = [" ".join(f"own{i}x{k}" for k in range(40)) if i % 2 else " ".join(f"shared{(i + k) % 16}" for k in range(8)) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint_documents(df, least=0.05, most=0.5).collect()}
+    assert all(got[i].near_edited > 0 and got[i].near_edited > got[i].near_next for i in range(1, 59, 2))
+    assert all(len(got[i].fingerprint) == len(got[0].fingerprint) for i in range(60))
+
+
 def test_the_lexicon_is_exact(docs, rows):
     from tabflow.llm.imatch import lexicon
     from tabflow.llm.words import words
