@@ -4,13 +4,17 @@ Vectors are cut into two halves, each quantised by a codebook of its own; a cell
 pairs in order of summed squared distance with a heap, until the cells hold the share of the index that reached the wanted recall
 for the queries of a sample, and every entry of those cells is ranked by its exact distance.
 
-Equal vectors are one entry. An entry keeps its k + 1 smallest ids, which is all that k neighbours can need, as ties go to smaller
-ids; so a vector that a third of all rows share is one entry, too. Cells are dealt in blocks of entries and of queries.
+Equal vectors are one entry. An entry keeps its k + 1 smallest different ids, which is all that k neighbours can need, as ties go to
+smaller ids; so a vector that a third of all rows share is one entry, too. Cells are dealt in blocks of entries and of queries.
+
+Queries of one vector share a list of candidates. It is long enough for any of them after its own id is taken out: if an id has at
+most c vectors, k + c candidates are; if c is above k, each id stays with its k nearest vectors only, and 2 k candidates are.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -92,12 +96,13 @@ def fit(sample: np.ndarray, entries: int, k: int, recall: float = RECALL) -> Cod
 
 
 def distinct_vectors(vectors: DataFrame, id_column: str, vector_column: str, keep: int) -> DataFrame:
-    """(vector, ids): every distinct usable vector with its ``keep`` smallest ids. Null ids, and vectors that are null, empty, all zero or hold null or non-finite components, are left out."""
+    """(vector, ids): every distinct usable vector with its ``keep`` smallest different ids. Null ids, and vectors that are null, empty, all zero or hold null or non-finite components, are left out."""
     v = F.col("vector")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(vectors[id_column].cast("long").alias("id"), vectors[vector_column].cast("array<double>").alias("vector"))
     rows = rows.filter(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0))
     rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))  # no negative zeros
+    rows = rows.distinct()
     first = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     return rows.withColumn("place", first).filter(F.col("place") <= keep).groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
@@ -110,6 +115,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str
     """
     found = distinct_vectors(vectors, id_column, vector_column, k + 1)
     found = materialize(found, "index-distinct")
+    vectors_of_id = found.select(F.explode("ids").alias("id")).groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    candidates = k + min(vectors_of_id, k)
     widths = found.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if widths is None:
@@ -174,6 +181,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str
     left = probes.join(blocks, "cell").select("cell", "vector", draw("q").alias("qb"), every("e").alias("eb"))
     right = entries.join(blocks, "cell").select("cell", "vector", "ids", draw("e").alias("eb"), every("q").alias("qb"))
 
+    def candidates_of(distance: np.ndarray, ids: pa.Array) -> Iterator[tuple[int, list[int]]]:
+        """Entries of a block, with their ids, that can be among the candidates; those at one distance all stay, as ids decide between them."""
+        if vectors_of_id <= k:
+            last = np.partition(distance, min(candidates, len(distance)) - 1)[min(candidates, len(distance)) - 1]
+            yield from ((i, ids[i].as_py()) for i in np.flatnonzero(distance <= last).tolist())
+            return
+        times, held, last = Counter(), 0, 0.0
+        for i in np.argsort(distance, kind="stable").tolist():
+            if held >= candidates and distance[i] > last:
+                break
+            if left := [x for x in ids[i].as_py() if times[x] < k]:
+                times.update(left)
+                held, last = held + len(left), distance[i]
+                yield i, left
+
     def rank(key, asked: pa.Table, held: pa.Table) -> pa.Table:
         out = {"vector": [], "ids": [], "distance": []}
         if len(asked) and len(held):
@@ -181,18 +203,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str
             ids = held["ids"].combine_chunks()
             for row, q in zip(x.tolist(), x, strict=True):
                 distance = np.sqrt(((y - q) ** 2).sum(axis=1))
-                # One more than k for the query itself; entries at one distance all stay, as ids decide between them.
-                last = np.partition(distance, min(k + 1, len(distance)) - 1)[min(k + 1, len(distance)) - 1]
-                for i in np.flatnonzero(distance <= last).tolist():
+                for i, left in candidates_of(distance, ids):
                     out["vector"].append(row)
-                    out["ids"].append(ids[i].as_py())
+                    out["ids"].append(left)
                     out["distance"].append(float(distance[i]))
         return pa.table({"vector": pa.array(out["vector"], pa.list_(pa.float64())), "ids": pa.array(out["ids"], pa.list_(pa.int64())), "distance": pa.array(out["distance"], pa.float64())})
 
     by = ["cell", "eb", "qb"]
     close = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(rank, "vector array<double>, ids array<long>, distance double")
+    close = close.select("vector", "distance", F.explode("ids").alias("id"))
+    if vectors_of_id > k:
+        of_id = Window.partitionBy("vector", "id").orderBy("distance")
+        close = close.withColumn("place", F.row_number().over(of_id)).filter(F.col("place") <= k)
     best = Window.partitionBy("vector").orderBy("distance", "id")
-    close = close.select("vector", "distance", F.explode("ids").alias("id")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
+    close = close.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= candidates)
     lists = close.groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near"))
     lists = measured(materialize(lists, "index-lists"))
     named = asked.distinct().join(lists, "vector").select("query_id", F.slice(F.filter("near", lambda n: n["id"] != F.col("query_id")), 1, k).alias("near"))

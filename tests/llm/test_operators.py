@@ -117,6 +117,15 @@ def test_nearest_on_clusters_copies_and_unusable_vectors(spark):
     assert [r.vec_id for r in sorted((r for r in got if r.query_id == 2000), key=lambda r: r.rank)] == [7, *range(2001, 2010)]
 
 
+def test_rows_of_one_id_leave_room_for_other_ids(spark):
+    repeated = [(5, [1.0, 0.0])] * 8 + [(6, [1.0, 0.0])] * 8 + [(7, [1.0, 0.0]), (8, [1.0, 0.5]), (9, [1.0, 2.0])]
+    for own in (2, 9):  # other vectors of the query's id: as many as neighbours, and more
+        several = [(7, [1.0, 0.01 * i]) for i in range(1, own)]
+        df = spark.createDataFrame(repeated + several, "vec_id long, embedding array<double>").repartition(4)
+        got = sorted((r.query_id, r.rank, r.vec_id) for r in nearest(df, df.filter("vec_id in (5, 7) and embedding[1] = 0"), k=3).collect())
+        assert got == [(5, 1, 6), (5, 2, 7), (5, 3, 7), (7, 1, 5), (7, 2, 6), (7, 3, 8)]
+
+
 def test_nearest_with_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 3.0])], schema)
