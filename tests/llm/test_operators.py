@@ -423,6 +423,22 @@ def test_mix(spark, docs, rows, none):
     assert mix(none, labels).collect() == [] and mix(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("texts", [["one two three"], ["one", "one two", "one two three", "one two three four", "five"]])
+def test_rows_of_one_key_are_cut_where_the_budget_ends(spark, texts):
+    rows = [(None if k % 2 else 7, texts[k % len(texts)], "ab"[k % 4 > 1], k) for k in range(400)] + [(100 + k, "six seven", "ab"[k % 2], k) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(5)
+    got = mix(df).collect()
+    assert len(got) == len(rows)
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= max(r.size for r in mine) / 2
+    whole = mixed_documents(df).collect()
+    count = lambda pairs: sorted((null_first(a), b, c) for a, b, c in pairs)
+    taken = [(r.doc_id, r.source, r.size) for r in got for _ in range(r.copies)]
+    assert count(taken) == count((r.doc_id, r.source, len(corpus.words(r.text))) for r in whole)
+    assert max(sum(1 for w in whole if w.n == k and w.source == s and w.doc_id in (None, 7)) for k in range(400) for s in "ab") <= max(r.copies for r in got)
+
+
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 10}, {"a": 1, "b": 500, "c": 3, None: 7}, {"a": 0, "b": 4}, {"a": 0}, {"é": 5, "z": 5, "\U0001f600": 5, "A": 5}])
 def test_targets(spark, sizes):
     got = {r.source: r.target for r in targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
