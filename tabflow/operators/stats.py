@@ -9,6 +9,7 @@ rows, and only the last small range is read. So no step needs memory that grows
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import json
 import math
 from collections.abc import Mapping, Sequence
@@ -146,7 +147,7 @@ def fit_statistics(
         for c, value in exact_medians(train_rows, numeric, counts).items():
             out[c]["median"] = value
     if wanted & set(FROM_VALUES):
-        for c, values in _value_statistics(picked, names, schema, train is not None).items():
+        for c, values in _value_statistics(picked, names, schema, train is not None, "most_frequent_value" in wanted).items():
             out[c].update({s: v for s, v in values.items() if s in wanted})
     return Statistics(out)
 
@@ -179,7 +180,7 @@ def exact_medians(
         row = df.agg(*[F.median(quote(c)).alias(f"m{i}") for i, c in enumerate(small)]).first()
         out.update({c: float(row[f"m{i}"]) for i, c in enumerate(small)})
     ranks = {
-        (c, r): _RankRange(c, r, counts[c], sketch)
+        (c, r): _RankRange(c, r, counts[c], sketch, df.schema[c].dataType)
         for c in columns
         if counts[c] > at_once
         for r in {(counts[c] - 1) // 2, counts[c] // 2}
@@ -206,11 +207,21 @@ def exact_medians(
 class _RankRange:
     """The open interval of values known to hold one rank of a column, until the value itself is known."""
 
-    def __init__(self, column: str, rank: int, n: int, sketch: int):
+    def __init__(self, column: str, rank: int, n: int, sketch: int, t: T.DataType):
         self.column, self.rank = F.col(quote(column)), rank
         self.low = self.high = self.value = None
         self.below, self.inside = 0, n
-        self.sketch = sketch
+        self.sketch, self.type, self.halve = sketch, t, False
+
+    def _midpoint(self) -> int | decimal.Decimal:
+        """The middle of the interval, in whole steps of the type."""
+        if isinstance(self.type, T.DecimalType):
+            with decimal.localcontext(prec=80):
+                step = decimal.Decimal(1).scaleb(-self.type.scale)
+                low, high = (e if v is None else int(v / step) for e, v in ((-(10**self.type.precision), self.low), (10**self.type.precision, self.high)))
+                return (low + high) // 2 * step
+        low, high = -(2**63) - 1 if self.low is None else self.low, 2**63 if self.high is None else self.high
+        return (low + high) // 2
 
     def _within(self) -> Column:
         held = self.column.isNotNull()
@@ -222,6 +233,8 @@ class _RankRange:
 
     def guess(self, u: Column) -> Column:
         """Two values of the interval that probably enclose the rank, by a sketch of a sample of the interval."""
+        if self.halve:
+            return F.array(F.lit(self._midpoint()), F.lit(self._midpoint()))
         sample = min(self.inside, _SAMPLE)
         share, slack = (self.rank - self.below) / self.inside, 2.0 / self.sketch
         picked = self._within()
@@ -252,7 +265,10 @@ class _RankRange:
         else:
             self._set(ends[1], self.high, n.upto_b, self.below + self.inside)
         if self.value is None and self.inside >= before:
-            raise ArithmeticError("whole numbers beyond 2**53 are too close together for a quantile sketch; cast to decimal")
+            # A sketch holds doubles, which cannot tell whole numbers beyond 2**53 apart: from here on the interval is halved.
+            if not (is_integer(self.type) or isinstance(self.type, T.DecimalType)):
+                raise ArithmeticError(f"a quantile sketch does not narrow {self.type.simpleString()}")
+            self.halve = True
 
     def _set(self, low: Any, high: Any, below: int, until: int) -> None:
         self.low, self.high, self.below, self.inside = low, high, below, until - below
@@ -299,35 +315,47 @@ def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _value_statistics(df: DataFrame, columns: Sequence[str], schema: T.StructType, split: bool) -> dict[str, dict[str, Any]]:
+def _value_statistics(df: DataFrame, columns: Sequence[str], schema: T.StructType, split: bool, modes: bool) -> dict[str, dict[str, Any]]:
     counted = "n_train" if split else "n"
     present = F.coalesce(F.col("s").isNotNull() | F.col("l").isNotNull() | F.col("d").isNotNull(), F.lit(False)) & (F.col(counted) > 0)
-    value = F.struct("s", "l", "d", "digest")
+    short = present & ~F.col("digest")
+    value = F.struct("s", "l", "d", counted)
     rows = (
         value_table(df, columns)
         .groupBy("column")
         .agg(
             F.count(F.lit(1)).alias("unique_count"),
-            F.min_by(value, F.when(present, F.struct((-F.col(counted)).alias("k"), F.col("s"), F.col("l"), F.col("d")))).alias("mode"),
+            F.min_by(value, F.when(short, F.struct((-F.col(counted)).alias("k"), F.col("s"), F.col("l"), F.col("d")))).alias("mode"),
+            F.max(F.when(present & F.col("digest"), F.col(counted))).alias("most_of_long"),
         )
         .collect()
     )
     out: dict[str, dict[str, Any]] = {}
     for r in rows:
         t = schema[r.column].dataType
-        values: dict[str, Any] = {"most_frequent_value": _typed(df, r.column, r.mode, t)}
+        mode = _typed(r.mode, t)
+        if modes and r.most_of_long and (r.mode is None or r.most_of_long >= r.mode[counted]):
+            long_text = _least_long_text(df, r.column, counted, r.most_of_long)
+            tied = r.mode is not None and r.most_of_long == r.mode[counted]
+            mode = min(mode, long_text, key=lambda v: v.encode()) if tied else long_text
+        values: dict[str, Any] = {"most_frequent_value": mode}
         if not is_numeric(t):
             values["unique_count"] = r.unique_count
         out[r.column] = values
     return out
 
 
-def _typed(df: DataFrame, column: str, v: Any, t: T.DataType) -> Any:
+def _least_long_text(df: DataFrame, column: str, counted: str, n: int) -> str:
+    """Of the long texts that occur ``n`` times the first in order. Only digests are grouped; the texts are compared where they are."""
+    c = F.col(quote(column))
+    tied = value_table(df, [column]).filter(F.col("digest") & (F.col(counted) == n)).select("s")
+    texts = df.filter(F.length(c) > _LONG_TEXT).select(c.alias("text"), F.sha2(c, 256).alias("s"))
+    return texts.join(tied, "s", "left_semi").agg(F.min("text")).first()[0]
+
+
+def _typed(v: Any, t: T.DataType) -> Any:
     if v is None:
         return None
-    if v.digest:
-        c = F.col(quote(column))
-        return df.filter((F.length(c) > _LONG_TEXT) & (F.sha2(c, 256) == v.s)).select(c).first()[0]
     if v.s is not None:
         return v.s
     if v.d is not None:

@@ -1,4 +1,5 @@
 import datetime as dt
+import decimal
 import random
 import statistics
 
@@ -226,6 +227,20 @@ def test_median_by_narrowing_equals_the_definition(spark, values, copies):
     assert found["w"] == statistics.median([int(v) for v in values])
 
 
+def test_median_of_whole_numbers_beyond_doubles(spark):
+    values = [2**60 + (k * 7) % 40 for k in range(200)] * 2 + [-(2**62), 2**62]
+    df = spark.createDataFrame([(v, decimal.Decimal(v).scaleb(-2)) for v in values], "v long, d decimal(24,2)")
+    found = exact_medians(df, ["v", "d"], at_once=0, last_range=3, sketch=10)
+    assert found["v"] == float(statistics.median_low(values)) == exact_medians(df, ["v"])["v"]
+    assert found["d"] == pytest.approx(float(decimal.Decimal(statistics.median_low(values)) / 100), rel=1e-15)
+
+
+def test_ties_of_the_mode_go_to_the_first_text_at_any_length(spark):
+    for texts in (["a" * 70 + str(k) for k in range(6)], ["b", "a" * 70, "c" * 80], ["b" * 70, "a"]):
+        df = spark.createDataFrame([(t,) for t in texts * 2 + ["z" * 90, "y"]], "s string")
+        assert fit_statistics(df, stats=("most_frequent_value",)).get("s", "most_frequent_value") == min(texts)
+
+
 def test_mode_of_every_type_and_ties(spark):
     df = spark.createDataFrame(
         [(True, dt.date(2024, 1, 2), dt.datetime(2024, 1, 1, 5), "x" * 100), (True, dt.date(2024, 1, 1), dt.datetime(2024, 1, 1, 5), "x" * 100), (None, None, None, "y")],
