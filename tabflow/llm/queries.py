@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabflow.llm import queries_audit  # noqa: F401  registers its queries
 from tabflow.llm.imatch import fingerprint_documents
 from tabflow.llm.jaccard import jaccard_classes
 from tabflow.llm.language import fit, predict_languages
