@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabflow.llm.alignment import align
 from tabflow.llm.divergence import divergence
 from tabflow.llm.registry import register, table
+from tabflow.llm.tokens import tokenizer_path
 from tabflow.llm.url_templates import DEPTH, Rule, judge_urls
 
 URL_RULES = (
@@ -95,3 +97,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDE
 )
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
