@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from tabflow.llm import divergence as d
-from tabflow.llm.registry import SQL
+from tabflow.llm.queries import SQL
 from tests.oracle import _rows
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")

@@ -1,7 +1,7 @@
 """The url filter: parts of urls, rules, what the tree generalises, merges and rejects, and its edge cases."""
 
 from tabflow.llm.queries_audit import URL_RULES
-from tabflow.llm.registry import SQL
+from tabflow.llm.queries import SQL
 from tabflow.llm.url_templates import Rule, judge_urls
 from tests.conftest import rows
 from tests.oracle import _rows
