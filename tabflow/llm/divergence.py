@@ -1,7 +1,7 @@
 """Divergence of the sources of a language, term by term, over the terms that enough of its documents hold.
 
 The kept terms are found by iceberg prefix refinement. A term's bytes end with a zero byte, which no term holds, so that a complete term
-is one more prefix. Prefixes of 2, 4, 8, ... bytes are counted by distinct documents; those of fewer than ``least`` documents are
+is one more prefix. Prefixes of 6, 12, 24, ... bytes are counted by distinct documents; those of fewer than ``least`` documents are
 discarded with all terms below them, and only what is left is extended, until every prefix left is a complete term.
 
 Documents are read once, by slices: a slice hands on each of its terms with its occurrences per source and with at most ``least``
@@ -22,65 +22,81 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabflow.llm.shared import measured
+from tabflow.llm.words import byte_hashes, mix, slices
 from tabflow.session import materialize
 
 LEAST = 3
 TOP = 200
 SLICE_BYTES = 16 << 20
+FIRST = 6
 SCALE = 1_000_000_000
-BLOCK_CELLS = 200_000
+BLOCK_CELLS = 20_000
 PAIRS_AT_ONCE = 1 << 21
-SLICE_TERMS = 200_000
 _SLICES = "slice long, lang string, term binary, docs array<int>, sources array<string>, counts array<long>"
+_NAMES = [f.split()[0] for f in _SLICES.split(", ")]
 #: A-Z lower-cased; bytes that belong to no term are blanks. Bytes of multi-byte characters lie above 0x7F.
-_TO_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-
-
-def terms(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").translate(_TO_TERMS).split()
-
-
-def _slice_rows(number: int, held: dict) -> Iterator[pa.RecordBatch]:
-    """One row a (lang, term) of a slice, in bounded batches."""
-    names = [f.split()[0] for f in _SLICES.split(", ")]
-    types = [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())]
-    out: list[tuple] = []
-    for lang, found in held.items():
-        for term, (docs, counts) in found.items():
-            out.append((number, lang, term + b"\0", docs, list(counts), list(counts.values())))
-            if len(out) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)], names)
-                out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)], names)
+_TO_TERMS = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
+
+
+def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    """One list an owner from values in order of their owners 0 to n - 1."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner, minlength=n))), pa.int32()), values)
+
+
+def _slice(number: int, offsets: np.ndarray, data: np.ndarray, lang: pa.DictionaryArray, source: pa.DictionaryArray, least: int) -> pa.RecordBatch:
+    """One row a (lang, term) of a run of texts; terms are told apart by a hash of 64 bits within the run."""
+    low = _TO_TERMS[data]
+    inside = low != 32
+    edge = np.zeros(len(low) + 1, bool)
+    edge[offsets] = True
+    before, after = np.append(False, inside[:-1])[: len(low)], np.append(inside[1:], False)[: len(low)]
+    start = np.flatnonzero(inside & (~before | edge[:-1]))
+    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    of_lang, of_source = (c.indices.to_numpy().astype(np.int64) for c in (lang, source))
+    doc = np.searchsorted(offsets, start, "right") - 1
+    key = mix(byte_hashes(low, start, end) ^ mix(of_lang[doc].astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(key, kind="stable")  # documents stay in order
+    key, doc = key[order], doc[order]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    term = np.cumsum(new) - 1
+    n = int(term[-1]) + 1 if len(term) else 0
+    first = np.flatnonzero(new)
+
+    met = np.flatnonzero(new | np.append(True, doc[1:] != doc[:-1])[: len(doc)])
+    nth = np.arange(len(met)) - np.searchsorted(met, first)[term[met]]
+    held = met[nth < least]
+    code, times = np.unique(term * len(source.dictionary) + of_source[doc], return_counts=True)
+
+    at = order[first]
+    size = end[at] - start[at] + 1
+    ends = np.cumsum(size)
+    spelled = low[np.minimum(np.repeat(start[at] - (ends - size), size) + np.arange(size.sum()), max(len(low) - 1, 0))]
+    spelled[ends - 1] = 0
+    name = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(spelled.tobytes())])
+    columns = [
+        pa.array(np.full(n, number, np.int64)),
+        lang.dictionary.take(pa.array(of_lang[doc[first]])),
+        name,
+        _lists(term[held], n, pa.array(doc[held], pa.int32())),
+        _lists(code // len(source.dictionary), n, source.dictionary.take(pa.array(code % len(source.dictionary)))),
+        _lists(code // len(source.dictionary), n, pa.array(times, pa.int64())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, _NAMES)
 
 
 def _slicer(least: int, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
         from pyspark import TaskContext
 
-        part, taken, doc, size, new = TaskContext.get().partitionId(), 0, 0, 0, 0
-        held: dict[str, dict[bytes, tuple[list[int], dict[str, int]]]] = {}
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = held.setdefault(lang, {})
-                for term, n in Counter(terms(text)).items():
-                    at = found.get(term)
-                    if at is None:
-                        found[term] = ([doc], {source: n})
-                        new += 1
-                        continue
-                    docs, counts = at
-                    if len(docs) < least:
-                        docs.append(doc)
-                    counts[source] = counts.get(source, 0) + n
-                doc, size = doc + 1, size + len(text)
-                if size >= slice_bytes or new >= SLICE_TERMS:
-                    yield from _slice_rows((part << 32) + taken, held)
-                    held, taken, doc, size, new = {}, taken + 1, 0, 0, 0
-        yield from _slice_rows((part << 32) + taken, held)
+            lang, source = (batch.column(i).dictionary_encode() for i in range(2))
+            for row, offsets, data in slices(batch.column(2), slice_bytes):
+                n = len(offsets) - 1
+                found = _slice(number, offsets, data, lang.slice(row, n), source.slice(row, n), least)
+                number += 1
+                for at in range(0, found.num_rows, 50_000):
+                    yield found.slice(at, 50_000)
 
     return run
 
@@ -92,22 +108,33 @@ def slices_of(documents: DataFrame, least: int = LEAST, slice_bytes: int = SLICE
     return materialize(read.mapInArrow(_slicer(least, slice_bytes), _SLICES), "terms-slices")
 
 
-def kept_terms(slices: DataFrame, least: int = LEAST) -> DataFrame:
+def _prefixes(left: DataFrame, length: int, least: int) -> DataFrame:
+    """(lang, prefix) of the prefixes in at least ``least`` documents; written.
+
+    One term that reaches it settles a prefix, as does a sum over its terms that does not. Distinct documents are counted for the rest.
+    """
+    at = left.select("lang", F.substring("term", 1, length).alias("prefix"), "slice", "docs")
+    bounds = at.groupBy("lang", "prefix").agg(F.max(F.size("docs")).alias("least"), F.sum(F.size("docs")).alias("most")).filter(F.col("most") >= least)
+    bounds = materialize(bounds, "terms-bounds")
+    sure, open_ = bounds.filter(F.col("least") >= least).select("lang", "prefix"), bounds.filter(F.col("least") < least).select("lang", "prefix")
+    each = at.filter(F.size("docs") < least).join(measured(open_), ["lang", "prefix"], "left_semi").select("lang", "prefix", "slice", F.explode("docs").alias("doc"))
+    counted = each.groupBy("lang", "prefix").agg(F.count_distinct("slice", "doc").alias("n")).filter(F.col("n") >= least).select("lang", "prefix")
+    return materialize(sure.union(counted), "terms-prefixes")
+
+
+def kept_terms(slices: DataFrame, least: int = LEAST, first: int = FIRST) -> DataFrame:
     """(lang, term) of all terms in at least ``least`` documents of their language; a written table, terms with their end byte."""
     left = slices.select("lang", "term", "slice", "docs")
     longest = slices.agg(F.max(F.octet_length("term"))).first()[0] or 0
-    length, done = 2, []
+    length, done = first, []
     while True:
-        prefix = F.substring("term", 1, length)
-        at = left.select("lang", prefix.alias("prefix"), "slice", F.explode("docs").alias("doc"))
-        counts = at.groupBy("lang", "prefix").agg(F.count_distinct("slice", "doc").alias("n"))
-        found = materialize(counts.filter(F.col("n") >= least).select("lang", "prefix"), "terms-prefixes")
+        found = _prefixes(left, length, least)
         ended = F.substring("prefix", -1, 1) == F.lit(b"\0")
         done.append(found.filter(ended).select("lang", F.col("prefix").alias("term")))
         if length >= longest:
             break
         open_ = measured(found.filter(~ended))
-        live = left.filter(F.octet_length("term") > length).withColumn("prefix", prefix)
+        live = left.filter(F.octet_length("term") > length).withColumn("prefix", F.substring("term", 1, length))
         left = materialize(live.join(open_, ["lang", "prefix"], "left_semi").drop("prefix"), "terms-left")
         if left.isEmpty():
             break
@@ -192,9 +219,9 @@ def divergence(documents: DataFrame, least: int = LEAST, top: int = TOP, slice_b
     task holds the terms of one slice, or of one text if that is longer. Ties rank by the bytes of the item. An empty table gives no rows.
     """
     plain = lambda c: F.coalesce(documents[c].cast("string"), F.lit("")).alias(c)
-    slices = slices_of(documents, least, slice_bytes)
-    kept = kept_terms(slices, least)
-    held = slices.join(kept, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("at"))
+    cut = slices_of(documents, least, slice_bytes)
+    kept = kept_terms(cut, least)
+    held = cut.join(kept, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("at"))
     counts = materialize(held.groupBy("lang", "term", F.col("at.sources").alias("source")).agg(F.sum("at.counts").alias("count")), "terms-counts")
 
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))

@@ -75,6 +75,14 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.
         at = to
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash for each span of bytes."""
+    up, down = _Powers.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[:-1], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def words(column: pa.Array, lower: bool = False, most: int = SLICE_BYTES) -> Iterator[Words]:
     """The words of a text column, slice by slice."""
     for row, offsets, data in slices(column, most):
