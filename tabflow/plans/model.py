@@ -9,7 +9,7 @@ from operator import or_
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from tabflow.functions.columns import quote
 from tabflow.functions.types import is_numeric
 from tabflow.operators.inspect import null_columns
+from tabflow.plans.boosting import Boosted, _sigmoid, _softmax, boost, objective_of
 from tabflow.plans.dataset import Dataset
 from tabflow.plans.evaluate import evaluate, passes
 
@@ -44,7 +45,6 @@ DEFAULTS = {
         "scale_pos_weight": 1.0,
     },
     "gblinear": {
-        "learning_rate": 0.1,
         "n_estimators": 100,
         "lambda": 1.0,
         "alpha": 0.0,
@@ -69,7 +69,13 @@ class Model:
         early_stopping: bool = False,
         seed: int = 42,
         version: str | None = None,
+        patience: int | None = None,
     ):
+        """``patience`` ends boosting when the loss on the valid rows has not improved for so many rounds; it implies early stopping.
+
+        Linear models are solved to their optimum, so they have no learning rate. Their ``lambda`` and ``alpha`` are penalties a row: the
+        mean loss plus lambda / 2 times the squared weights plus alpha times their absolute values, inputs taken as they are.
+        """
         if task not in ("classification", "regression"):
             raise ValueError("task must be classification or regression")
         if booster not in BOOSTERS:
@@ -83,7 +89,10 @@ class Model:
         self.objective = objective or ("reg:squarederror" if task == "regression" else "binary:logistic")
         self.hyperparameters = {**DEFAULTS[booster], **(hyperparameters or {})}
         self.features = list(features) if features is not None else None
-        self.early_stopping, self.seed, self.version = early_stopping, seed, version
+        if patience is not None and booster != "gbtree":
+            raise ValueError("only trees are boosted in rounds")
+        self.early_stopping, self.seed, self.version, self.patience = early_stopping or patience is not None, seed, version, patience
+        self.boosted: Boosted | None = None
         self.pipeline: PipelineModel | None = None
         self.classes: int | None = None
         self.widths: dict[str, int] = {}
@@ -135,13 +144,30 @@ class Model:
             self.widths = {c: sizes[f"w{i}"] for i, c in enumerate(vectors)}
         if "split" in df.columns:
             df = df.filter(F.col("split").isin("train", "valid") if self._validates() else F.col("split") == "train")
-        self.pipeline = self.estimator().fit(self.training_frame(df))
+        if self._boosts():
+            return self._boost(self.training_frame(df))
+        rows = self.training_frame(df)
+        spread = _spread(rows) if self.booster == "gblinear" and self.objective == "reg:squarederror" else 1.0
+        self.pipeline = self.estimator(spread).fit(rows)
         if self.task == "classification" and self.objective.startswith("multi"):
-            self.classes = self._stage().numClasses if hasattr(self._stage(), "numClasses") else len(self._stage().models)
+            self.classes = self._stage().numClasses
+        return self
+
+    def _boosts(self) -> bool:
+        """Whether the boosting loop is used: Spark's own boosted trees know two losses and no patience."""
+        return self.booster == "gbtree" and (self.patience is not None or self.objective not in ("binary:logistic", "reg:squarederror"))
+
+    def _boost(self, rows: DataFrame) -> Model:
+        self.pipeline = Pipeline(stages=self._assembly()).fit(rows)
+        if self.objective.startswith("multi"):
+            self.classes = int(rows.agg(F.max("label")).first()[0]) + 1
+        held_out = "is_valid" if self._validates() else None
+        objective = objective_of(self.objective, self.classes or 2)
+        self.boosted = boost(self.pipeline.transform(rows), objective, self.hyperparameters, held_out=held_out, patience=self.patience, seed=self.seed)
         return self
 
     def _validates(self) -> bool:
-        return self.early_stopping and self.booster == "gbtree" and self.objective in ("binary:logistic", "reg:squarederror")
+        return self.early_stopping and self.booster == "gbtree"
 
     def training_frame(self, df: DataFrame) -> DataFrame:
         df = self.matrix(df).withColumn("label", F.col(quote(self.target)).cast("double"))
@@ -152,35 +178,37 @@ class Model:
         df = df.withColumn("example_weight", weight)
         return df.withColumn("is_valid", F.col("split") == "valid") if self._validates() else df
 
-    def estimator(self) -> Pipeline:
+    def estimator(self, spread: float = 1.0) -> Pipeline:
         """Training rows are checked for NULLs beforehand. Rows to be scored may lack inputs: they are kept, and NaN takes
         the upper branch of every tree, so one incomplete row does not fail the job."""
+        return Pipeline(stages=[*self._assembly(), self._learner(spread)])
+
+    def _assembly(self) -> list:
         hints = [VectorSizeHint(inputCol=f"in_{c}", size=n, handleInvalid="optimistic") for c, n in self.widths.items()]
-        assembler = VectorAssembler(inputCols=[f"in_{c}" for c in self.features], outputCol="features", handleInvalid="keep")
-        return Pipeline(stages=[*hints, assembler, self._learner()])
+        return [*hints, VectorAssembler(inputCols=[f"in_{c}" for c in self.features], outputCol="features", handleInvalid="keep")]
 
-    def _learner(self):
+    def _learner(self, spread: float = 1.0):
+        """``spread`` is the deviation of the labels, by which Spark divides the squared penalty of least squares."""
         h = self.hyperparameters
         common = {"featuresCol": "features", "labelCol": "label", "weightCol": "example_weight"}
         if self.booster == "gblinear":
-            strength = float(h["lambda"]) + float(h["alpha"])
+            strength = float(h["lambda"]) * spread + float(h["alpha"])
             linear = {
                 **common,
                 "maxIter": int(h["n_estimators"]),
-                "regParam": strength / 100.0,
+                "regParam": strength,
                 "elasticNetParam": float(h["alpha"]) / strength if strength else 0.0,
+                "standardization": False,
             }
             if self.objective == "reg:squarederror":
                 return LinearRegression(**linear)
+            if self.objective.startswith(("binary:logistic", "multi:")):
+                return LogisticRegression(**linear)
+            if h["alpha"]:
+                raise ValueError(f"{self.objective} takes no alpha: its linear model has an L2 penalty only")
             if self.objective == "reg:logistic":
-                return self._fractional_logistic(common, int(h["n_estimators"]), strength / 100.0)
-            if self.objective == "binary:hinge":
-                return LinearSVC(**common, maxIter=int(h["n_estimators"]), regParam=strength / 100.0)
-            return LogisticRegression(**linear)
-        if self.objective == "binary:hinge":
-            return LinearSVC(**common, maxIter=int(h["n_estimators"]))
-        if self.objective == "reg:logistic":
-            return self._fractional_logistic(common, int(h["n_estimators"]), 0.0)
+                return GeneralizedLinearRegression(**common, family="binomial", link="logit", maxIter=linear["maxIter"], regParam=strength)
+            return LinearSVC(**common, maxIter=linear["maxIter"], regParam=strength, standardization=False)
         trees = {
             **common,
             "maxIter": int(h["n_estimators"]),
@@ -196,14 +224,8 @@ class Model:
             trees["validationIndicatorCol"] = "is_valid"
         if self.task == "regression":
             return GBTRegressor(**trees)
-        if self.objective.startswith("multi"):
-            return OneVsRest(classifier=GBTClassifier(**trees), featuresCol="features", labelCol="label", weightCol="example_weight")
         return GBTClassifier(**trees)
 
-    @staticmethod
-    def _fractional_logistic(common: dict, iterations: int, strength: float):
-        return GeneralizedLinearRegression(**common, family="binomial", link="logit", maxIter=iterations, regParam=strength)
-
     def _stage(self):
         return self.pipeline.stages[-1]
 
@@ -214,9 +236,11 @@ class Model:
         if self.pipeline is None:
             raise NotTrainable("the model is not trained")
         scored = self.pipeline.transform(self.matrix(df))
+        if self.boosted is not None:
+            scored = self._from_margins(self.boosted.margins(scored))
         probabilities = self._probabilities(scored)
         prediction = F.col("prediction")
-        if self.booster == "gblinear" or self.objective in ("binary:hinge", "reg:logistic"):
+        if self.booster == "gblinear":
             # A sum has no value where a part is missing.
             missing = reduce(or_, [F.col(quote(c)).isNull() for c in self.features])
             prediction = F.when(~missing, prediction)
@@ -226,15 +250,20 @@ class Model:
         out = scored.select(*[F.col(quote(c)) for c in df.columns], prediction.alias("prediction"), *([probabilities] if probabilities is not None else []))
         return out
 
+    def _from_margins(self, scored: DataFrame) -> DataFrame:
+        m = F.col("margins")
+        if self.objective.startswith("multi"):
+            scored = scored.withColumn("probability", _softmax(m))
+            return scored.withColumn("prediction", F.array_position("probability", F.array_max("probability")) - 1)
+        one = _sigmoid(m[0])
+        if self.task == "classification":
+            return scored.withColumn("probability", F.array(1 - one, one)).withColumn("prediction", (m[0] > 0).cast("int"))
+        return scored.withColumn("prediction", one if self.objective == "reg:logistic" else m[0])
+
     def _probabilities(self, scored: DataFrame) -> Column | None:
         if self.task != "classification" or self.objective == "binary:hinge":
             return None
-        if "probability" in scored.columns:
-            p = vector_to_array("probability")
-        else:
-            # One model against the rest each: its margin m gives 1 / (1 + exp(-2m)), scaled to sum 1.
-            raw = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
-            p = F.transform(raw, lambda v: v / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+        p = F.col("probability") if self.boosted is not None else vector_to_array("probability")
         return F.transform(p, lambda v: F.round(v, 4)).alias("probabilities")
 
     def evaluate(self, processed: DataFrame, segment: str = "test", metrics: Sequence[str] | None = None, custom=None) -> dict[str, Any]:
@@ -246,12 +275,10 @@ class Model:
 
     def importances(self, spark: SparkSession) -> DataFrame:
         """feature, importance; 0 for an input the model does not use. A vector input has one row per element."""
-        stage = self._stage()
-        models = getattr(stage, "models", None) or [stage]
-        total = [0.0] * len(self._slots())
-        for m in models:
-            for i, v in enumerate(_weights(m)):
-                total[i] += abs(float(v)) / len(models)
+        if self.boosted is not None:
+            total = self.boosted.importances(len(self._slots()))
+        else:
+            total = [abs(float(v)) for v in _weights(self._stage())]
         return spark.createDataFrame(list(zip(self._slots(), total)), "feature string, importance double")
 
     def _slots(self) -> list[str]:
@@ -266,8 +293,11 @@ class Model:
     def save(self, spark: SparkSession, root: str, version: str) -> str:
         path = f"{root}/version={version}"
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        if self.boosted is not None:
+            self.boosted.save(spark, f"{path}/boosted")
         self.version = version
         config = {
+            "patience": self.patience,
             "task": self.task,
             "target": self.target,
             "objective": self.objective,
@@ -279,6 +309,8 @@ class Model:
             "early_stopping": self.early_stopping,
             "version": version,
             "widths": self.widths,
+            "classes": self.classes,
+            "boosted": self.boosted is not None,
         }
         spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
         return path
@@ -287,13 +319,25 @@ class Model:
     def load(cls, spark: SparkSession, root: str, version: str) -> Model:
         path = f"{root}/version={version}"
         config = json.loads(spark.read.option("wholetext", True).text(f"{path}/config").first().value)
-        widths = config.pop("widths")
+        widths, classes, boosted = config.pop("widths"), config.pop("classes"), config.pop("boosted")
         out = cls(**config)
-        out.widths = widths
+        out.widths, out.classes = widths, classes
+        if boosted:
+            out.boosted = Boosted.load(spark, f"{path}/boosted")
         out.pipeline = PipelineModel.load(f"{path}/pipeline")
         return out
 
 
+def _spread(rows: DataFrame) -> float:
+    """The weighted sample deviation of the labels, as Spark ML takes it; 1 for constant labels."""
+    w, y = F.col("example_weight"), F.col("label")
+    sums = rows.agg(F.sum(w).alias("w"), F.sum(w * w).alias("ww"), (F.sum(w * y) / F.sum(w)).alias("mean")).first()
+    if not sums.w or sums.w <= sums.ww / sums.w:
+        return 1.0
+    squares = rows.agg(F.sum(w * (y - sums.mean) * (y - sums.mean))).first()[0]
+    return (squares / (sums.w - sums.ww / sums.w)) ** 0.5 or 1.0
+
+
 def _weights(model) -> list[float]:
     if hasattr(model, "featureImportances"):
         return model.featureImportances.toArray().tolist()

@@ -27,7 +27,6 @@ RANGES: dict[str, dict[str, dict[str, Any]]] = {
         "colsample_bytree": {"min": 0.1, "max": 1.0},
     },
     "gblinear": {
-        "learning_rate": {"min": 0.001, "max": 0.3, "log": True},
         "n_estimators": {"min": 100, "max": 1000},
         "lambda": {"min": 0.0, "max": 10.0},
         "alpha": {"min": 0.0, "max": 1.0},
@@ -85,7 +84,7 @@ def search(
 
     def run(number: int) -> tuple[int, float, Model]:
         trial = Model(
-            model.task, model.target, model.objective, model.booster, plans[number], model.weight, model.features, model.early_stopping, model.seed
+            model.task, model.target, model.objective, model.booster, plans[number], model.weight, model.features, model.early_stopping, model.seed, patience=model.patience
         ).fit(rows)
         return number, float(trial.evaluate(rows, "valid", [metric] if custom is None else None, custom)[metric]), trial
 

@@ -204,7 +204,7 @@ def m_linear_saved(spark, sf):
 def m_objectives(spark, sf):
     """Fractional targets by a logistic regression, and a hinge-loss classifier."""
     share = charge_rows(spark, sf).withColumn("share", F.col("l_quantity") / 60.0).drop("l_quantity")
-    logistic = Model("regression", "share", "reg:logistic").fit(share)
+    logistic = Model("regression", "share", "reg:logistic", "gblinear", {"lambda": 0.0}).fit(share)
     a = logistic.predict(share).agg(F.bool_and(F.col("prediction").between(0.0, 1.0)).alias("within_bounds"), F.count(F.lit(1)).alias("num_rows"))
     docs = materialize(document_rows(spark, sf), "train")
     hinge = Model("classification", "quality", "binary:hinge", "gblinear", {"n_estimators": 5}, features=DOCUMENT_INPUTS).fit(docs)
