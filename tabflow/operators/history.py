@@ -1,12 +1,13 @@
 """Earlier rows of the same group: previous value, last value that meets a condition.
 
-A window sorts each group in one task. Groups beyond ``hot_rows`` rows are therefore cut into ranges of the order column;
-each (group, range) is its own window partition, and the state that a range hands to the next one, one row per range, is
+A window sorts each group in one task. Groups beyond ``hot_rows`` rows are therefore cut into ranges of the order, at sampled rows,
+so that all order columns and all their types count; each (group, range) is its own window partition, and the state that a range hands to the next one, one row per range, is
 joined back. Without such groups the plan is the plain window.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -14,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabflow.functions.columns import quote
-from tabflow.operators.ordering import MAX_RANGES, RangeCuts, exact_position, position
 from tabflow.session import cut_lineage
 
 HOT_ROWS = 5_000_000
@@ -30,9 +30,9 @@ class Earlier:
 
 
 def hot_groups(df: DataFrame, group: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(_hot_group): all groups beyond the limit, however many; a written table."""
-    counts = df.groupBy(F.col(quote(group)).alias("_hot_group")).agg(F.count(F.lit(1)).alias("n"))
-    return cut_lineage(counts.filter(F.col("n") > hot_rows).select("_hot_group"))
+    """(_hot_group, _hot_rows): all groups beyond the limit, however many; a written table."""
+    counts = df.groupBy(F.col(quote(group)).alias("_hot_group")).agg(F.count(F.lit(1)).alias("_hot_rows"))
+    return cut_lineage(counts.filter(F.col("_hot_rows") > hot_rows))
 
 
 def with_earlier(
@@ -59,12 +59,13 @@ def with_earlier(
         taken = [F.last(F.col(f"_e{i}"), ignorenulls=True).over(before).getField("v").alias(n) for i, n in enumerate(names)]
         return marked.select(*keep, *taken)
 
-    known = hot.withColumn("_is_hot", F.lit(True))
+    known = hot.select("_hot_group", F.lit(True).alias("_is_hot"))
     if _measured_small(hot):
         known = F.broadcast(known)
     marked = marked.join(known, F.col(quote(group)).eqNullSafe(F.col("_hot_group")), "left").drop("_hot_group")
     is_hot = F.coalesce(F.col("_is_hot"), F.lit(False))
-    ranged = _cut_groups(marked, is_hot, order)
+    ranges = max(2, math.ceil(2 * hot.agg(F.sum("_hot_rows")).first()[0] / max(1, hot_rows)))
+    ranged = _cut_groups(marked, is_hot, order, ranges)
     ordering = F.struct(*[F.col(quote(c)) for c in order])
     handed = (
         ranged.filter(is_hot)
@@ -90,23 +91,15 @@ def _measured_small(df: DataFrame) -> bool:
     return (size.chars or 0) + 64 * size.n <= BROADCAST_BYTES
 
 
-def _cut_groups(df: DataFrame, is_hot: Column, order: Sequence[str]) -> DataFrame:
+def _cut_groups(df: DataFrame, is_hot: Column, order: Sequence[str], ranges: int) -> DataFrame:
     """Adds ``_range``: a number that never decreases in the given order, and the same one for all rows of other groups.
 
-    The second part cuts the rows that share one frequent value of the first order column by the second one.
+    Spark's range partitioning samples the whole order, so a frequent value of the first column is cut by the next one, and text by
+    all of it. The cut rows are written, because another run would sample anew.
     """
-    hot_rows = df.filter(is_hot)
-    pos = position(df, order[0])
-    cuts = RangeCuts.of(hot_rows, pos)
-    df = cuts.assign(df, pos, "_cut")
-    sub = F.lit(0)
-    if cuts.heavy and len(order) > 1 and exact_position(df.schema[order[0]].dataType):
-        frequent = pos.isin(cuts.heavy)
-        pos2 = position(df, order[1])
-        df = RangeCuts.of(hot_rows.filter(frequent), pos2).assign(df, pos2, "_sub")
-        sub = F.when(frequent, F.col("_sub")).otherwise(sub)
-    number = F.col("_cut").cast("long") * (4 * MAX_RANGES) + sub
-    return df.withColumn("_range", F.when(is_hot, number).otherwise(F.lit(-1).cast("long")))
+    placed = df.filter(is_hot).repartitionByRange(ranges, *[F.col(quote(c)).asc_nulls_first() for c in order])
+    placed = cut_lineage(placed.withColumn("_range", F.spark_partition_id().cast("long")))
+    return placed.unionByName(df.filter(~is_hot).withColumn("_range", F.lit(-1).cast("long")))
 
 
 def previous_value(df: DataFrame, group: str, order: Sequence[str], value: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:

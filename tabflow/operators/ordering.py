@@ -1,8 +1,10 @@
 """Global order without a single-task sort: range buckets, running totals, ranks and key batches.
 
-A window without a partition key pulls the whole table into one task. Here the order column is cut at approximate
-quantiles into about as many ranges as there are shuffle partitions; rows are ranked inside their range, and the range
-totals (one row per range) give each range its offset. The cuts are literals, so a recomputed task gets the same ranges.
+A window without a partition key pulls the whole table into one task. Here the order column is cut into ranges of about
+``ROWS_PER_RANGE`` rows, however many that are; rows are ranked inside their range, and the range totals (one row per range) give each
+range its offset. Numbers and times are cut at approximate quantiles: up to ``LEVEL_RANGES`` of them are literals, so a recomputed task
+gets the same ranges; beyond, each of these ranges is cut again at its own quantiles, which are a written table, and offsets are summed
+in two levels, too. Other types, text above all, are cut at sampled whole keys.
 """
 
 from __future__ import annotations
@@ -19,17 +21,15 @@ from tabflow.functions.dates import epoch_micros
 from tabflow.functions.types import is_numeric
 from tabflow.session import cut_lineage
 
-MAX_RANGES = 2000
+ROWS_PER_RANGE = 2_000_000
+LEVEL_RANGES = 1_000
+#: Cuts that are looked at together; a search looks at two such runs.
+_RUN = 32
+_SPAN = 1 << 20
+_LAST = 1 << 60
 _EXACT_DOUBLE = float(2**53)
 
 
-def _common_prefix(a: bytes, b: bytes) -> int:
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return n
-
-
 def exact_position(t: T.DataType) -> bool:
     """Whether two different keys always have different positions (for whole numbers: below 2**53)."""
     return isinstance(
@@ -50,59 +50,95 @@ def position(df: DataFrame, key: str) -> Column:
         p = F.unix_date(c).cast("double")
     elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
         p = epoch_micros(c, t).cast("double")
-    elif isinstance(t, T.StringType):
-        ends = df.agg(F.encode(F.min(c), "UTF-8").alias("lo"), F.encode(F.max(c), "UTF-8").alias("hi")).first()
-        skip = 0 if ends.lo is None else _common_prefix(bytes(ends.lo), bytes(ends.hi))
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), skip + 1, 6)), 12, "0")
-        p = F.conv(head, 16, 10).cast("double")
     else:
         raise TypeError(f"cannot order by {key} of type {t.simpleString()}")
     return F.coalesce(p, F.lit(float("-inf")))
 
 
+def _least_ranges(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 class RangeCuts:
-    """Quantile cuts of one order column, and the values that fill a whole range by themselves."""
+    """Quantile cuts of one order column, and the values that fill a whole range by themselves.
+
+    ``finer`` holds, for each range of the first level, the cuts inside it: (_coarse, _cuts); None where one level is enough.
+    """
 
-    def __init__(self, cuts: list[float], heavy: list[float]):
+    def __init__(self, cuts: list[float], heavy: list[float], finer: DataFrame | None = None):
         self.cuts = cuts
         self.heavy = heavy
+        self.finer = finer
 
     @classmethod
     def of(cls, df: DataFrame, pos: Column, ranges: int | None = None) -> RangeCuts:
-        if ranges is None:
-            ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = max(2, min(ranges, MAX_RANGES))
-        probs = [i / ranges for i in range(1, ranges)]
-        found = df.agg(F.percentile_approx(pos, probs, max(10_000, 10 * ranges)).alias("q")).first().q or []
-        quantiles = [q for q in found if math.isfinite(q)]
+        level = LEVEL_RANGES
+        probs = [i / level for i in range(1, level)]
+        found = df.agg(F.percentile_approx(pos, probs, max(10_000, 10 * level)).alias("q"), F.count(F.lit(1)).alias("n")).first()
+        quantiles = [q for q in found.q or [] if math.isfinite(q)]
         heavy = sorted({a for a, b in zip(quantiles, quantiles[1:]) if a == b and abs(a) < _EXACT_DOUBLE})
-        cuts = set(quantiles)
+        wanted = ranges or max(2, _least_ranges(df), math.ceil(found.n / ROWS_PER_RANGE))
+        step = max(1, len(quantiles) // min(wanted, level))
+        cuts = set(quantiles[step - 1 :: step]) | set(heavy)
         cuts.update(math.nextafter(h, math.inf) for h in heavy)
-        return cls(sorted(cuts), heavy)
-
-    def assign(self, df: DataFrame, pos: Column, name: str) -> DataFrame:
-        """Adds the range number; the search in the sorted cuts is a JVM binary search."""
+        out = cls(sorted(cuts), heavy)
+        inside = math.ceil(wanted / level)
+        if inside > 1 and out.cuts:
+            probs = [i / inside for i in range(1, inside)]
+            coarse = out._level(df.withColumn("_pos2", pos), F.col("_pos2"), "_coarse")
+            finer = coarse.groupBy("_coarse").agg(F.percentile_approx("_pos2", probs, max(1_000, 10 * inside)).alias("q"))
+            finite = F.array_distinct(F.filter("q", lambda v: (v > float("-inf")) & (v < float("inf"))))
+            out.finer = cut_lineage(finer.select("_coarse", F.sort_array(finite).alias("_cuts")))
+        return out
+
+    def _level(self, df: DataFrame, pos: Column, name: str) -> DataFrame:
+        """Adds the number of the range of the first level; the search in the sorted cuts is a JVM binary search."""
         from pyspark.ml.feature import Bucketizer
 
         if not self.cuts:
-            return df.withColumn(name, F.lit(0))
+            return df.withColumn(name, F.lit(0).cast("long"))
         splits = [-math.inf, *self.cuts, math.inf]
         bucketizer = Bucketizer(splits=splits, inputCol=f"{name}_pos", outputCol=name, handleInvalid="keep")
-        return bucketizer.transform(df.withColumn(f"{name}_pos", pos)).drop(f"{name}_pos").withColumn(name, F.col(name).cast("int"))
+        return bucketizer.transform(df.withColumn(f"{name}_pos", pos)).drop(f"{name}_pos").withColumn(name, F.col(name).cast("long"))
+
+    def assign(self, df: DataFrame, pos: Column, name: str) -> DataFrame:
+        """Adds the range number, a multiple of _SPAN for the first level plus the place inside it."""
+        if self.finer is None:
+            return self._level(df, pos, name).withColumn(name, F.col(name) * _SPAN)
+        # Joined by a number of at most some thousand values: all rows of the table together are one double a range.
+        at = self._level(df.withColumn("_pos2", pos), F.col("_pos2"), "_coarse").join(self.finer, "_coarse", "left")
+        below = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("_pos2")))
+        heads = F.filter("_cuts", lambda c, i: i % _RUN == 0)
+        run = F.greatest(below(heads) - 1, F.lit(0))
+        place = run * _RUN + below(F.slice("_cuts", run * _RUN + 1, F.lit(_RUN)))
+        number = F.col("_coarse") * _SPAN + F.when(F.size("_cuts") > 0, place).otherwise(0)
+        return at.withColumn(name, number).drop("_coarse", "_cuts", "_pos2")
 
 
 def assign_ranges(df: DataFrame, key: str, name: str, ranges: int | None = None) -> DataFrame:
     """Adds a range number that never decreases with the key; equal keys share a range.
 
     Types without an exact position, text above all, are cut by Spark's own range partitioning, which samples whole keys
-    and so stays balanced when they share long prefixes. The result is written, because another run would sample anew.
+    and so stays balanced when they share long prefixes or hold strays. The result is written, because another run would sample anew.
     """
     if exact_position(df.schema[key].dataType):
         pos = position(df, key)
         return RangeCuts.of(df, pos, ranges).assign(df, pos, name)
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(min(n, MAX_RANGES), F.col(quote(key)).asc_nulls_first())
-    return cut_lineage(placed.withColumn(name, F.spark_partition_id()))
+    n = ranges or max(2, _least_ranges(df), math.ceil(df.count() / ROWS_PER_RANGE))
+    placed = df.repartitionByRange(n, F.col(quote(key)).asc_nulls_first())
+    return cut_lineage(placed.withColumn(name, F.spark_partition_id().cast("long") * _SPAN))
+
+
+def _offsets(per_range: DataFrame, sums: list[str], names: list[str]) -> DataFrame:
+    """_range and, for each of ``sums``, the sum over all smaller ranges: inside the first level by window, between its ranges by their totals."""
+    level = F.floor(F.col("_range") / _SPAN).alias("_level")
+    inside = Window.partitionBy("_level").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    between = Window.orderBy("_level").rowsBetween(Window.unboundedPreceding, -1)  # at most some thousand rows, or one a range of sampled keys
+    rows = per_range.withColumn("_level", level)
+    total = rows.groupBy("_level").agg(*[F.sum(s).alias(s) for s in sums])
+    total = total.select("_level", *[F.coalesce(F.sum(s).over(between), F.lit(0)).alias(f"_t{i}") for i, s in enumerate(sums)])
+    before = [(F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_t{i}")).alias(n) for i, (s, n) in enumerate(zip(sums, names, strict=True))]
+    return rows.join(total, "_level").select("_range", *before)
 
 
 def running_total(df: DataFrame, key: str, totals: Mapping[str, Column], ranges: int | None = None) -> DataFrame:
@@ -111,12 +147,10 @@ def running_total(df: DataFrame, key: str, totals: Mapping[str, Column], ranges:
     names = list(totals)
     inner = [totals[n].alias(f"_v{i}") for i, n in enumerate(names)]
     valued = bucketed.select("*", *inner)
-    # One row per range, so an unpartitioned window and a broadcast are bounded by MAX_RANGES.
     per_range = valued.groupBy("_range").agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))])
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select("_range", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(names))])
+    offsets = _offsets(per_range, [f"_s{i}" for i in range(len(names))], [f"_o{i}" for i in range(len(names))])
     inside = Window.partitionBy("_range").orderBy(F.col(quote(key)).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    out = valued.join(F.broadcast(offsets), "_range")
+    out = valued.join(offsets, "_range")
     return out.select(
         *[F.col(quote(c)) for c in df.columns],
         *[(F.col(f"_o{i}") + F.coalesce(F.sum(f"_v{i}").over(inside), F.lit(0))).alias(n) for i, n in enumerate(names)],
@@ -138,16 +172,15 @@ def global_rank(df: DataFrame, key: str, name: str = "rank", descending: bool =
     alone = no_key | F.col("_pos").isin(cuts.heavy) if cuts.heavy else no_key
     bucketed = bucketed.withColumns(
         {
-            "_range": F.when(no_key, F.lit(2 * MAX_RANGES + 2 if descending else -1)).otherwise(F.col("_range")),
+            "_range": F.when(no_key, F.lit(_LAST if descending else -_SPAN)).otherwise(F.col("_range")),
             "_spread": F.when(alone, F.monotonically_increasing_id()).otherwise(F.lit(-1)),
         }
     )
     per_range = bucketed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = _offsets(per_range, ["_n"], ["_before"])
     order = F.col(quote(key)).desc_nulls_last() if descending else F.col(quote(key)).asc_nulls_first()
     inside = F.rank().over(Window.partitionBy("_range", "_spread").orderBy(order))
-    out = bucketed.join(F.broadcast(offsets), "_range")
+    out = bucketed.join(offsets, "_range")
     return out.select(*[F.col(quote(c)) for c in df.columns], (F.col("_before") + inside - 1).cast("long").alias(name))
 
 

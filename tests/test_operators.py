@@ -79,6 +79,33 @@ def test_global_rank_equals_the_single_task_window(spark, key, descending):
     assert rows(global_rank(df, key, descending=descending, ranges=12).select("i", "rank")) == rows(want)
 
 
+@pytest.mark.parametrize("key", ["n", "x", "t"])
+def test_two_levels_of_ranges(spark, monkeypatch, key):
+    from tabflow.operators import ordering
+
+    monkeypatch.setattr(ordering, "LEVEL_RANGES", 5)
+    df = spark.range(3000).select("id", ((F.col("id") * 37) % 1001).alias("n"), F.when(F.col("id") % 3 == 0, 7.5).otherwise(F.sqrt("id")).alias("x"), F.timestamp_seconds(F.col("id") % 500).alias("t"))
+    df = df.withColumn(key, F.when(F.col("id") % 50 > 0, F.col(key)))
+    for descending in (False, True):
+        order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first()
+        want = df.select("id", (F.rank().over(Window.orderBy(order)) - 1).cast("long").alias("rank"))
+        assert rows(global_rank(df, key, descending=descending, ranges=400).select("id", "rank")) == rows(want)
+    spread = ordering.assign_ranges(df.dropna().dropDuplicates([key]), key, "r", ranges=400).groupBy("r").count()
+    assert spread.count() > 100 and spread.agg(F.max("count")).first()[0] < 60
+
+
+def test_ranges_follow_the_rows_and_text_is_cut_by_whole_keys(spark, monkeypatch):
+    from tabflow.operators import history, ordering
+
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 100)
+    urls = spark.range(4000).select(F.when(F.col("id") == 5, "a").otherwise(F.concat(F.lit("https://one.example/"), F.lpad(F.col("id").cast("string"), 9, "0"))).alias("k"), "id")
+    for key in ("k", "id"):
+        sizes = ordering.assign_ranges(urls, key, "r").groupBy("r").count()
+        assert sizes.count() >= 30 and sizes.agg(F.max("count")).first()[0] <= 400
+    cut = history._cut_groups(urls.withColumn("g", F.lit(1)), F.lit(True), ["k"], 40).groupBy("_range").count()
+    assert cut.count() >= 30 and cut.agg(F.max("count")).first()[0] <= 400
+
+
 def test_running_total_on_text_and_timestamps(spark):
     df = spark.range(500).select(
         F.concat(F.lit("https://www.example.org/a/b/"), F.sha2(F.col("id").cast("string"), 256)).alias("t"),

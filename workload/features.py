@@ -48,6 +48,24 @@ def f_lag_hot_user(spark, sf):
     return previous_value(events, "user_id", ["ts", "event_id"], "ts", "last_time", hot_rows=1000).drop("ts")
 
 
+@register("""
+WITH e AS (
+  SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id, value,
+         CASE WHEN event_id = (SELECT min(event_id) FROM events) THEN 'a' ELSE 'https://host.example/events/' || lpad(CAST((event_id * 7919) % 1000003 AS VARCHAR), 12, '0') || '/' || CAST(event_id AS VARCHAR) END AS place
+  FROM events)
+SELECT event_id, user_id, lag(value) OVER (PARTITION BY user_id ORDER BY place) AS last_value FROM e
+""")
+def f_lag_text_order(spark, sf):
+    """The hot user's rows are ordered by a text whose first bytes are all equal, but for one stray."""
+    events = table(spark, sf, "events")
+    first = events.agg(F.min("event_id")).first()[0]
+    number = F.lpad(((F.col("event_id") * 7919) % 1000003).cast("string"), 12, "0")
+    place = F.when(F.col("event_id") == first, "a").otherwise(F.concat(F.lit("https://host.example/events/"), number, F.lit("/"), F.col("event_id").cast("string")))
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id"))
+    rows = events.select("event_id", user.alias("user_id"), "value", place.alias("place"))
+    return previous_value(rows, "user_id", ["place"], "value", "last_value", hot_rows=1000).drop("value", "place")
+
+
 @register("""
 WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id, date_trunc('month', ts) AS day, value, event_type FROM events)
 SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS)
