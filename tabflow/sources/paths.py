@@ -29,6 +29,14 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Puts a file in another one's place."""
+    fs, jpath = _fs(spark, target)
+    fs.delete(jpath, False)
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(source), jpath):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def list_files(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
     """One row per file below ``path``: path, name, length, modified. Contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

@@ -266,7 +266,10 @@ def fingerprint(df: DataFrame) -> DataFrame:
         F.bit_xor("h").alias("x"),
         F.sum(F.col("h").cast("decimal(38,0)")).alias("s"),
     )
-    text = F.concat_ws(
-        "|", F.lit(df.schema.json()), F.col("num_rows").cast("string"), F.col("x").cast("string"), F.col("s").cast("string")
-    )
+    return fingerprint_of(summary, df.schema)
+
+
+def fingerprint_of(summary: DataFrame, schema: T.StructType) -> DataFrame:
+    """num_rows and fingerprint from the number of rows and the sums ``x`` and ``s`` of their digests."""
+    text = F.concat_ws("|", F.lit(schema.json()), F.col("num_rows").cast("string"), F.col("x").cast("string"), F.col("s").cast("string"))
     return summary.select("num_rows", F.sha2(text, 256).alias("fingerprint"))

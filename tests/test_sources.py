@@ -172,3 +172,69 @@ def test_predefined_csv_files_are_typed_together(spark, folder):
     path = folder("three.csv", "v,w\nx,3\n")
     df = PredefinedSplitter(train=["one"], valid=["two"], test=["three"]).read(spark, path)
     assert {r.split: (r.v, r.w) for r in df.collect()} == {"train": ("1", 1.0), "valid": ("2.5", 2.5), "test": ("x", 3.0)}
+
+
+def test_manifest_sees_what_times_do_not_show(spark, scratch):
+    import pathlib
+
+    from tabflow.sources.manifest import Manifest
+
+    folder, root = scratch("data"), scratch("manifest")
+    df = spark.range(40).select("id", F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("v"))
+    for k in range(3):
+        df.filter(F.col("id") % 4 == k).coalesce(1).write.parquet(f"{folder}/p{k}")
+    df.limit(0).coalesce(1).write.parquet(f"{folder}/empty")
+    kept = Manifest(spark, folder, root, df.schema)
+    assert kept.read().count() == 0 and kept.versions() == []
+    first = kept.refresh()
+    assert first.changed().agg(F.sum("num_rows")).first()[0] == 30
+    whole = lambda: fingerprint(spark.read.option("recursiveFileLookup", "true").schema(df.schema).parquet(folder)).first()
+    assert kept.fingerprint().first() == whole()
+
+    again = kept.refresh()
+    assert again.changed().isEmpty() and kept.fingerprint().first() == whole() and kept.versions() == [1, 2]
+
+    # A file replaced by one with an older time, of other rows.
+    old = next(pathlib.Path(f"{folder}/p1").glob("*.parquet"))
+    df.filter("id % 4 = 3").coalesce(1).write.parquet(f"{folder}-other")
+    other = next(pathlib.Path(f"{folder}-other").glob("*.parquet"))
+    old.write_bytes(other.read_bytes())
+    for crc in old.parent.glob(".*.crc"):
+        crc.unlink()
+    os.utime(old, (1_000_000_000, 1_000_000_000))
+    found = {r.change: r.num_rows for r in kept.refresh().files.filter("change <> 'same'").collect()}
+    assert found == {"replaced": 10} and kept.fingerprint().first() == whole()
+    assert kept.fingerprint(1).first() != whole()
+
+
+def test_manifest_of_many_changed_files_and_of_a_folder_that_empties(spark, scratch, monkeypatch):
+    from tabflow.sources import manifest as module
+    from tabflow.sources import paths
+    from tabflow.sources.manifest import Manifest
+
+    monkeypatch.setattr(module, "NAMED_FILES", 1)
+    folder = scratch("data")
+    df = spark.range(30)
+    df.repartition(3).write.parquet(f"{folder}/a")
+    kept = Manifest(spark, folder, scratch("manifest"), df.schema)
+    assert kept.refresh().changed().agg(F.sum("num_rows")).first()[0] == 30
+    assert kept.fingerprint().first() == fingerprint(spark.read.schema(df.schema).parquet(f"{folder}/a")).first()
+    df.limit(0).write.parquet(f"{folder}/b")
+    paths.delete(spark, f"{folder}/a")
+    gone = kept.refresh().files.filter("change = 'deleted'").agg(F.sum("num_rows")).first()[0]
+    assert gone == 30 and kept.fingerprint().first() == fingerprint(spark.read.schema(df.schema).parquet(folder + '/b')).first()
+
+
+def test_only_changed_files_are_opened(spark, scratch):
+    from tabflow.sources.manifest import Manifest, rows_of
+
+    folder = scratch("data")
+    df = spark.range(100)
+    df.repartition(10).write.parquet(folder)
+    kept = Manifest(spark, folder, scratch("manifest"), df.schema)
+    one = kept.refresh().changed().limit(1)
+    read = rows_of(spark, folder, one, df.schema)
+    assert read.count() == one.first().num_rows and read.select("_file").distinct().count() == 1
+    read.collect()
+    scan = read._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numFiles").value() == 1

@@ -7,7 +7,9 @@ from pyspark.sql import types as T
 
 from tabflow.operators.stats import fit_statistics
 from tabflow.session import scratch_path
+from tabflow.sources import paths
 from tabflow.sources.files import Source, convert_to_parquet, scan, scan_csv, scan_parquet
+from tabflow.sources.manifest import Manifest
 from tabflow.sources.schema import fingerprint, improve, infer_types, scan_unified
 from workload.registry import half_up, register, table
 
@@ -175,3 +177,33 @@ def s_view_then_stats(spark, sf):
     s = fit_statistics(rows, ["orders", "total"], stats=("num_rows", "mean", "max"))
     out = [(c, v["num_rows"], half_up(v["mean"], 4), float(v["max"])) for c, v in s.columns.items()]
     return spark.createDataFrame(out, "column string, num_rows long, mean double, max double")
+
+
+@register("""
+WITH c AS (SELECT *, c_custkey % 5 AS part FROM customer)
+SELECT 'first' AS run, 'added' AS change, count(*) AS num_rows, true AS as_whole FROM c WHERE part < 4
+UNION ALL SELECT 'second', 'same', count(*), true FROM c WHERE part IN (0, 3)
+UNION ALL SELECT 'second', 'replaced', count(*), true FROM c WHERE part = 1 AND c_custkey % 2 = 0
+UNION ALL SELECT 'second', 'deleted', count(*), true FROM c WHERE part = 2
+UNION ALL SELECT 'second', 'added', count(*), true FROM c WHERE part = 4
+""")
+def s_manifest_changes(spark, sf):
+    """Four folders are read; then one gets other rows under its old file names, one goes and one comes. Only the new rows are read again."""
+    customers = table(spark, sf, "customer")
+    folder, new, root = (scratch_path(spark, n) for n in ("data", "rewritten", "manifest"))
+    part = lambda k: customers.filter(F.col("c_custkey") % 5 == k)
+    for k in range(4):
+        part(k).write.parquet(f"{folder}/part{k}")
+    manifest = Manifest(spark, folder, root, customers.schema)
+    whole = lambda: fingerprint(spark.read.option("recursiveFileLookup", "true").schema(customers.schema).parquet(folder)).first() == manifest.fingerprint().first()
+    out = [("first", r.change, r.n, whole()) for r in manifest.refresh().files.groupBy("change").agg(F.sum("num_rows").alias("n")).collect()]
+
+    part(1).filter("c_custkey % 2 = 0").write.parquet(new)
+    names = lambda p: sorted(r.path for r in paths.list_files(spark, p, "*.parquet").select("path").collect())
+    old = names(f"{folder}/part1")
+    for source, target in zip(names(new), old, strict=True):
+        paths.replace(spark, source, target)
+    paths.delete(spark, f"{folder}/part2")
+    part(4).write.parquet(f"{folder}/part4")
+    out += [("second", r.change, r.n, whole()) for r in manifest.refresh().files.groupBy("change").agg(F.sum("num_rows").alias("n")).collect()]
+    return spark.createDataFrame(out, "run string, change string, num_rows long, as_whole boolean")
