@@ -227,7 +227,7 @@ def _aligner(paths: tuple[str, str], work: int, slice_pairs: int):
         from pyspark import TaskContext
 
         tools = _tools(paths)
-        encode_a = _kept((*paths, "a"), lambda: Encoder(paths[0]))
+        encode_a = _kept((*paths, "a"), lambda: Encoder(paths[0], plain=True))
         encode_b = _kept((*paths, "b"), lambda: PieceEncoder(paths[1]))
         number = TaskContext.get().partitionId() << 32
         held, waiting, size = _Slice(), [], 0

@@ -114,7 +114,8 @@ class TokenFile:
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> None:
     """Writes the ids of every whole text, ``end_id`` after each, in ascending doc_id order within and across files.
 
-    Null texts are empty texts; null ids come first; rows with one id stand in the order of their texts. An empty table gives files without documents.
+    Null texts are empty texts; null ids come first; rows with one id stand in the order of their texts in a file, and in that of a hash of them
+    across files. An empty table gives files without documents.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import types
@@ -38,13 +39,20 @@ class Encoder:
 
     Both vocabularies cut a text before their merges, and one such cut lies before every blank that a visible character follows.
     So the ids of a text are those of its parts, cut there, in order. Blanks before white space stay inside a part.
+
+    A special token's string in a text is that token, as in the library's plain call, or plain text with ``plain``. Texts that may hold one
+    go through the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.special = None if plain else Tokenizer.from_file(path)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What all of them begin with, up to the first letter, as letters may change their case.
+        self.sign = re.match(r"[\W_]*", os.path.commonprefix(added))[0] if added else None
         self.known: dict[str | tuple[str], bytes] = {}
         self.rests: dict[str, list[int]] = {}
         rules = json.loads(self.tokenizer.to_str())
@@ -99,8 +107,20 @@ class Encoder:
             self.rests[rest] = [t.id for t in self.tokenizer.model.tokenize(rest)]
         return self.rests[rest]
 
+    def _may_hold_special(self, text: str) -> bool:
+        return self.special is not None and self.sign is not None and self.sign in text
+
     def encode(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers; none for null."""
+        at = 0
+        for k, text in enumerate(texts):
+            if text and self._may_hold_special(text):
+                yield from self._encode(texts[at:k])
+                yield np.array(self.special.encode(text, add_special_tokens=False).ids, "<u4")
+                at = k + 1
+        yield from self._encode(texts[at:])
+
+    def _encode(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         for at in range(0, len(texts), 200):
             cut = []
             for text in texts[at : at + 200]:

@@ -11,15 +11,13 @@ from tabflow.llm.words import sequence_hashes, shingle_sets, words
 from tests.llm import corpus
 
 TEXTS = [r[1] for r in corpus.documents()]
-ODD = ["  a  b \n c", "<|endoftext|> x", " ", "", "a ́b", "It's 12 345 \t x  \n\n y ", "\x1c a \x85b ​ c", "x • y•z", "don't stop", "a\xa0 b", "᠎ x", "foo's 'tis", "ÀÉ Ñandú straße İx", "end "]
+ODD = ["  a  b \n c", "<|endoftext|> x", "a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|> <|endoftext|", "<|endoftext|>" * 3, " ", "", "a ́b", "It's 12 345 \t x  \n\n y ", "\x1c a \x85b ​ c", "x • y•z", "don't stop", "a\xa0 b", "᠎ x", "foo's 'tis", "ÀÉ Ñandú straße İx", "end "]
 
 
 @pytest.fixture(scope="module", params=["byte_bpe_50k.json", "word_bpe_49k.json"])
 def encoders(request):
     path = tokenizer_path(request.param)
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    return Encoder(path), plain
+    return Encoder(path), Tokenizer.from_file(path)
 
 
 def test_encoder_gives_the_ids_of_the_whole_text(encoders):
@@ -28,6 +26,14 @@ def test_encoder_gives_the_ids_of_the_whole_text(encoders):
         assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_tokens_as_plain_text(name):
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    plain.encode_special_tokens = True
+    for text, ids in zip(ODD, Encoder(tokenizer_path(name), plain=True).encode(ODD), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("ab 'éÑ.•\n\t\xa0 ́́12🙂,s")), max_size=30), max_size=4))
 def test_encoder_on_any_mixture_of_blanks(texts):
