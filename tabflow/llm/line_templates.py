@@ -1,10 +1,17 @@
 """Line dedup by a tree of log templates of fixed depth: lines whose template recurs across documents are dropped.
 
 The tree has the number of tokens on its first level and one leading token on each further one; tokens with digits count as
-variable there. A leaf that fewer than ``least`` different texts reach is left alone. In the other leaves a token stays in the
-template if enough of the leaf's texts have it at its place, else the place is a variable field. A template recurs if ``least``
-texts have it, at least ``constant`` of its places being fixed. Of a recurring template the first line stays (smallest doc_id);
-all other lines go. Copies of one whole text count as one text, so a copied document does not make its own lines recur.
+variable there. A line has up to three templates:
+
+- the whole line, its tokens with digits masked (unmasked where too few places would be left). It recurs from ``least_whole`` different
+  texts on, two by default, at any length and in any leaf;
+- the line with the tokens that are usual in its leaf: those that ``least`` different texts and ``leaf_share`` of the leaf's texts have at
+  their place; the other places are variable fields;
+- the same with the tokens that ``least`` different texts have at their place, however many other texts reach the leaf.
+
+The latter two recur if ``least`` different texts have them, at least ``constant`` of their places being fixed; they need
+``least_tokens`` tokens. A line goes if one of its templates recurs and has an earlier line (smallest doc_id). Copies of one whole text
+count as one text, so a copied document does not make its own lines recur. Blank lines stay.
 
 No step gathers a leaf: counts combine in the map tasks, and only lines in leaves that recur are cut into places.
 """
@@ -21,6 +28,7 @@ BLANKS = "\t\x0b\x0c\r"
 VARIABLE = "<*>"
 DEPTH = 3
 LEAST_TEXTS = 8
+LEAST_WHOLE = 2
 LEAST_TOKENS = 4
 LEAF_SHARE = 0.1
 CONSTANT = 0.6
@@ -36,36 +44,60 @@ def _masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
 
 
-def lines(documents: DataFrame, least_tokens: int) -> DataFrame:
-    """doc_id, th (tells texts apart), line (its place), tokens, leaf."""
-    # Cut inside the generator, so that its output is a column and the cutting is done once.
-    cut = F.posexplode(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), _tokens)).alias("line", "tokens")
-    rows = documents_of(documents).select("doc_id", text_key(F.col("text")).alias("th"), cut).filter(F.size("tokens") >= least_tokens)
-    return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), _masked(F.slice("tokens", 1, DEPTH))))
+def lines(documents: DataFrame) -> DataFrame:
+    """doc_id, th (tells texts apart), line (its place), tokens, masked, of every line that is not blank."""
+    # Cut inside the generator, so that its output is a column and the cutting is done once; most lines have no digit to look for.
+    tokens = lambda l: F.struct(_tokens(l).alias("tokens"), l.rlike("[0-9]").alias("digits"))
+    cut = F.posexplode(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), tokens)).alias("line", "cut")
+    rows = documents_of(documents).select("doc_id", text_key(F.col("text")).alias("th"), cut)
+    masked = F.when(F.col("cut.digits"), _masked(F.col("cut.tokens"))).otherwise(F.col("cut.tokens"))
+    return rows.select("doc_id", "th", "line", F.col("cut.tokens").alias("tokens"), masked.alias("masked")).filter(F.size("tokens") > 0)
 
 
-def recurring_lines(documents: DataFrame, least: int = LEAST_TEXTS, least_tokens: int = LEAST_TOKENS, leaf_share: float = LEAF_SHARE, constant: float = CONSTANT) -> DataFrame:
-    """doc_id, th, drop: the places of the lines that go, one row for each text that loses any."""
-    every = lines(documents, least_tokens)
+def _first() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th", "line")
+
+
+def _recurring(templates: DataFrame, least: int) -> DataFrame:
+    """doc_id, th, line of all lines but the first of each template that ``least`` different texts have."""
+    texts = templates.groupBy("template", "th").agg(F.min(_first()).alias("first")).groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
+    known = measured(materialize(texts.filter(F.col("texts") >= least).select("template", "first"), "line-recurring"))
+    return templates.join(known, "template").filter(~F.col("first").eqNullSafe(_first())).select("doc_id", "th", "line")
+
+
+def _usual_templates(every: DataFrame, least: int, least_tokens: int, leaf_share: float, constant: float) -> DataFrame:
+    """template, doc_id, th, line of the lines with enough usual tokens, by either rule of what is usual."""
+    every = every.filter(F.size("masked") >= least_tokens).withColumn("leaf", F.xxhash64(F.size("masked"), F.slice("masked", 1, DEPTH)))
     leaves = every.groupBy("leaf", "th").agg(F.lit(1)).groupBy("leaf").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least)
     leaves = measured(materialize(leaves, "line-leaves"))
-    rows = materialize(every.join(leaves, "leaf").withColumn("tokens", _masked(F.col("tokens"))), "line-tokens")
+    rows = materialize(every.join(leaves, "leaf").select("leaf", "texts", "doc_id", "th", "line", "masked"), "line-tokens")
 
-    places = rows.select("leaf", "texts", "th", F.posexplode("tokens").alias("place", "token"))
+    places = rows.select("leaf", "texts", "th", F.posexplode("masked").alias("place", "token"))
     counts = places.groupBy("leaf", "texts", "place", "token", "th").agg(F.lit(1)).groupBy("leaf", "texts", "place", "token").agg(F.count("*").alias("n"))
-    fixed = counts.filter((F.col("n") >= least) & (F.col("n") >= F.lit(leaf_share) * F.col("texts")) & (F.col("token") != VARIABLE)).select("leaf", "place", "token", F.lit(True).alias("fixed"))
+    usual = F.col("n") >= F.lit(leaf_share) * F.col("texts")
+    fixed = counts.filter((F.col("n") >= least) & (F.col("token") != VARIABLE)).select("leaf", "place", "token", F.lit(True).alias("fixed"), usual.alias("usual"))
     fixed = measured(materialize(fixed, "line-places"))
 
-    one = rows.select("leaf", "doc_id", "th", "line", F.posexplode("tokens").alias("place", "token")).join(fixed, ["leaf", "place", "token"], "left")
-    kept = F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise(VARIABLE).alias("token"))
-    parsed = one.groupBy("leaf", "doc_id", "th", "line").agg(F.array_sort(F.collect_list(kept)).alias("kept"), F.count("fixed").alias("n_fixed"), F.count("*").alias("n"))
-    parsed = parsed.filter(F.col("n_fixed") >= F.lit(constant) * F.col("n"))
-    parsed = materialize(parsed.select(F.xxhash64("leaf", F.col("kept.token")).alias("template"), "doc_id", "th", "line"), "line-templates")
+    one = rows.select("leaf", "doc_id", "th", "line", F.posexplode("masked").alias("place", "token")).join(fixed, ["leaf", "place", "token"], "left")
+    token = lambda rule: F.when(F.col(rule), F.col("token")).otherwise(VARIABLE).alias(rule)
+    parsed = one.groupBy("leaf", "doc_id", "th", "line").agg(
+        F.array_sort(F.collect_list(F.struct("place", token("fixed"), token("usual")))).alias("kept"), F.count("fixed").alias("n_fixed"), F.count_if("usual").alias("n_usual"), F.count("*").alias("n")
+    )
+    by = lambda rule, n: F.when(F.col(n) >= F.lit(constant) * F.col("n"), F.xxhash64("leaf", F.col(f"kept.{rule}")))
+    parsed = parsed.withColumn("template", F.explode(F.array_distinct(F.array(by("fixed", "n_fixed"), by("usual", "n_usual")))))
+    return parsed.filter(F.col("template").isNotNull()).select("template", "doc_id", "th", "line")
 
-    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th", "line")
-    texts = parsed.groupBy("template", "th").agg(F.min(place).alias("first")).groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
-    known = measured(materialize(texts.filter(F.col("texts") >= least).select("template", "first"), "line-recurring"))
-    gone = parsed.join(known, "template").filter(~F.col("first").eqNullSafe(place))
+
+def recurring_lines(
+    documents: DataFrame, least: int = LEAST_TEXTS, least_tokens: int = LEAST_TOKENS, leaf_share: float = LEAF_SHARE, constant: float = CONSTANT, least_whole: int = LEAST_WHOLE
+) -> DataFrame:
+    """doc_id, th, drop: the places of the lines that go, one row for each text that loses any."""
+    every = lines(documents)
+    plain = F.size(F.filter("masked", lambda t: t != VARIABLE)) >= F.lit(constant) * F.size("masked")
+    whole = every.select(F.xxhash64(F.when(plain, F.col("masked")).otherwise(F.col("tokens"))).alias("template"), "doc_id", "th", "line")
+    whole = materialize(whole, "line-wholes")
+    usual = materialize(_usual_templates(every, least, least_tokens, leaf_share, constant), "line-templates")
+    gone = _recurring(whole, least_whole).union(_recurring(usual, least))
     return materialize(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")), "line-drops")
 
 

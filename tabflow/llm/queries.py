@@ -106,24 +106,33 @@ def op9_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH docs AS (SELECT doc_id, text, md5(coalesce(text, '')) AS th, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 every AS (SELECT doc_id, th, unnest(range(len(ls))) AS line, unnest(ls) AS written FROM docs),
 cut AS (
-  SELECT doc_id, th, line, list_transform(list_filter(regexp_split_to_array(written, '[\\x20\\x09-\\x0D]+'), lambda t: t <> ''),
-                                          lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
-  FROM every),
-long_ AS (SELECT *, (len(tokens), tokens[1], tokens[2], tokens[3]) AS leaf FROM cut WHERE len(tokens) >= 4),
+  SELECT doc_id, th, line, list_filter(regexp_split_to_array(written, '[\\x20\\x09-\\x0D]+'), lambda t: t <> '') AS words FROM every),
+full_ AS (SELECT *, list_transform(words, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM cut WHERE len(words) > 0),
+whole AS (
+  SELECT doc_id, th, line, CASE WHEN len(list_filter(tokens, lambda t: t <> '<*>')) >= 0.6::DOUBLE * len(tokens) THEN tokens ELSE words END AS template FROM full_),
+whole_first AS (SELECT template, min((doc_id, line)) AS first FROM whole GROUP BY template HAVING count(DISTINCT th) >= 2),
+long_ AS (SELECT *, (len(tokens), tokens[1], tokens[2], tokens[3]) AS leaf FROM full_ WHERE len(tokens) >= 4),
 leaves AS (SELECT leaf, count(DISTINCT th) AS texts FROM long_ GROUP BY leaf HAVING count(DISTINCT th) >= 8),
 rows_ AS (SELECT l.*, v.texts FROM long_ l JOIN leaves v USING (leaf)),
 places AS (SELECT leaf, texts, doc_id, th, line, unnest(range(len(tokens))) AS place, unnest(tokens) AS token FROM rows_),
 fixed AS (
-  SELECT leaf, place, token FROM places WHERE token <> '<*>' GROUP BY leaf, texts, place, token
-  HAVING count(DISTINCT th) >= 8 AND count(DISTINCT th) >= 0.1::DOUBLE * texts),
+  SELECT leaf, place, token, count(DISTINCT th) >= 0.1::DOUBLE * texts AS usual FROM places WHERE token <> '<*>' GROUP BY leaf, texts, place, token
+  HAVING count(DISTINCT th) >= 8),
 parsed AS (
-  SELECT p.leaf, doc_id, th, line, list(CASE WHEN f.token IS NULL THEN '<*>' ELSE p.token END ORDER BY p.place) AS template
+  SELECT 'fixed' AS rule, p.leaf, doc_id, th, line, list(CASE WHEN f.token IS NULL THEN '<*>' ELSE p.token END ORDER BY p.place) AS template
   FROM places p LEFT JOIN fixed f ON p.leaf = f.leaf AND p.place = f.place AND p.token = f.token GROUP BY p.leaf, doc_id, th, line
+  HAVING count(f.token) >= 0.6::DOUBLE * count(*)
+  UNION
+  SELECT 'usual', p.leaf, doc_id, th, line, list(CASE WHEN f.token IS NULL THEN '<*>' ELSE p.token END ORDER BY p.place)
+  FROM places p LEFT JOIN fixed f ON p.leaf = f.leaf AND p.place = f.place AND p.token = f.token AND f.usual GROUP BY p.leaf, doc_id, th, line
   HAVING count(f.token) >= 0.6::DOUBLE * count(*)),
-recurring AS (
-  SELECT leaf, template, min((doc_id, line)) AS first FROM parsed GROUP BY leaf, template HAVING count(DISTINCT th) >= 8),
-gone AS (
-  SELECT doc_id, list(line) AS lines FROM parsed JOIN recurring USING (leaf, template) WHERE (doc_id, line) <> first GROUP BY doc_id)
+either_ AS (SELECT DISTINCT leaf, template, doc_id, th, line FROM parsed),
+recurring AS (SELECT leaf, template, min((doc_id, line)) AS first FROM either_ GROUP BY leaf, template HAVING count(DISTINCT th) >= 8),
+dropped AS (
+  SELECT doc_id, line FROM either_ JOIN recurring USING (leaf, template) WHERE (doc_id, line) <> first
+  UNION
+  SELECT doc_id, line FROM whole JOIN whole_first USING (template) WHERE (doc_id, line) <> first),
+gone AS (SELECT doc_id, list(line) AS lines FROM dropped GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END::BIGINT AS n_lines, coalesce(len(lines), 0)::BIGINT AS n_dropped,
        sha256(coalesce(array_to_string([ls[i + 1] FOR i IN range(len(ls)) IF lines IS NULL OR NOT list_contains(lines, i)], chr(10)), '')) AS kept_sha256
 FROM docs d LEFT JOIN gone g ON d.doc_id = g.doc_id"""

@@ -112,26 +112,28 @@ def recurring_lines(rows: list[tuple]) -> list[str | None]:
     lines = []
     for r, (i, text, *_) in enumerate(rows):
         for k, line in enumerate((text or "").split("\n")):
-            tokens = ["<*>" if re.search("[0-9]", t) else t for t in re.split(r"[\x20\x09-\x0D]+", line) if t]
-            if len(tokens) >= 4:
-                lines.append((r, i, text or "", k, tokens, (len(tokens), *tokens[:3])))
-    texts = collections.defaultdict(set)
-    for _, _, t, _, _, leaf in lines:
+            plain = [t for t in re.split(r"[\x20\x09-\x0D]+", line) if t]
+            if plain:
+                tokens = ["<*>" if re.search("[0-9]", t) else t for t in plain]
+                lines.append((r, i, text or "", k, plain, tokens, (len(tokens), *tokens[:3])))
+    enough = lambda template: sum(x != "<*>" for x in template) >= 0.6 * len(template)
+    texts, at = collections.defaultdict(set), collections.defaultdict(set)
+    for _, _, t, _, _, tokens, leaf in lines:
         texts[leaf].add(t)
-    lines = [x for x in lines if len(texts[x[5]]) >= 8]
-    at = collections.defaultdict(set)
-    for _, _, t, _, tokens, leaf in lines:
         for p, token in enumerate(tokens):
             at[leaf, p, token].add(t)
-    fixed = lambda leaf, p, token: token != "<*>" and len(at[leaf, p, token]) >= max(8, 0.1 * len(texts[leaf]))
-    by_template = collections.defaultdict(list)
-    for r, i, t, k, tokens, leaf in lines:
-        template = tuple(x if fixed(leaf, p, x) else "<*>" for p, x in enumerate(tokens))
-        if sum(x != "<*>" for x in template) >= 0.6 * len(template):
-            by_template[leaf, template].append((i is None, i or 0, t, k, r))
+    classes = collections.defaultdict(set)
+    for r, i, t, k, plain, tokens, leaf in lines:
+        place = (i is None, i or 0, t, k, r)
+        classes[2, tuple(tokens if enough(tokens) else plain)].add(place)
+        if len(tokens) >= 4 and len(texts[leaf]) >= 8:
+            for share in (0, 0.1):
+                template = tuple(x if x != "<*>" and len(at[leaf, p, x]) >= max(8, share * len(texts[leaf])) else "<*>" for p, x in enumerate(tokens))
+                if enough(template):
+                    classes[8, leaf, template].add(place)
     drop = collections.defaultdict(set)
-    for found in by_template.values():
-        if len({t for _, _, t, _, _ in found}) >= 8:
+    for (least, *_), found in classes.items():
+        if len({t for _, _, t, _, _ in found}) >= least:
             first = min(found)[:4]
             for x in found:
                 if x[:4] != first:

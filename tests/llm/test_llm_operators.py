@@ -462,13 +462,28 @@ def test_recurring_lines(docs, rows, none):
     assert drop_lines(none).collect() == []
 
 
+def test_every_recurring_line_goes_and_others_stay(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    own = lambda i: "mine alone " + "".join(chr(97 + int(d)) for d in str(i))
+    verbatim = [f"the same leaf but {a} {b} at {a} end" for a, b in zip(words, words[1:] + words[:1])]
+    rows = [(i, "All rights reserved.\n" + own(i)) for i in range(200)]
+    rows += [(1000 + i, "\n".join([verbatim[i % 12], f"{verbatim[(i + 5) % 12]}", f"shared by user-{words[i % 12]}x{i} on our {words[i % 12]} page", f"only here {chr(97 + i % 26)}{i // 26 * 'q'}w"])) for i in range(1200)]
+    rows += [(5000, "two\n\nshare this"), (5001, "share this\n\n7 8 9"), (5002, "1 2 3")]
+    left = {r.doc_id: r.text for r in drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[0].startswith("All rights") and not any(left[i].startswith("All") for i in range(1, 200))
+    assert all(own(i) in left[i] for i in range(200))
+    for line in verbatim:
+        assert sum(line in t.split("\n") for t in left.values()) == 1
+    assert (left[5000], left[5001], left[5002]) == ("two\n\nshare this", "\n7 8 9", "1 2 3")
+
+
 # ---------------------------------------------------------------- queries
 
 
 def test_queries_return_their_contracts(write_tables, spark, docs, rows):
     vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)]) for i in range(300)], "vec_id long, embedding array<float>")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
-    folder = write_tables(documents=docs, labels=labels, embeddings=vectors)
+    folder = write_tables(documents=docs, labels=labels, embeddings=vectors, pages=spark.createDataFrame([(i, f"s://h.net/en/{i}") for i in range(len(rows))], "page_id long, url string"))
     contracts = {
         "op1_token_store": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
         "op2_multi_index": "query_id bigint, rank int, vec_id bigint, score double",
@@ -480,6 +495,9 @@ def test_queries_return_their_contracts(write_tables, spark, docs, rows):
         "op8_superkmer_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
         "op9_mix_to_weights": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
         "op10_line_templates": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
+        "op11_url_templates": "page_id bigint, host string, path string, rule string, verdict string, template string, purity double",
+        "op12_source_divergence": "lang string, source string, part string, item string, value bigint, rank int",
+        "op13_token_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
     }
     assert set(contracts) == set(queries.QUERIES)
     for name, contract in contracts.items():
