@@ -1,7 +1,7 @@
 """Divergence of the sources of a language, term by term, over the terms that enough of its documents hold.
 
 The kept terms are found by iceberg prefix refinement. A term's bytes end with a zero byte, which no term holds, so that a complete term
-is one more prefix. Prefixes of 6, 12, 24, ... bytes are counted by distinct documents; those of fewer than ``least`` documents are
+is one more prefix. Prefixes of 8, 16, 32, ... bytes are counted by distinct documents; those of fewer than ``least`` documents are
 discarded with all terms below them, and only what is left is extended, until every prefix left is a complete term.
 
 Documents are read once, by slices: a slice hands on each of its terms with its occurrences per source and with at most ``least``
@@ -27,11 +27,13 @@ from tabflow.session import materialize
 
 LEAST = 3
 TOP = 200
-SLICE_BYTES = 16 << 20
-FIRST = 6
+SLICE_BYTES = 24 << 20
+FIRST = 8
 SCALE = 1_000_000_000
 BLOCK_CELLS = 20_000
 PAIRS_AT_ONCE = 1 << 21
+#: Sums of all pairs of so many sources are held as one array.
+MOST_DENSE = 1024
 _SLICES = "slice long, lang string, term binary, docs array<int>, sources array<string>, counts array<long>"
 _NAMES = [f.split()[0] for f in _SLICES.split(", ")]
 #: A-Z lower-cased; bytes that belong to no term are blanks. Bytes of multi-byte characters lie above 0x7F.
@@ -126,18 +128,17 @@ def kept_terms(slices: DataFrame, least: int = LEAST, first: int = FIRST) -> Dat
     """(lang, term) of all terms in at least ``least`` documents of their language; a written table, terms with their end byte."""
     left = slices.select("lang", "term", "slice", "docs")
     longest = slices.agg(F.max(F.octet_length("term"))).first()[0] or 0
-    length, done = first, []
+    live, length, done = left, first, []
     while True:
-        found = _prefixes(left, length, least)
+        found = _prefixes(live, length, least)
         ended = F.substring("prefix", -1, 1) == F.lit(b"\0")
         done.append(found.filter(ended).select("lang", F.col("prefix").alias("term")))
-        if length >= longest:
-            break
-        open_ = measured(found.filter(~ended))
-        live = left.filter(F.octet_length("term") > length).withColumn("prefix", F.substring("term", 1, length))
-        left = materialize(live.join(open_, ["lang", "prefix"], "left_semi").drop("prefix"), "terms-left")
-        if left.isEmpty():
+        open_ = found.filter(~ended)
+        if length >= longest or open_.isEmpty():
             break
+        # A prefix that is left lies below one that was left a level before, so the last level's are enough.
+        longer = left.filter(F.octet_length("term") > length).withColumn("prefix", F.substring("term", 1, length))
+        live = longer.join(measured(open_), ["lang", "prefix"], "left_semi").drop("prefix")
         length *= 2
     out = done[0]
     for more in done[1:]:
@@ -166,7 +167,7 @@ def _both(batches: pa.Table) -> pa.Table:
     first = np.searchsorted(row, row)
     many = np.searchsorted(row, row, "right") - first
     f = lambda x, y: (x - y) * (x - y) // y
-    sums: dict[int, int] = {}
+    keys, low, high = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.cumsum(many)
     start = 0
     while start < len(row):
@@ -176,14 +177,28 @@ def _both(batches: pa.Table) -> pa.Table:
         right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + first[left]
         changed = f(p[left], p[right]) - f(p[left], none[right]) - f(none[left], p[right]) + f(none[left], none[right])
         code = at[left] * len(names) + at[right]
-        order = np.argsort(code, kind="stable")
-        codes, begin = np.unique(code[order], return_index=True)
-        for c, v in zip(codes.tolist(), np.add.reduceat(changed[order], begin).tolist(), strict=True):
-            sums[c] = sums.get(c, 0) + v
+        if len(names) <= MOST_DENSE:
+            # Sums of floats below 2**53 are exact: halves of 32 bits of at most 2**21 numbers.
+            here = np.arange(len(names) ** 2)
+            small, large = (np.bincount(code, half, len(here)).astype(np.int64) for half in (changed & 0xFFFFFFFF, changed >> 32))
+        else:
+            order = np.argsort(code, kind="stable")
+            here, begin = np.unique(code[order], return_index=True)
+            small, large = (np.add.reduceat(half[order], begin) for half in (changed & 0xFFFFFFFF, changed >> 32))
+        if len(keys) == len(here) == len(names) ** 2:
+            low, high = low + small, high + large
+        else:
+            keys, place = np.unique(np.concatenate([keys, here]), return_inverse=True)
+            both = []
+            for old, new in ((low, small), (high, large)):
+                total = np.zeros(len(keys), np.int64)
+                np.add.at(total, place, np.concatenate([old, new]))
+                both.append(total)
+            low, high = both
         start = stop
-    found = [(c // len(names), c % len(names), v) for c, v in sums.items()]
-    one, other, value = zip(*found, strict=True)
-    return pa.table({"lang": pa.array([lang.as_py()] * len(found), pa.string()), "source": pa.array(names[list(one)], pa.string()), "item": pa.array(names[list(other)], pa.string()), "value": pa.array(value, pa.int64())})
+    one, other = keys // len(names), keys % len(names)
+    value = [(h << 32) + v for h, v in zip(high.tolist(), low.tolist(), strict=True)]
+    return pa.table({"lang": pa.array([lang.as_py()] * len(value), pa.string()), "source": pa.array(names[one], pa.string()), "item": pa.array(names[other], pa.string()), "value": pa.array(value, pa.int64())})
 
 
 def _pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
@@ -239,7 +254,7 @@ def divergence(documents: DataFrame, least: int = LEAST, top: int = TOP, slice_b
     by_lang = counts.groupBy("lang", "term").agg(F.sum("count").alias("count")).join(F.broadcast(of_lang) if near is not groups else of_lang, "lang")
     q = by_lang.select("lang", "term", _p(F.col("count"), F.col("total"), F.col("kept")).alias("q"))
     name = F.decode(F.expr("substring(term, 1, octet_length(term) - 1)"), "UTF-8")
-    more = cells.join(q, ["lang", "term"]).filter("p > q").select("lang", "source", name.alias("item"), _f(F.col("p"), F.col("q")).alias("value"))
+    more = cells.join(measured(materialize(q, "terms-whole")), ["lang", "term"]).filter("p > q").select("lang", "source", name.alias("item"), _f(F.col("p"), F.col("q")).alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     part = lambda df, which: df.select("lang", "source", F.lit(which).alias("part"), "item", "value", rank.alias("rank"))
     return part(pairs, "pair").union(part(more, "term").filter(F.col("rank") <= top))

@@ -1,9 +1,11 @@
 """Source divergence: kept terms against counting, all rows against the SQL, and edge cases."""
 
 import collections
+import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from tabflow.llm import divergence as d
@@ -36,10 +38,26 @@ def _want(frame):
     return _rows([x[0] for x in found.description], found.fetchall())
 
 
+@pytest.mark.parametrize("dense", [1024, 0])
+def test_sums_over_a_block_of_terms(monkeypatch, dense):
+    monkeypatch.setattr(d, "MOST_DENSE", dense)
+    monkeypatch.setattr(d, "PAIRS_AT_ONCE", 20)
+    rng = random.Random(4)
+    cells = [(t, s, rng.randint(1, 10**9), 1 + len(s)) for t in range(12) for s in ("a", "bb", "ccc", "dddd") if rng.random() < 0.6]
+    block = pa.table({"lang": ["x"] * len(cells), "term": [str(t) for t, *_ in cells], "source": [s for _, s, *_ in cells], "p": [c[2] for c in cells], "p0": [c[3] for c in cells]})
+    f = lambda x, y: (x - y) * (x - y) // y
+    want = collections.Counter()
+    for t, s, p, p0 in cells:
+        for t2, s2, q, q0 in cells:
+            if t == t2:
+                want[s, s2] += f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)
+    got = {(r["source"], r["item"]): r["value"] for r in d._both(block).to_pylist()}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
 def test_rows_equal_the_sql_in_blocks_and_shuffled(spark, docs, monkeypatch):
     monkeypatch.setattr(d, "measured", lambda df: df)
     monkeypatch.setattr(d, "BLOCK_CELLS", 60)
-    monkeypatch.setattr(d, "PAIRS_AT_ONCE", 50)
     got = d.divergence(docs, slice_bytes=5000)
     assert _rows(got.columns, [tuple(r) for r in got.collect()]) == _want(docs)
 
