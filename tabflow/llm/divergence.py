@@ -27,7 +27,9 @@ from tabflow.session import materialize
 
 LEAST = 3
 TOP = 200
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 16 << 20
+#: Texts whose bytes are hashed at a time, which takes some forty times their size.
+RUN_BYTES = 1 << 19
 FIRST = 8
 SCALE = 1_000_000_000
 BLOCK_CELLS = 20_000
@@ -45,8 +47,8 @@ def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner, minlength=n))), pa.int32()), values)
 
 
-def _slice(number: int, offsets: np.ndarray, data: np.ndarray, lang: pa.DictionaryArray, source: pa.DictionaryArray, least: int) -> pa.RecordBatch:
-    """One row a (lang, term) of a run of texts; terms are told apart by a hash of 64 bits within the run."""
+def _spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The bytes of a run of texts with blanks between terms, and the start, end, hash and text of each term."""
     low = _TO_TERMS[data]
     inside = low != 32
     edge = np.zeros(len(low) + 1, bool)
@@ -54,9 +56,19 @@ def _slice(number: int, offsets: np.ndarray, data: np.ndarray, lang: pa.Dictiona
     before, after = np.append(False, inside[:-1])[: len(low)], np.append(inside[1:], False)[: len(low)]
     start = np.flatnonzero(inside & (~before | edge[:-1]))
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    return low, start, end, byte_hashes(low, start, end), np.searchsorted(offsets, start, "right") - 1
+
+
+def _slice(number: int, runs: list[tuple], lang: pa.DictionaryArray, source: pa.DictionaryArray, least: int) -> pa.RecordBatch:
+    """One row a (lang, term) of consecutive runs of texts; terms are told apart by a hash of 64 bits within the slice."""
+    found = [_spans(offsets, data) for offsets, data in runs]
+    bytes_before, texts_before = (np.cumsum([0, *sizes]) for sizes in ([len(data) for _, data in runs], [len(offsets) - 1 for offsets, _ in runs]))
+    low, hashes = (np.concatenate([f[k] for f in found]) for k in (0, 3))
+    start, end = (np.concatenate([f[k] + n for f, n in zip(found, bytes_before, strict=False)]) for k in (1, 2))
+    doc = np.concatenate([f[4] + n for f, n in zip(found, texts_before, strict=False)])
+    del found
     of_lang, of_source = (c.indices.to_numpy().astype(np.int64) for c in (lang, source))
-    doc = np.searchsorted(offsets, start, "right") - 1
-    key = mix(byte_hashes(low, start, end) ^ mix(of_lang[doc].astype(np.uint64) + np.uint64(1)))
+    key = mix(hashes ^ mix(of_lang[doc].astype(np.uint64) + np.uint64(1)))
     order = np.argsort(key, kind="stable")  # documents stay in order
     key, doc = key[order], doc[order]
     new = np.append(True, key[1:] != key[:-1])[: len(key)]
@@ -93,12 +105,15 @@ def _slicer(least: int, slice_bytes: int):
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             lang, source = (batch.column(i).dictionary_encode() for i in range(2))
-            for row, offsets, data in slices(batch.column(2), slice_bytes):
-                n = len(offsets) - 1
-                found = _slice(number, offsets, data, lang.slice(row, n), source.slice(row, n), least)
-                number += 1
-                for at in range(0, found.num_rows, 50_000):
-                    yield found.slice(at, 50_000)
+            runs, size, begin = [], 0, 0
+            for row, offsets, data in slices(batch.column(2), min(RUN_BYTES, slice_bytes)):
+                runs.append((offsets, data))
+                size, to = size + len(data), row + len(offsets) - 1
+                if size >= slice_bytes or to == batch.num_rows:
+                    found = _slice(number, runs, lang.slice(begin, to - begin), source.slice(begin, to - begin), least)
+                    runs, size, begin, number = [], 0, to, number + 1
+                    for at in range(0, found.num_rows, 50_000):
+                        yield found.slice(at, 50_000)
 
     return run
 
