@@ -329,13 +329,12 @@ class Model:
 
 
 def _spread(rows: DataFrame) -> float:
-    """The weighted sample deviation of the labels, as Spark ML takes it; 1 for constant labels."""
+    """The weighted deviation of the labels over all rows, by which Spark's normal equations scale them; 1 for constant labels."""
     w, y = F.col("example_weight"), F.col("label")
-    sums = rows.agg(F.sum(w).alias("w"), F.sum(w * w).alias("ww"), (F.sum(w * y) / F.sum(w)).alias("mean")).first()
-    if not sums.w or sums.w <= sums.ww / sums.w:
+    mean = rows.agg(F.sum(w * y) / F.sum(w)).first()[0]
+    if mean is None:
         return 1.0
-    squares = rows.agg(F.sum(w * (y - sums.mean) * (y - sums.mean))).first()[0]
-    return (squares / (sums.w - sums.ww / sums.w)) ** 0.5 or 1.0
+    return (rows.agg(F.sum(w * (y - mean) * (y - mean)) / F.sum(w)).first()[0]) ** 0.5 or 1.0
 
 
 def _weights(model) -> list[float]:
