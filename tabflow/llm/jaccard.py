@@ -10,11 +10,15 @@ hash of what the set has in them. Sets that share no signature cannot link.
     2. filter     a set has a partner only if enough of its shingles occur in other sets: first over a fixed share of the domain,
                   for all sets, then over the whole of it, for those that are left
     3. signatures of the sets that are left; those of one set only are dropped
-    4. stars      each signature's sets are compared with the one that shares most; links join into components
-    5. rest       sets of one signature in different components are compared with each other, but for pairs that the triangle
-                  inequality of the Jaccard distance rules out
+    4. stars      each signature's sets are compared with the one that shares most, its lead; links join into components
+    5. rest       sets of one lead in different components are compared with each other, but for pairs that sizes, the triangle
+                  inequality of the Jaccard distance or their parity bitmaps rule out
     6. classes    components of all links
 
+Related sets share up to a hundred signatures, most of them under one lead. So step 5 joins on the lead, where a pair comes once, not on
+the signature. A parity bitmap tells of each of its bits whether an odd number of shingles falls on it; two bitmaps cannot differ in more
+bits than the sets differ in shingles.
+
 A signature that very many sets share needs no pairs among those that have enough other signatures: such a set meets each of its
 partners there. A set whose signatures are mostly empty or that common also has the signatures of a prefix filter.
 All of this is exact: filters drop only what cannot link, and every link rests on the sets themselves.
@@ -295,8 +299,46 @@ def _linked() -> Column:
     return F.col("inter") * DENOMINATOR >= F.col("total") * NUMERATOR
 
 
-#: Rounds of stars go on while the pairs that are left are more than so many a row of the signature table, and each round halves them.
-PAIRS_A_ROW, ROUNDS = 2, 6
+#: Rounds of stars go on while the pairs that are left are more than so many a set and lead, and each round halves them.
+PAIRS_A_ROW, ROUNDS = 32, 6
+#: Bits of a parity bitmap for each shingle, at least.
+BITS_A_SHINGLE = 2
+
+
+def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
+    """As 64-bit integers, a power of two of bits: whether an odd number of shingles falls on each. Halves fold by exclusive or."""
+    width = max(128, 1 << int(BITS_A_SHINGLE * len(shingles) - 1).bit_length())
+    odd = np.bincount((mix(shingles + _U(43)) & _U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def bitmap_table(sets: DataFrame) -> DataFrame:
+    """(node, size, wide, half): the parity bitmap of each set, and the same folded once."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles = [np.frombuffer(x.as_buffer(), "<u8") for x in batch["shingles"]]
+            wide = [parity_bitmap(s) for s in shingles]
+            half = [w[: len(w) // 2] ^ w[len(w) // 2 :] for w in wide]
+            columns = [pa.array([len(s) for s in shingles], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (wide, half))]
+            yield pa.RecordBatch.from_arrays([batch["node"], *columns], ["node", "size", "wide", "half"])
+
+    return sets.select("node", "shingles").mapInArrow(fill, "node long, size long, wide array<long>, half array<long>")
+
+
+def _may_link(x: str, y: str) -> Column:
+    """Whether sizes and bitmaps of two rows of ``bitmap_table`` allow a link. Widths differ by one fold at most, if the sizes allow it."""
+
+    def apart(one: Column, two: Column) -> Column:
+        bits = F.zip_with(one, two, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+
+    one, two = ({c: F.col(f"{side}.{c}") for c in ("size", "wide", "half")} for side in (x, y))
+    sizes = F.least(one["size"], two["size"]) * DENOMINATOR >= F.greatest(one["size"], two["size"]) * NUMERATOR
+    wider = F.size(one["wide"]) - F.size(two["wide"])
+    left = F.when(wider > 0, one["half"]).otherwise(one["wide"])
+    right = F.when(wider < 0, two["half"]).otherwise(two["wide"])
+    return sizes & (apart(left, right) * (DENOMINATOR + NUMERATOR) <= (one["size"] + two["size"]) * (DENOMINATOR - NUMERATOR))
 
 
 def _members(sets: DataFrame) -> DataFrame:
@@ -320,12 +362,35 @@ def _unsafe(members: DataFrame) -> DataFrame:
     return materialize(lost.agg(F.count("*").alias("lost"), F.min("spare").alias("spare")).filter("lost >= spare").select("node", "tag"), "jaccard-unsafe")
 
 
-def _mixed(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The components of the links, and the members of those signatures whose sets are still in several of them."""
+def _mixed(met: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components of the links, and the rows (lead, node, component) of those leads whose sets are still in several of them."""
     known = measured(materialize(components(links), "jaccard-components"))
-    placed = members.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
-    return known, materialize(placed.join(measured(materialize(mixed, "jaccard-mixed")), "sig", "left_semi"), "jaccard-placed")
+    placed = met.select("lead", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("lead").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("lead")
+    return known, materialize(placed.join(measured(materialize(mixed, "jaccard-mixed")), "lead", "left_semi").select("lead", "node", "component"), "jaccard-placed")
+
+
+def _between(placed: DataFrame, checked: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets of one lead and different components that may link.
+
+    The largest component of a lead meets the others, and these meet each other; so the work grows with the pairs between components,
+    and not with the pairs within a large one.
+    """
+    far = checked.select("a", "b", (1 - F.col("inter") / F.col("total")).alias("distance"))
+    far = far.union(far.select("b", "a", "distance")).select(F.col("a").alias("lead"), F.col("b").alias("node"), "distance")
+    wanted = materialize(placed.select("node").distinct(), "jaccard-between")
+    bitmaps = measured(materialize(bitmap_table(sets.join(measured(wanted), "node", "left_semi")), "jaccard-bitmaps"))
+    sizes = placed.groupBy("lead", "component").agg(F.count("*").alias("n"))
+    most = materialize(sizes.groupBy("lead").agg(F.max_by("component", F.struct("n", "component")).alias("most")), "jaccard-most")
+    rows = placed.join(far, ["lead", "node"]).join(measured(most), "lead").join(bitmaps, "node")
+    rows = materialize(rows.withColumn("largest", F.col("component") == F.col("most")), "jaccard-distances")
+    limit = 1 - NUMERATOR / DENOMINATOR + 1e-9
+    others = rows.filter("not largest").alias("y")
+    near = (F.col("x.lead") == F.col("y.lead")) & (F.abs(F.col("x.distance") - F.col("y.distance")) <= limit) & _may_link("x", "y")
+    first = rows.filter("largest").alias("x").join(others, near)
+    second = rows.filter("not largest").alias("x").join(others, near & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")))
+    ends = [f(F.col("x.node"), F.col("y.node")).alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
+    return first.select(ends).union(second.select(ends)).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def link_components(sets: DataFrame) -> DataFrame:
@@ -336,43 +401,36 @@ def link_components(sets: DataFrame) -> DataFrame:
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     heavy = members.join(measured(materialize(weight, "jaccard-weights")), "node")
     leads = heavy.groupBy("sig").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("lead"))
-    led = materialize(members.join(measured(materialize(leads, "jaccard-leads")), "sig"), "jaccard-led")
-    pairs = led.filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    # A set has one row for each of its leads and tags, however many signatures it shares with the lead.
+    free = (F.col("n") <= COMMON) | (F.col("part") < 0)
+    tag = F.when(F.col("part") >= 0, F.pmod("part", F.lit(4)))
+    led = members.join(measured(materialize(leads, "jaccard-leads")), "sig").select("lead", "node", tag.alias("tag"), free.alias("free"))
+    led = materialize(led.filter("node <> lead").groupBy("lead", "node", "tag").agg(F.max("free").alias("free")), "jaccard-led")
+    pairs = led.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     checked = materialize(compare(pairs, sets), "jaccard-checked")
-    known, placed = _mixed(led, checked.filter(_linked()).select("a", "b"))
     # In a common signature only sets count that may miss a partner in their others.
-    placed = placed.withColumn("tag", F.when(F.col("part") >= 0, F.pmod("part", F.lit(4))))
-    risky = placed.filter((F.col("n") > COMMON) & (F.col("part") >= 0)).join(measured(_unsafe(every)), ["node", "tag"], "left_semi").select(placed.columns)
-    placed = placed.filter((F.col("n") <= COMMON) | (F.col("part") < 0)).union(risky).select("sig", "node", "lead", "component")
-    placed = materialize(placed, "jaccard-eligible")
-    rows, before = placed.count(), None
+    risky = led.filter("not free").join(measured(_unsafe(every)), ["node", "tag"], "left_semi").select("lead", "node")
+    met = materialize(led.filter("free").select("lead", "node").union(risky).distinct(), "jaccard-met")
+    known, placed = _mixed(met, checked.filter(_linked()).select("a", "b"))
+    before = None
     for turn in range(ROUNDS + 1):
-        sizes = placed.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
-        left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()[0] or 0
+        sizes = placed.groupBy("lead", "component").agg(F.count("*").alias("n")).groupBy("lead").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+        rows, left = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
         if not left:
             return known
         if left <= PAIRS_A_ROW * rows or turn == ROUNDS or (before is not None and 2 * left > before):
             break
         before = left
         drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "component")).alias("drawn")
-        heads = materialize(placed.groupBy("sig").agg(drawn).select("sig", "drawn.node", "drawn.component"), "jaccard-heads")
+        heads = materialize(placed.groupBy("lead").agg(drawn).select("lead", "drawn.node", "drawn.component"), "jaccard-heads")
         h, p = heads.alias("h"), placed.alias("p")
-        new = p.join(h, F.col("p.sig") == F.col("h.sig")).filter("p.component <> h.component")
+        new = p.join(h, F.col("p.lead") == F.col("h.lead")).filter("p.component <> h.component")
         new = new.select(F.least("p.node", "h.node").alias("a"), F.greatest("p.node", "h.node").alias("b")).distinct()
         new = new.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         checked = materialize(checked.unionByName(compare(new, sets)), "jaccard-checked")
         known, placed = _mixed(placed, checked.filter(_linked()).select("a", "b"))
 
-    far = checked.select("a", "b", (1 - F.col("inter") / F.col("total")).alias("distance"))
-    far = far.union(far.select("b", "a", "distance"))
-    apart = placed.join(far.select(F.col("a").alias("lead"), F.col("b").alias("node"), "distance"), ["lead", "node"], "left")
-    apart = materialize(apart.withColumn("distance", F.when(F.col("lead") == F.col("node"), 0.0).otherwise(F.col("distance"))), "jaccard-distances")
-    x, y = apart.alias("x"), apart.alias("y")
-    limit = 1 - NUMERATOR / DENOMINATOR + 1e-9
-    near = F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= limit, F.lit(True))
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & near)
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialize(compare(rest, sets).filter(_linked()).select("a", "b"), "jaccard-rest")
+    more = materialize(compare(_between(placed, checked, sets), sets).filter(_linked()).select("a", "b"), "jaccard-rest")
     return components(checked.filter(_linked()).select("a", "b").union(more))
 
 

@@ -213,6 +213,56 @@ def test_jaccard_chains_and_large_groups_with_small_limits(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard_classes(df).collect()} == corpus.jaccard_components(rows)
 
 
+def test_related_texts_that_do_not_link_are_compared_in_proportion(spark, monkeypatch):
+    """Texts edited from one origin share signatures in all their pairs; sizes, distances and bitmaps leave few of these to compare."""
+    from tabflow.llm import jaccard
+
+    between, compared = jaccard._between, []
+
+    def counted(*args):
+        found = materialize(between(*args), "between")
+        compared.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "_between", counted)
+    rng = random.Random(12)
+    base = corpus._text(rng, 160, corpus._EN)
+    texts = [(i, corpus.edited_copy(rng, base, 6)) for i in range(1000)]
+    for n in (250, 1000):
+        df = spark.createDataFrame(texts[:n], "doc_id long, text string").repartition(3)
+        assert {r.doc_id: r.component_id for r in jaccard_classes(df).collect()} == corpus.jaccard_components(texts[:n])
+    assert len(compared) == 2 and compared[0] <= 250 and compared[1] <= 1000
+
+
+def test_bitmaps_never_rule_out_a_link(spark):
+    from tabflow.llm.jaccard import _may_link, bitmap_table, parity_bitmap
+
+    rng = np.random.default_rng(3)
+    rows, linked, far = [], [], []
+    for k in range(200):
+        size = int(rng.choice([1, 3, 63, 64, 65, 127, 130, 255, 256, 257, 300, 513, 1500]))
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        lost, more = (int(x) for x in rng.integers(0, max(2, size // 5), 2))
+        b = np.unique(np.concatenate([a[lost:], rng.integers(0, 2**63, more).astype(np.uint64)]))
+        c = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        inter = len(np.intersect1d(a, b))
+        rows += [(3 * k + i, x.tobytes()) for i, x in enumerate((a, b, c)) if len(x)]
+        if len(b) and 100 * inter >= 75 * len(np.union1d(a, b)):
+            linked.append((3 * k, 3 * k + 1))
+        if size > 60:
+            far.append((3 * k, 3 * k + 2))
+        bits = np.unpackbits(parity_bitmap(a).view(np.uint8))
+        assert len(bits) >= 2 * len(a) and bits.sum() <= len(a)
+    table = bitmap_table(spark.createDataFrame(rows, "node long, shingles binary")).cache()
+
+    def kept(pairs):
+        joined = spark.createDataFrame(pairs, "a long, b long").join(table.alias("x"), F.col("a") == F.col("x.node")).join(table.alias("y"), F.col("b") == F.col("y.node"))
+        return {(r.a, r.b) for r in joined.filter(_may_link("x", "y")).select("a", "b").collect()}
+
+    assert len(linked) > 50 and kept(linked) == set(linked)
+    assert kept(far) == set()
+
+
 def test_sets_that_link_share_a_signature():
     rng = np.random.default_rng(5)
     for _ in range(300):
