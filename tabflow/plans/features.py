@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.functions.columns import quote
+from tabflow.operators.grouped import HOT_ROWS, GroupFunction, apply_by_group
 from tabflow.operators.inspect import is_unique
 from tabflow.operators.lookup import lookup
 from tabflow.operators.query import sort_order
@@ -24,7 +25,8 @@ class Feature:
 
     ``fit`` sees the whole frame and is one distributed job: groups are kept whole by windows and aggregations keyed on
     them, not by feeding batches. ``batch_key`` names the key by which the stored rows are partitioned, by default the
-    primary key.
+    primary key. Override ``batch`` to compute it, and set ``group_function`` instead of ``fit`` for a function of the
+    whole rows of one batch key, in the order of ``group_order``.
     """
 
     name: str = ""
@@ -35,6 +37,13 @@ class Feature:
     needs_columns: Sequence[str] = ()
     computes_columns: Sequence[str] = ()
     refresh_every: float | None = None
+    group_function: GroupFunction | None = None
+    group_order: Sequence[str] = ()
+    group_hot_rows: int = HOT_ROWS
+
+    def batch(self, df: DataFrame) -> Column | None:
+        """The values of ``batch_key``, where they are computed from the frame."""
+        return None
 
     def fit(self, df: DataFrame) -> DataFrame | None:
         """Rows to store, or None for a feature that only transforms."""
@@ -45,7 +54,15 @@ class Feature:
 
     @property
     def has_fit(self) -> bool:
-        return type(self).fit is not Feature.fit
+        return type(self).fit is not Feature.fit or self.group_function is not None
+
+    def with_batch_key(self, df: DataFrame) -> DataFrame:
+        values = self.batch(df)
+        if values is None:
+            return df
+        if not self.batch_key:
+            raise FeatureError(f"feature {self.name}: a computed batch key needs a name in batch_key")
+        return df.withColumn(self.batch_key, values)
 
 
 class FeatureStore:
@@ -90,7 +107,7 @@ class FeatureStore:
 def build_batch(df: DataFrame, feature: Feature, start, end) -> DataFrame:
     """Rows of a key range with the columns the feature needs, sorted by the key."""
     key = feature.batch_key or feature.primary_key
-    rows = df.filter(F.col(quote(key)).between(start, end))
+    rows = feature.with_batch_key(df).filter(F.col(quote(key)).between(start, end))
     if feature.needs_columns:
         rows = rows.select(*[F.col(quote(c)) for c in dict.fromkeys([key, *feature.needs_columns])])
     return rows.orderBy(*sort_order([key]))
@@ -99,11 +116,17 @@ def build_batch(df: DataFrame, feature: Feature, start, end) -> DataFrame:
 def fit_feature(df: DataFrame, feature: Feature, store: FeatureStore) -> WriteResult | None:
     if not feature.has_fit:
         return None
-    source = df
+    source = feature.with_batch_key(df)
     if feature.needs_columns:
         keys = [k for k in (feature.primary_key, feature.batch_key) if k]
-        source = df.select(*[F.col(quote(c)) for c in dict.fromkeys([*keys, *feature.needs_columns])])
-    rows = feature.fit(source)
+        source = source.select(*[F.col(quote(c)) for c in dict.fromkeys([*keys, *feature.group_order, *feature.needs_columns])])
+    if feature.group_function is None:
+        rows = feature.fit(source)
+    else:
+        key = feature.batch_key or feature.primary_key
+        if not key:
+            raise FeatureError(f"feature {feature.name}: a function by group needs a batch key")
+        rows = apply_by_group(source, key, feature.group_order, feature.group_function, feature.group_hot_rows)
     if rows is None:
         return None
     if not isinstance(rows, DataFrame):

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tabflow.functions.dates import days_between
+from tabflow.operators.grouped import GroupFunction
 from tabflow.operators.history import Earlier, last_where, previous_value, with_earlier
 from tabflow.operators.inspect import null_columns
 from tabflow.operators.ordering import partition_bounds
@@ -165,6 +166,72 @@ def f_store_query(spark, sf):
     return stores["order_history"].store.between(40, 130).filter(F.col("n_orders") > 9)
 
 
+@register("""
+SELECT o_custkey, n_orders FROM (SELECT o_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS order_total FROM orders
+WHERE o_custkey BETWEEN 40 AND 130 GROUP BY 1) WHERE order_total > 100000
+""")
+def f_store_query_verbs(spark, sf):
+    """Key range, filter and selection over stored rows in one call of the feature store."""
+    feature = OrderHistory()
+    feature.batch_size = 50
+    stores = FeatureList([feature]).stores(spark, scratch_path(spark, "features"))
+    FeatureList([feature]).fit(table(spark, sf, "orders"), stores)
+    return stores["order_history"].query(keys=(40, 130), filter="order_total > 100000", select=["o_custkey", "n_orders"])
+
+
+def backlog() -> GroupFunction:
+    """What is left of the values of a group if 50 are worked off at each event, never less than nothing."""
+
+    def steps(rows):
+        return rows["value"].fillna(0).round().astype("int64") - 50
+
+    def reduce(rows):
+        total = steps(rows).cumsum()
+        return {"total": int(total.iloc[-1]), "low": min(0, int(total.min()))}
+
+    def merge(earlier, later):
+        return {"total": earlier["total"] + later["total"], "low": min(earlier["low"], earlier["total"] + later["low"])}
+
+    def apply(rows, before):
+        before = before or {"total": 0, "low": 0}
+        total = before["total"] + steps(rows).cumsum()
+        return rows[["event_id", "site"]].assign(backlog=total - total.cummin().clip(upper=before["low"]))
+
+    return GroupFunction("event_id long, site long, backlog long", apply, reduce, merge)
+
+
+class SiteBacklog(Feature):
+    name = "site_backlog"
+    primary_key = "event_id"
+    batch_key = "site"
+    batch_size = 10
+    needs_columns = ("user_id", "ts", "value")
+    computes_columns = ("backlog",)
+    group_function = backlog()
+    group_order = ("ts", "event_id")
+    group_hot_rows = 1000
+
+    def batch(self, df):
+        return F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id") % 40 + 1).cast("long")
+
+    def transform(self, df, stored):
+        return stored.attach(df)
+
+
+@register("""
+WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 40 + 1 END AS site, ts, CAST(round_even(value, 0) AS BIGINT) - 50 AS step FROM events),
+t AS (SELECT event_id, site, ts, CAST(sum(step) OVER (PARTITION BY site ORDER BY ts, event_id) AS BIGINT) AS total FROM e)
+SELECT event_id, CAST(site AS BIGINT) AS site, total - least(0, min(total) OVER (PARTITION BY site ORDER BY ts, event_id)) AS backlog FROM t
+""")
+def f_group_function(spark, sf):
+    """A function of the rows of a computed batch key; one group has a third of all rows and is computed range by range."""
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    features = FeatureList([SiteBacklog()])
+    stores = features.stores(spark, scratch_path(spark, "features"))
+    features.fit(events, stores)
+    return features.apply(events, stores).select("event_id", "site", "backlog")
+
+
 @register("SELECT o_custkey, o_totalprice FROM orders WHERE o_custkey BETWEEN 10 AND 60")
 def f_build_batch(spark, sf):
     return build_batch(table(spark, sf, "orders"), OrderHistory(), 10, 60)
@@ -240,6 +307,22 @@ def d_normalize_inference(spark, sf):
     return dataset.normalize(events.drop("split"), inference=True).withColumn("value", F.round("value", 6))
 
 
+@register(EVENTS_SQL + """
+, m AS (SELECT event_type AS top FROM ev WHERE split = 'train' AND event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+a AS (SELECT round(avg(least(greatest(value, 0), 300)), 6) AS value FROM ev WHERE split = 'train' AND value IS NOT NULL)
+SELECT event_id, CAST(NULL AS BIGINT) AS user_id, top = 'click' AS event_type_click, top = 'error' AS event_type_error,
+       top = 'purchase' AS event_type_purchase, top = 'signup' AS event_type_signup, top = 'view' AS event_type_view,
+       top = 'other' AS event_type_other, a.value, CAST(day(ts) AS BIGINT) AS day
+FROM ev, m, a
+""")
+def d_missing_columns(spark, sf):
+    """Rows to be scored that lack three input columns: they are added, and filled as far as their columns are."""
+    events = holed_events(spark, sf)
+    dataset = events_dataset().fit(events)
+    rows = events.drop("split", "user_id", "event_type", "value")
+    return dataset.normalize(rows, inference=True).withColumn("value", F.round("value", 6))
+
+
 @register(_NORMAL_SQL.replace("{split}", "split,") + " WHERE user_id IS NOT NULL")
 def d_process_all_splits(spark, sf):
     """The processed table on disk, read back by its split folders, with the state saved and loaded in between."""

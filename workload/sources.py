@@ -207,3 +207,17 @@ def s_manifest_changes(spark, sf):
     part(4).write.parquet(f"{folder}/part4")
     out += [("second", r.change, r.n, whole()) for r in manifest.refresh().files.groupBy("change").agg(F.sum("num_rows").alias("n")).collect()]
     return spark.createDataFrame(out, "run string, change string, num_rows long, as_whole boolean")
+
+
+@register("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def s_store_prefix(spark, sf):
+    """Files below a prefix of a store that only Hadoop's file system interface reaches, in several folders."""
+    kept = scratch_path(spark, "bucket")
+    table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), "o_totalprice").write.partitionBy("status").parquet(f"{kept}/orders")
+    hadoop = spark._jsc.hadoopConfiguration()
+    link = spark._jvm.org.apache.hadoop.fs.Path(kept).getFileSystem(hadoop).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(kept))
+    bucket = kept.rstrip("/").split("/")[-1]
+    hadoop.set(f"fs.viewfs.mounttable.{bucket}.link./data", link.toString())
+    rows = Source(path=f"viewfs://{bucket}/data/orders").read(spark)
+    status = F.regexp_extract(F.col("_metadata.file_path"), "status=([^/]+)/", 1)
+    return rows.select("o_orderkey", status.alias("o_orderstatus"), "o_totalprice")
