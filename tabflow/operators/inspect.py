@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabflow.functions.columns import quote
 
@@ -16,8 +17,8 @@ _SKETCH_ERROR = 0.02
 def primary_key_candidates(df: DataFrame) -> list[str]:
     """Columns with as many distinct values as rows, in column order.
 
-    A sketch of every column in one pass leaves only columns that can be unique; each of those is then checked exactly by
-    its own aggregation, which combines in the map tasks and so does not suffer from a hot value.
+    A sketch of every column in one pass leaves only columns that can be unique. Those are then counted exactly, all in one
+    shuffle: each row becomes one row a column, and equal values combine in the map tasks, so a hot value does no harm.
     """
     plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
     probe = df.agg(
@@ -25,7 +26,18 @@ def primary_key_candidates(df: DataFrame) -> list[str]:
         *[F.approx_count_distinct(F.col(quote(c)), _SKETCH_ERROR).alias(f"d{i}") for i, c in enumerate(plain)],
     ).first()
     possible = [c for i, c in enumerate(plain) if probe[f"d{i}"] >= probe.n * (1 - 8 * _SKETCH_ERROR) - 1]
-    return [c for c in possible if is_unique(df, [c])]
+    if not possible:
+        return []
+    texts = [c for c in possible if isinstance(df.schema[c].dataType, T.StringType)]
+    # A digest stands for a long text; it is longer than the texts that stand for themselves, so the two never meet.
+    values = [(F.when(F.length(quote(c)) <= 32, F.col(quote(c))).otherwise(F.sha2(quote(c), 256)) if c in texts else F.col(quote(c))).alias(f"c{i}") for i, c in enumerate(possible)]
+    names = [f"c{i}" for i in range(len(possible))]
+    counts = df.select(*values).groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names])
+    repeated = counts.agg(F.grouping_id().alias("of"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("of").distinct().collect()
+    # Of the bits of a grouping, the first column's is the highest; the column that is grouped by has a 0.
+    every = (1 << len(names)) - 1
+    found = {r.of for r in repeated}
+    return [c for i, c in enumerate(possible) if every - (1 << (len(names) - 1 - i)) not in found]
 
 
 def is_unique(df: DataFrame, key: Sequence[str]) -> bool:

@@ -81,27 +81,28 @@ def unify(frames: Sequence[DataFrame]) -> DataFrame:
 def date_formats(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """The first format that fits every non-null value, for each string column that has one.
 
-    One pass finds a sample value of every column. Only formats that fit the sample can fit the
-    column, so the second pass checks one or two formats for few columns instead of all formats for all columns.
+    One pass finds a sample value of every column; the second one is that of ``fitting_formats``.
     """
     if not columns:
         return {}
-    probe = df.agg(
-        *[
-            F.any_value(F.col(quote(c)), F.lit(True)).alias(f"c{i}")
-            for i, c in enumerate(columns)
-        ]
-    ).first()
-    samples = {c: probe[f"c{i}"] for i, c in enumerate(columns)}
-    spark = df.sparkSession
-    plausible = [c for c in columns if samples[c] is not None]
+    probe = df.agg(*[_sample(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return fitting_formats(df, {c: probe[f"c{i}"] for i, c in enumerate(columns)})
+
+
+def _sample(name: str):
+    return F.any_value(F.col(quote(name)), F.lit(True))
+
+
+def fitting_formats(df: DataFrame, samples: Mapping[str, str | None]) -> dict[str, str]:
+    """The same, given any non-null value of each column. Only formats that fit it can fit the column, so one pass checks one or
+    two formats for few columns instead of all formats for all columns; without such columns there is no pass."""
+    plausible = [c for c, v in samples.items() if v is not None]
     if not plausible:
         return {}
-    one_row = spark.range(1).select(
+    one_row = df.sparkSession.range(1).select(
         *[parse_datetime(F.lit(samples[c]), f).isNotNull().alias(f"c{i}_{j}") for i, c in enumerate(plausible) for j, f in enumerate(DATE_FORMATS)]
     ).first()
-    candidates = {c: [j for j in range(len(DATE_FORMATS)) if one_row[f"c{i}_{j}"]] for i, c in enumerate(plausible)}
-    checks = [(c, j) for c in plausible for j in candidates[c]]
+    checks = [(c, j) for i, c in enumerate(plausible) for j in range(len(DATE_FORMATS)) if one_row[f"c{i}_{j}"]]
     if not checks:
         return {}
     misses = df.agg(
@@ -128,18 +129,18 @@ def improve(df: DataFrame) -> DataFrame:
     """Fractional columns that hold only whole numbers become integers; strings that are all dates become datetimes."""
     reals = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType))]
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    whole: set[str] = set()
-    if reals:
-
-        def fraction(name: str):
-            c = F.col(quote(name))
-            return c.isNotNull() & ~F.coalesce(c.try_cast("bigint").cast(df.schema[name].dataType) == c, F.lit(False))
-
-        found = df.agg(
-            *[F.struct(F.count(F.col(quote(c))).alias("n"), F.count_if(fraction(c)).alias("bad")).alias(f"c{i}") for i, c in enumerate(reals)]
-        ).first()
-        whole = {c for i, c in enumerate(reals) if found[f"c{i}"].n > 0 and found[f"c{i}"].bad == 0}
-    dates = date_formats(df, strings)
+
+    def fraction(name: str):
+        c = F.col(quote(name))
+        return c.isNotNull() & ~F.coalesce(c.try_cast("bigint").cast(df.schema[name].dataType) == c, F.lit(False))
+
+    checks = [F.struct(F.count(F.col(quote(c))).alias("n"), F.count_if(fraction(c)).alias("bad")).alias(f"r{i}") for i, c in enumerate(reals)]
+    checks += [_sample(c).alias(f"s{i}") for i, c in enumerate(strings)]
+    if not checks:
+        return df
+    found = df.agg(*checks).first()
+    whole = {c for i, c in enumerate(reals) if found[f"r{i}"].n > 0 and found[f"r{i}"].bad == 0}
+    dates = fitting_formats(df, {c: found[f"s{i}"] for i, c in enumerate(strings)})
     out = []
     for name in df.columns:
         c = F.col(quote(name))
@@ -190,6 +191,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> TypeMap:
             F.count_if(c.isNotNull() & ~c.rlike(_NUMBER)).alias("not_number"),
             F.count_if(c.isNotNull() & ~F.lower(c).isin("true", "false")).alias("not_bool"),
             F.approx_count_distinct(c).alias("distinct"),
+            _sample(name).alias("sample"),
         )
 
     shapes = df.agg(*[shape(c).alias(f"c{i}") for i, c in enumerate(strings)]).first()
@@ -206,7 +208,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> TypeMap:
             out[name] = ("boolean", None)
         else:
             undecided.append((name, s))
-    dates = date_formats(df, [n for n, _ in undecided])
+    dates = fitting_formats(df, {n: s.sample for n, s in undecided})
     few = []
     for name, s in undecided:
         if name in dates:

@@ -397,3 +397,17 @@ def test_earlier_rows_with_many_hot_groups(spark):
     df = spark.range(30_000).select((F.col("id") % 1500).alias("k"), "id")
     got = previous_value(df, "k", ["id"], "id", "prev", hot_rows=5)
     assert got.filter("prev <=> CASE WHEN id >= 1500 THEN id - 1500 END").count() == 30_000
+
+
+def test_primary_key_candidates_in_one_shuffle(spark):
+    """Long texts that differ at the end, a single NULL, two NULLs, an almost unique column, decimals and a constant."""
+    df = spark.range(400).select(
+        F.concat(F.repeat(F.lit("x"), 40), F.col("id").cast("string")).alias("long text"),
+        F.when(F.col("id") > 0, F.col("id")).alias("one_null"),
+        F.when(F.col("id") > 1, F.col("id")).alias("two_nulls"),
+        F.when(F.col("id") == 7, 8).otherwise(F.col("id")).alias("near"),
+        F.col("id").cast("decimal(12,2)").alias("d"),
+        F.lit(1).alias("constant"),
+    )
+    assert primary_key_candidates(df) == ["long text", "one_null", "d"]
+    assert primary_key_candidates(df.select("constant", "near")) == []
