@@ -8,7 +8,6 @@ with the state of all ranges before it. Other groups are computed in one piece.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabflow.functions.columns import quote
-from tabflow.operators.history import _cut_groups, hot_groups
+from tabflow.operators.history import cut_hot_groups, hot_groups
 from tabflow.session import cut_lineage
 
 HOT_ROWS = 1_000_000
@@ -63,8 +62,7 @@ def apply_by_group(df: DataFrame, group: str, order: Sequence[str], function: Gr
     known = hot.select("_hot_group", F.lit(True).alias("_is_hot"))
     marked = df.join(known, F.col(by).eqNullSafe(F.col("_hot_group")), "left").drop("_hot_group")
     is_hot = F.coalesce(F.col("_is_hot"), F.lit(False))
-    ranges = max(2, math.ceil(2 * hot.agg(F.sum("_hot_rows")).first()[0] / max(1, hot_rows)))
-    ranged = _cut_groups(marked, is_hot, order, ranges).drop("_is_hot")
+    ranged = cut_hot_groups(marked, is_hot, group, order, hot, hot_rows).drop("_is_hot")
 
     of_group = T.StructType([T.StructField("_group", df.schema[group].dataType)])
     state_schema = T.StructType([*of_group.fields, T.StructField("_of", T.LongType()), T.StructField("_state", T.StringType())])

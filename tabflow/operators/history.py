@@ -1,7 +1,7 @@
 """Earlier rows of the same group: previous value, last value that meets a condition.
 
-A window sorts each group in one task. Groups beyond ``hot_rows`` rows are therefore cut into ranges of the order, at sampled rows,
-so that all order columns and all their types count; each (group, range) is its own window partition, and the state that a range hands to the next one, one row per range, is
+A window sorts each group in one task. Groups beyond ``hot_rows`` rows are therefore cut into ranges of the order, at most so many rows
+each; each (group, range) is its own window partition, and the state that a range hands to the next one, one row per range, is
 joined back. Without such groups the plan is the plain window.
 """
 
@@ -19,6 +19,9 @@ from tabflow.session import cut_lineage
 
 HOT_ROWS = 5_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: Rows of hot groups that a task sorts, about.
+ROWS_PER_TASK = 1_000_000
+_TASK = 1 << 33
 
 
 @dataclass(frozen=True)
@@ -64,8 +67,7 @@ def with_earlier(
         known = F.broadcast(known)
     marked = marked.join(known, F.col(quote(group)).eqNullSafe(F.col("_hot_group")), "left").drop("_hot_group")
     is_hot = F.coalesce(F.col("_is_hot"), F.lit(False))
-    ranges = max(2, math.ceil(2 * hot.agg(F.sum("_hot_rows")).first()[0] / max(1, hot_rows)))
-    ranged = _cut_groups(marked, is_hot, order, ranges)
+    ranged = cut_hot_groups(marked, is_hot, group, order, hot, hot_rows)
     ordering = F.struct(*[F.col(quote(c)) for c in order])
     handed = (
         ranged.filter(is_hot)
@@ -91,14 +93,30 @@ def _measured_small(df: DataFrame) -> bool:
     return (size.chars or 0) + 64 * size.n <= BROADCAST_BYTES
 
 
-def _cut_groups(df: DataFrame, is_hot: Column, order: Sequence[str], ranges: int) -> DataFrame:
+def cut_hot_groups(df: DataFrame, is_hot: Column, group: str, order: Sequence[str], hot: DataFrame, hot_rows: int) -> DataFrame:
+    """Adds ``_range``: a number that never decreases in the order of a hot group and that at most ``hot_rows`` of its rows share.
+
+    Rows are ordered by group first, so a range holds rows of few groups: cuts of the order alone would cut each group at the rows of all
+    others, which gives groups times ranges pieces. How many tasks sort does not depend on how small the ranges are.
+    """
+    rows, hot_rows = hot.agg(F.sum("_hot_rows")).first()[0], max(1, hot_rows)
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_PER_TASK))
+    return _cut_groups(df, is_hot, [group, *order], max(2, min(math.ceil(2 * rows / hot_rows), tasks)), hot_rows)
+
+
+def _cut_groups(df: DataFrame, is_hot: Column, order: Sequence[str], ranges: int, rows_each: int | None = None) -> DataFrame:
     """Adds ``_range``: a number that never decreases in the given order, and the same one for all rows of other groups.
 
     Spark's range partitioning samples the whole order, so a frequent value of the first column is cut by the next one, and text by
-    all of it. The cut rows are written, because another run would sample anew.
+    all of it. With ``rows_each`` each of these ranges is cut again after so many rows. The cut rows are written, because another run
+    would sample anew.
     """
-    placed = df.filter(is_hot).repartitionByRange(ranges, *[F.col(quote(c)).asc_nulls_first() for c in order])
-    placed = cut_lineage(placed.withColumn("_range", F.spark_partition_id().cast("long")))
+    by = [F.col(quote(c)).asc_nulls_first() for c in order]
+    placed, number = df.filter(is_hot).repartitionByRange(ranges, *by), F.spark_partition_id().cast("long")
+    if rows_each is not None:
+        placed = placed.sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id() % _TASK)
+        number = number * _TASK + F.floor(F.col("_place") / rows_each)
+    placed = cut_lineage(placed.withColumn("_range", number).drop("_place"))
     return placed.unionByName(df.filter(~is_hot).withColumn("_range", F.lit(-1).cast("long")))
 
 

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tabflow.operators.grouped import GroupFunction, apply_by_group
+from tabflow.operators.history import cut_hot_groups, hot_groups
 from tabflow.plans.features import Feature, FeatureError, FeatureList, build_batch
 from tests.conftest import rows
 
@@ -102,3 +103,16 @@ def test_a_computed_key_needs_a_name(spark, scratch):
     feature.batch_key = None
     with pytest.raises(FeatureError):
         FeatureList([feature]).fit(spark.createDataFrame([], SCHEMA), {"streaks": None})
+
+
+def test_a_hot_group_is_not_cut_at_the_rows_of_others(spark):
+    """Forty groups of one time axis: as many pieces as rows need, not groups times ranges, and none beyond the limit."""
+    df = spark.range(8000).select((F.col("id") % 40).cast("string").alias("g"), F.col("id").alias("t"), F.lit(1).cast("long").alias("v"))
+    hot = hot_groups(df, "g", 50)
+    cut = cut_hot_groups(df, F.lit(True), "g", ["t"], hot, 50)
+    found = cut.groupBy("g", "_range").agg(F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high")).collect()
+    assert sum(r.n for r in found) == 8000 and max(r.n for r in found) <= 50
+    assert len(found) <= 2 * 8000 // 50 + 2 * 40 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for g in {r.g for r in found}:
+        spans = [(r.low, r.high) for r in sorted((r for r in found if r.g == g), key=lambda r: r["_range"])]
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
