@@ -21,8 +21,10 @@ from tabflow.functions.dates import epoch_micros
 from tabflow.functions.types import is_numeric
 from tabflow.session import cut_lineage
 
-ROWS_PER_RANGE = 2_000_000
+ROWS_PER_RANGE = 250_000
 LEVEL_RANGES = 1_000
+#: Rows that a task ranks, about.
+ROWS_PER_TASK = 1_000_000
 #: Cuts that are looked at together; a search looks at two such runs.
 _RUN = 32
 _SPAN = 1 << 20
@@ -65,10 +67,11 @@ class RangeCuts:
     ``finer`` holds, for each range of the first level, the cuts inside it: (_coarse, _cuts); None where one level is enough.
     """
 
-    def __init__(self, cuts: list[float], heavy: list[float], finer: DataFrame | None = None):
+    def __init__(self, cuts: list[float], heavy: list[float], finer: DataFrame | None = None, rows: int = 0):
         self.cuts = cuts
         self.heavy = heavy
         self.finer = finer
+        self.rows = rows
 
     @classmethod
     def of(cls, df: DataFrame, pos: Column, ranges: int | None = None) -> RangeCuts:
@@ -81,7 +84,7 @@ class RangeCuts:
         step = max(1, len(quantiles) // min(wanted, level))
         cuts = set(quantiles[step - 1 :: step]) | set(heavy)
         cuts.update(math.nextafter(h, math.inf) for h in heavy)
-        out = cls(sorted(cuts), heavy)
+        out = cls(sorted(cuts), heavy, rows=found.n)
         inside = math.ceil(wanted / level)
         if inside > 1 and out.cuts:
             probs = [i / inside for i in range(1, inside)]
@@ -121,12 +124,24 @@ def assign_ranges(df: DataFrame, key: str, name: str, ranges: int | None = None)
     Types without an exact position, text above all, are cut by Spark's own range partitioning, which samples whole keys
     and so stays balanced when they share long prefixes or hold strays. The result is written, because another run would sample anew.
     """
+    return _ranges_and_rows(df, key, name, ranges)[0]
+
+
+def _ranges_and_rows(df: DataFrame, key: str, name: str, ranges: int | None) -> tuple[DataFrame, int]:
     if exact_position(df.schema[key].dataType):
         pos = position(df, key)
-        return RangeCuts.of(df, pos, ranges).assign(df, pos, name)
-    n = ranges or max(2, _least_ranges(df), math.ceil(df.count() / ROWS_PER_RANGE))
+        cuts = RangeCuts.of(df, pos, ranges)
+        return cuts.assign(df, pos, name), cuts.rows
+    rows = df.count()
+    n = ranges or max(2, _least_ranges(df), math.ceil(rows / ROWS_PER_RANGE))
     placed = df.repartitionByRange(n, F.col(quote(key)).asc_nulls_first())
-    return cut_lineage(placed.withColumn(name, F.spark_partition_id().cast("long") * _SPAN))
+    return cut_lineage(placed.withColumn(name, F.spark_partition_id().cast("long") * _SPAN)), rows
+
+
+def _dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """Dealt over tasks of about ROWS_PER_TASK rows. Left to itself, Spark joins parts by their packed bytes, some ten times smaller than what a
+    task then sorts, or takes the rows as a join by range left them, which puts all rows of a frequent key into one task."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_TASK)), *by)
 
 
 def _offsets(per_range: DataFrame, sums: list[str], names: list[str]) -> DataFrame:
@@ -143,18 +158,17 @@ def _offsets(per_range: DataFrame, sums: list[str], names: list[str]) -> DataFra
 
 def running_total(df: DataFrame, key: str, totals: Mapping[str, Column], ranges: int | None = None) -> DataFrame:
     """For a frame with unique keys: the sums of ``totals`` over all rows with a smaller key, added as columns."""
-    bucketed = assign_ranges(df, key, "_range", ranges)
+    bucketed, n_rows = _ranges_and_rows(df, key, "_range", ranges)
     names = list(totals)
     inner = [totals[n].alias(f"_v{i}") for i, n in enumerate(names)]
     valued = bucketed.select("*", *inner)
     per_range = valued.groupBy("_range").agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))])
     offsets = _offsets(per_range, [f"_s{i}" for i in range(len(names))], [f"_o{i}" for i in range(len(names))])
     inside = Window.partitionBy("_range").orderBy(F.col(quote(key)).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    out = valued.join(offsets, "_range")
-    return out.select(
-        *[F.col(quote(c)) for c in df.columns],
-        *[(F.col(f"_o{i}") + F.coalesce(F.sum(f"_v{i}").over(inside), F.lit(0))).alias(n) for i, n in enumerate(names)],
-    )
+    keep = [F.col(quote(c)) for c in df.columns]
+    within = _dealt(valued, n_rows, "_range").select(*keep, "_range", *[F.coalesce(F.sum(f"_v{i}").over(inside), F.lit(0)).alias(f"_w{i}") for i in range(len(names))])
+    out = within.join(F.broadcast(offsets), "_range")
+    return out.select(*keep, *[(F.col(f"_o{i}") + F.col(f"_w{i}")).alias(n) for i, n in enumerate(names)])
 
 
 def global_rank(df: DataFrame, key: str, name: str = "rank", descending: bool = False, ranges: int | None = None) -> DataFrame:
@@ -180,8 +194,10 @@ def global_rank(df: DataFrame, key: str, name: str = "rank", descending: bool =
     offsets = _offsets(per_range, ["_n"], ["_before"])
     order = F.col(quote(key)).desc_nulls_last() if descending else F.col(quote(key)).asc_nulls_first()
     inside = F.rank().over(Window.partitionBy("_range", "_spread").orderBy(order))
-    out = bucketed.join(offsets, "_range")
-    return out.select(*[F.col(quote(c)) for c in df.columns], (F.col("_before") + inside - 1).cast("long").alias(name))
+    keep = [F.col(quote(c)) for c in df.columns]
+    within = _dealt(bucketed, cuts.rows, "_range", "_spread").select(*keep, "_range", inside.alias("_within"))
+    out = within.join(F.broadcast(offsets), "_range")
+    return out.select(*keep, (F.col("_before") + F.col("_within") - 1).cast("long").alias(name))
 
 
 def _rank_by_distinct_key(df: DataFrame, key: str, name: str, descending: bool, ranges: int | None) -> DataFrame:

@@ -411,3 +411,14 @@ def test_primary_key_candidates_in_one_shuffle(spark):
     )
     assert primary_key_candidates(df) == ["long text", "one_null", "d"]
     assert primary_key_candidates(df.select("constant", "near")) == []
+
+
+def test_ranked_rows_are_dealt_by_number_and_a_frequent_key_spreads(spark, monkeypatch):
+    from tabflow.operators import ordering
+
+    monkeypatch.setattr(ordering, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 50)
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    for out in (key_batches(df, "k", 20), running_total(df, "id", {"before": F.lit(1)})):
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 6000 and max(sizes) < 1000
