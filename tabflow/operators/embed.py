@@ -48,10 +48,13 @@ def text_key(c: Column) -> Column:
 
 
 def distinct_texts(df: DataFrame, column: str) -> DataFrame:
-    """text_key, text of the distinct, non-null, non-empty values. Copies are combined in the map tasks by hashing."""
+    """text_key, text of the distinct, non-null, non-empty values. Copies are combined in the map tasks.
+
+    Grouped by the key alone: whoever only counts or compares moves no texts, and joins on the key find the texts dealt by it.
+    """
     c = F.col(quote(column))
     texts = df.select(c.alias("text")).filter(c.isNotNull() & (c != ""))
-    return texts.select(text_key(F.col("text")).alias("text_key"), "text").distinct()
+    return texts.select(text_key(F.col("text")).alias("text_key"), "text").dropDuplicates(["text_key"])
 
 
 def embed_texts(texts: DataFrame, embedder: Embedder, batch_rows: int = 500) -> DataFrame:

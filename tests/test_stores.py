@@ -179,6 +179,18 @@ def test_store_keeps_the_first_vector_and_embeds_only_new_texts(spark, scratch):
     assert store.full.read().count() == 2
 
 
+def test_missing_texts_are_counted_and_joined_by_key_alone(spark, scratch):
+    import re
+
+    store = EmbeddingStore(spark, scratch())
+    df = spark.createDataFrame(NAMES, "id long, Name string")
+    store.update(df.filter("id <= 2"), "Name", lambda ts: [[1.0] for _ in ts])
+    plan = lambda found: found._jdf.queryExecution().executedPlan().toString()
+    counted = store.missing(df, "Name").groupBy().count()
+    assert counted.first()[0] == 2 and not re.search(r"(first\(|hashpartitioning\([^)]*|keys=\[[^]]*)\btext#", plan(counted))
+    assert not re.search(r"hashpartitioning\([^)]*\btext#", plan(store.missing(df, "Name")))
+
+
 def test_compression(spark, scratch):
     import numpy as np
 
