@@ -2,9 +2,10 @@
 
 A round computes each row's gradient g and curvature h of the loss at its margins, fits one regression tree per class to -g / h with
 weight h, so that its best split is the one that lowers the loss most, and sets each leaf to -G / (H + penalty) over the leaf's rows.
-Margins are arrays of one number per class. After every ``cut_every`` rounds the rows are written with them and read back: a round reads
-its rows some three times a class, so a written row is cheaper than the trees that lead to it, and neither the plan nor the work to
-recompute a lost task grows with the rounds. What reaches the driver is two numbers a leaf and two losses a round.
+Margins are arrays of one number per class. After every ``cut_every`` rounds the rows are written with them, all gradients and curvatures
+and the loss, and read back: a round reads its rows some five times a class, so a written row is cheaper than the trees and the
+objective that lead to it, and neither the plan nor the work to recompute a lost task grows with the rounds. The rows are first dealt
+evenly, as a round is as slow as its largest task. What reaches the driver is two numbers a leaf and two losses a round.
 
 With a column that marks held-out rows, rounds end when the loss on them has not improved for ``patience`` rounds, and the trees up to
 the best round stay.
@@ -15,7 +16,7 @@ from __future__ import annotations
 import json
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorSlicer
@@ -28,6 +29,8 @@ from tabflow.session import materialize
 #: The least curvature, the L2 penalty of leaves.
 LEAST_CURVATURE = 1e-16
 LEAF_PENALTY = 1.0
+#: Rows of a task, about, where the cluster's cores are too few for all to have less.
+ROWS_PER_TASK = 1_000_000
 _BOUND = 1e-15
 
 
@@ -39,10 +42,15 @@ def _log(p: Column) -> Column:
     return F.log(F.greatest(p, F.lit(_BOUND)))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; inside a lambda Spark would compute it for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _softmax(margins: Column) -> Column:
-    top = F.array_max(margins)
-    powers = F.transform(margins, lambda m: F.exp(m - top))
-    return F.transform(powers, lambda e: e / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    powers = _once(F.struct(margins.alias("m"), F.array_max(margins).alias("top")), lambda s: F.transform(s["m"], lambda m: F.exp(m - s["top"])))
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, b: a + b)
+    return _once(powers, lambda p: _once(F.struct(p.alias("p"), total(p).alias("of")), lambda s: F.transform(s["p"], lambda e: e / s["of"])))
 
 
 class Objective:
@@ -61,6 +69,10 @@ class Objective:
     def loss(self, y: Column, m: Column) -> Column:
         raise NotImplementedError
 
+    def steps(self, y: Column, m: Column) -> Column:
+        """An array of (g, h), one a class."""
+        return F.array(*[F.struct(g.alias("g"), h.alias("h")) for g, h in (self.step(y, m, k) for k in range(self.classes))])
+
 
 class SquaredError(Objective):
     def start(self, mean):
@@ -107,10 +119,19 @@ class Softmax(Objective):
     def __init__(self, classes: int):
         self.classes = classes
 
-    def step(self, y, m, k):
-        p = _softmax(m)[k]
+    def _of(self, y, p, k):
         return p - (y == k).cast("double"), F.greatest(2 * p * (1 - p), F.lit(LEAST_CURVATURE))
 
+    def step(self, y, m, k):
+        return self._of(y, _softmax(m)[k], F.lit(k))
+
+    def steps(self, y, m):
+        def both(p, k):
+            g, h = self._of(y, p, k)
+            return F.struct(g.alias("g"), h.alias("h"))
+
+        return F.transform(_softmax(m), both)
+
     def loss(self, y, m):
         return -_log(F.get(_softmax(m), y.cast("int")))
 
@@ -190,12 +211,12 @@ class Boosted:
         return cls(rounds, state["base"], state["classes"], state["rate"], [tuple(h) for h in state["history"]])
 
 
-def _fit_tree(rows: DataFrame, y: Column, objective: Objective, k: int, h: dict, seed: int, size: int, total: float) -> Tree:
-    """``total`` is the sum of curvatures over all rows; the least sum a child must have is given to Spark as a share of it."""
+def _fit_tree(rows: DataFrame, k: int, h: dict, seed: int, size: int, total: float) -> Tree:
+    """The tree of class ``k`` for rows with ``steps``; ``total`` is the sum of curvatures over all rows; the least sum a child must have is given to Spark as a share of it."""
     subsample, columns, inputs = float(h["subsample"]), float(h["colsample_bytree"]), None
     if columns < 1:
         inputs = sorted(random.Random(seed).sample(range(size), max(1, round(columns * size))))
-    g, curve = objective.step(y, F.col("margins"), k)
+    g, curve = F.col("steps")[k]["g"], F.col("steps")[k]["h"]
     sampled = rows.sample(fraction=subsample, seed=seed) if subsample < 1 else rows
     stepped = sampled.select("features", (F.col("weight") * g).alias("g"), (F.col("weight") * curve).alias("h")).filter("h > 0")
     target = stepped.withColumn("target", -F.col("g") / F.col("h"))
@@ -236,7 +257,9 @@ def boost(
     """Trees for rows with ``features``, a label and a weight. Rows with weight 0 count for nothing; a table without rows raises."""
     kept = [F.col("features"), F.col(label).cast("double").alias("label"), F.col(weight).cast("double").alias("weight")]
     kept.append((F.col(held_out) if held_out else F.lit(False)).alias("held_out"))
-    rows = materialize(rows.select(*kept), "boost-rows")
+    rows = rows.select(*kept)
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / ROWS_PER_TASK))
+    rows = materialize(rows.repartition(tasks), "boost-rows")
     train, y = ~F.col("held_out"), F.col("label")
     mean = lambda v, which: F.sum(F.when(which, F.col("weight") * v)) / F.sum(F.when(which, F.col("weight")))
     first = rows.agg(mean(y, train).alias("mean")).first().mean
@@ -244,22 +267,23 @@ def boost(
         raise ValueError("there are no rows to train on")
     size = rows.first().features.size
     out = Boosted(base=objective.start(first), classes=objective.classes, rate=float(hyperparameters["learning_rate"]))
-    at = out.margins(rows)
-    curves = lambda: [F.sum(F.when(train, F.col("weight") * objective.step(y, F.col("margins"), k)[1])).alias(f"h{k}") for k in range(objective.classes)]
-    totals = at.agg(*curves()).first()
+    stepped = lambda df: df.withColumns({"steps": objective.steps(y, F.col("margins")), "loss": objective.loss(y, F.col("margins"))})
+    at = materialize(stepped(out.margins(rows)), "boost-margins")
+    curves = [F.sum(F.when(train, F.col("weight") * F.col("steps")[k]["h"])).alias(f"h{k}") for k in range(objective.classes)]
+    totals = at.agg(*curves).first()
     best, best_round = math.inf, 0
     for n in range(int(hyperparameters["n_estimators"])):
         learn = at.filter(train)
         trees = [
-            _fit_tree(learn, y, objective, k, hyperparameters, seed + n * objective.classes + k, size, totals[f"h{k}"] or 0.0)
+            _fit_tree(learn, k, hyperparameters, seed + n * objective.classes + k, size, totals[f"h{k}"] or 0.0)
             for k in range(objective.classes)
         ]
         out.rounds.append(trees)
-        at = out._add(at, trees, "margins")
+        at = stepped(out._add(at.drop("steps", "loss"), trees, "margins"))
         if (n + 1) % cut_every == 0:
             at = materialize(at, "boost-margins")
-        loss = objective.loss(y, F.col("margins"))
-        lost = totals = at.agg(mean(loss, train).alias("train"), mean(loss, ~train).alias("valid"), *curves()).first()
+        loss = F.col("loss")
+        lost = totals = at.agg(mean(loss, train).alias("train"), mean(loss, ~train).alias("valid"), *curves).first()
         out.history.append((n + 1, lost.train, lost.valid))
         if held_out and lost.valid is not None:
             if lost.valid < best:

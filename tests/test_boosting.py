@@ -73,3 +73,17 @@ def test_parameters_that_mean_nothing_are_refused():
 def test_alpha_needs_a_model_that_has_it(crossed):
     with pytest.raises(ValueError, match="alpha"):
         Model("classification", "both", "binary:hinge", "gblinear", {"alpha": 1.0}, features=["x", "z"]).fit(crossed)
+
+
+def test_a_round_computes_its_objective_once_on_rows_dealt_evenly(spark, crossed, monkeypatch):
+    from tabflow.plans import boosting
+
+    calls, written, softmax, materialize = [], [], boosting._softmax, boosting.materialize
+    monkeypatch.setattr(boosting, "_softmax", lambda m: calls.append(1) or softmax(m))
+    monkeypatch.setattr(boosting, "materialize", lambda df, name: written.append(materialize(df, name)) or written[-1])
+    Model("classification", "kind", "multi:softmax", features=["x", "z"], hyperparameters={**SMALL, "n_estimators": 2}).fit(crossed.coalesce(1))
+    assert len(calls) <= 2 * 3  # steps and loss, at the start and after each round
+    files = written[0].select(F.input_file_name().alias("f")).distinct().count()
+    assert files == spark.sparkContext.defaultParallelism
+    odd = spark.createDataFrame([([1.0, 800.0, -3.0],), ([0.0],)], "m array<double>").select(softmax(F.col("m")).alias("p"))
+    assert [r.p for r in odd.collect()] == [[0.0, 1.0, 0.0], [1.0]]
