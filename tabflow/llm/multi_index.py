@@ -5,7 +5,8 @@ pairs in order of summed squared distance with a heap, until the cells hold the
 for the queries of a sample, and every entry of those cells is ranked by its exact distance.
 
 Equal vectors are one entry. An entry keeps its k + 1 smallest different ids, which is all that k neighbours can need, as ties go to
-smaller ids; so a vector that a third of all rows share is one entry, too. Cells are dealt in blocks of entries and of queries.
+smaller ids; so a vector that a third of all rows share is one entry, too. Cells are dealt in runs of some thousand entries, and these in
+blocks of entries and of queries: a block hands on a query's best of all its cells at once, under the query's number, not its vector.
 
 Queries of one vector share a list of candidates. It is long enough for any of them after its own id is taken out: if an id has at
 most c vectors, k + c candidates are; if c is above k, each id stays with its k nearest vectors only, and 2 k candidates are.
@@ -14,7 +15,7 @@ most c vectors, k + c candidates are; if c is above k, each id stays with its k
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,7 +36,9 @@ PER_ROOT, LEAST, MOST = 8, 4, 256
 ITERATIONS = 12
 #: A query never visits fewer entries than this.
 LEAST_ENTRIES = 1000
-ENTRY_BLOCK, QUERY_BLOCK = 4096, 256
+ENTRY_BLOCK, QUERY_BLOCK = 32_768, 4096
+#: Queries of a block that are compared at a time.
+ROWS_AT_ONCE = 64
 
 
 class Codebooks(NamedTuple):
@@ -48,6 +51,13 @@ def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * x @ c.T)
 
 
+def _roughly(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and for each row of ``x`` a bound of what rounding changes in them."""
+    of_x, of_y = (x**2).sum(axis=1), (y**2).sum(axis=1)
+    off = 4 * (x.shape[1] + 8) * np.finfo(float).eps * (of_x + of_y.max())
+    return of_x[:, None] + of_y[None, :] - 2 * x @ y.T, off
+
+
 def _k_means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[np.sort(rng.choice(len(x), min(k, len(x)), replace=False))].copy()
@@ -74,6 +84,18 @@ def cells_in_order(to_first: np.ndarray, to_second: np.ndarray) -> Iterator[tupl
                 heapq.heappush(heap, (a[x] + b[y], x, y))
 
 
+def runs_of_cells(sizes: dict[int, int], most: int = ENTRY_BLOCK) -> tuple[dict[int, int], dict[int, int]]:
+    """The run of each cell, and the entries of each run: neighbouring cells of together at most ``most`` entries, or one larger cell."""
+    run_of, entries_of, run = {}, {}, -1
+    for cell in sorted(sizes):
+        if run < 0 or entries_of[run] + sizes[cell] > most:
+            run += 1
+            entries_of[run] = 0
+        run_of[cell] = run
+        entries_of[run] += sizes[cell]
+    return run_of, entries_of
+
+
 def fit(sample: np.ndarray, entries: int, k: int, recall: float = RECALL) -> Codebooks:
     """Codebooks from a sample of distinct vectors, and the share of a walk that finds ``recall`` of its k nearest."""
     half = sample.shape[1] // 2
@@ -149,37 +171,44 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str
     usable = found.select(F.col("vector").alias("known"))
     asked = asked.filter(F.col("query_id").isNotNull()).join(usable, F.col("vector") == F.col("known"), "left_semi")
     asked = materialize(asked, "index-queries")
-    points = asked.select("vector").distinct()
+    numbered = asked.select("vector").distinct().withColumn("point", F.monotonically_increasing_id())
+    points = materialize(numbered, "index-points")
+    run_of, entries_of = runs_of_cells(sizes)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
                 x = matrix(part["vector"])
                 one = _squared(x[:, :half], books.first)
                 two = _squared(x[:, half:], books.second) if half < width else np.zeros((len(x), 1))
-                row, cell = [], []
+                row, run, cells = [], [], []
                 for k_, (a, b) in enumerate(zip(one, two, strict=True)):
-                    held = 0
+                    held, visited = 0, defaultdict(list)
                     for i, j in cells_in_order(a, b):
-                        if n := sizes.get(i * n_second + j, 0):
-                            row.append(k_)
-                            cell.append(i * n_second + j)
+                        if n := sizes.get(cell := i * n_second + j, 0):
+                            visited[run_of[cell]].append(cell)
                             held += n
                             if held >= wanted:
                                 break
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), part["vector"].take(pa.array(row, pa.int64()))], ["cell", "vector"])
-
-    probes = materialize(points.mapInArrow(walk, "cell int, vector array<double>"), "index-probes")
-    asks = {r["cell"]: r["count"] for r in probes.groupBy("cell").count().collect()}
-
-    # A cell of many entries or many probes is dealt over blocks; every probe meets every block of its cell's entries once.
-    blocks = vectors.sparkSession.createDataFrame([(c, max(1, -(-n // ENTRY_BLOCK)), max(1, -(-asks.get(c, 0) // QUERY_BLOCK))) for c, n in sizes.items()], "cell int, e int, q int")
+                    row += [k_] * len(visited)
+                    run += visited
+                    cells += visited.values()
+                of = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(run, pa.int32()), part["point"].take(of), part["vector"].take(of), pa.array(cells, pa.list_(pa.int32()))], ["run", "point", "vector", "cells"])
+
+    probes = materialize(points.mapInArrow(walk, "run int, point long, vector array<double>, cells array<int>"), "index-probes")
+    asks = {r["run"]: r["count"] for r in probes.groupBy("run").count().collect()}
+
+    # A run of many entries or many probes is dealt over blocks; every probe meets every block of its run's entries once.
+    spark = vectors.sparkSession
+    blocks = spark.createDataFrame([(r, max(1, -(-n // ENTRY_BLOCK)), max(1, -(-asks.get(r, 0) // QUERY_BLOCK))) for r, n in entries_of.items()], "run int, e int, q int")
     blocks = F.broadcast(blocks)
+    runs = F.broadcast(spark.createDataFrame(list(run_of.items()), "cell int, run int"))
     draw = lambda n: F.pmod(F.xxhash64("vector"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = probes.join(blocks, "cell").select("cell", "vector", draw("q").alias("qb"), every("e").alias("eb"))
-    right = entries.join(blocks, "cell").select("cell", "vector", "ids", draw("e").alias("eb"), every("q").alias("qb"))
+    left = probes.join(blocks, "run").select("run", "point", "vector", "cells", draw("q").alias("qb"), every("e").alias("eb"))
+    right = entries.join(runs, "cell").join(blocks, "run").select("run", "cell", "vector", "ids", draw("e").alias("eb"), every("q").alias("qb"))
 
     def candidates_of(distance: np.ndarray, ids: pa.Array) -> Iterator[tuple[int, list[int]]]:
         """Entries of a block, with their ids, that can be among the candidates; those at one distance all stay, as ids decide between them."""
@@ -197,28 +226,45 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str
                 yield i, left
 
     def rank(key, asked: pa.Table, held: pa.Table) -> pa.Table:
-        out = {"vector": [], "ids": [], "distance": []}
+        points_, distances = [], []
+        kept: list[list[int]] = []
         if len(asked) and len(held):
             x, y = (matrix(t["vector"].combine_chunks()) for t in (asked, held))
-            ids = held["ids"].combine_chunks()
-            for row, q in zip(x.tolist(), x, strict=True):
-                distance = np.sqrt(((y - q) ** 2).sum(axis=1))
-                for i, left in candidates_of(distance, ids):
-                    out["vector"].append(row)
-                    out["ids"].append(left)
-                    out["distance"].append(float(distance[i]))
-        return pa.table({"vector": pa.array(out["vector"], pa.list_(pa.float64())), "ids": pa.array(out["ids"], pa.list_(pa.int64())), "distance": pa.array(out["distance"], pa.float64())})
-
-    by = ["cell", "eb", "qb"]
-    close = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(rank, "vector array<double>, ids array<long>, distance double")
-    close = close.select("vector", "distance", F.explode("ids").alias("id"))
+            number, ids = asked["point"].to_numpy(), held["ids"].combine_chunks()
+            known, of_cell = np.unique(held["cell"].to_numpy(), return_inverse=True)
+            cells = asked["cells"].combine_chunks()
+            for at in range(0, len(x), ROWS_AT_ONCE):
+                part, near, off = x[at : at + ROWS_AT_ONCE], *_roughly(x[at : at + ROWS_AT_ONCE], y)
+                visited = np.zeros((len(part), len(known)), bool)
+                for i in range(len(part)):
+                    visited[i] = np.isin(known, cells[at + i].values.to_numpy())
+                near[~visited[:, of_cell]] = np.inf
+                for i, q in enumerate(part):
+                    inside = visited[i][of_cell]
+                    some = np.flatnonzero(inside)
+                    if vectors_of_id <= k and len(some) > candidates and np.isfinite(near[i][some]).all():
+                        last = np.partition(near[i], candidates - 1)[candidates - 1]
+                        some = np.flatnonzero(inside & (near[i] <= last + 2 * off[i]))
+                    if not len(some):
+                        continue
+                    distance = np.sqrt(((y[some] - q) ** 2).sum(axis=1))
+                    for j, left in candidates_of(distance, ids.take(pa.array(some))):
+                        points_.append(number[at + i])
+                        kept.append(left)
+                        distances.append(float(distance[j]))
+        return pa.table({"point": pa.array(points_, pa.int64()), "ids": pa.array(kept, pa.list_(pa.int64())), "distance": pa.array(distances, pa.float64())})
+
+    by = ["run", "eb", "qb"]
+    close = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(rank, "point long, ids array<long>, distance double")
+    close = close.select("point", "distance", F.explode("ids").alias("id"))
     if vectors_of_id > k:
-        of_id = Window.partitionBy("vector", "id").orderBy("distance")
+        of_id = Window.partitionBy("point", "id").orderBy("distance")
         close = close.withColumn("place", F.row_number().over(of_id)).filter(F.col("place") <= k)
-    best = Window.partitionBy("vector").orderBy("distance", "id")
+    best = Window.partitionBy("point").orderBy("distance", "id")
     close = close.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= candidates)
-    lists = close.groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near"))
+    lists = close.groupBy("point").agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near"))
     lists = measured(materialize(lists, "index-lists"))
-    named = asked.distinct().join(lists, "vector").select("query_id", F.slice(F.filter("near", lambda n: n["id"] != F.col("query_id")), 1, k).alias("near"))
+    named = asked.distinct().join(points, "vector").select("query_id", "point").join(lists, "point")
+    named = named.select("query_id", F.slice(F.filter("near", lambda n: n["id"] != F.col("query_id")), 1, k).alias("near"))
     ranked = named.select("query_id", F.posexplode("near").alias("place", "n"))
     return ranked.select("query_id", (F.col("place") + 1).alias("rank"), F.col("n.id").alias("vec_id"), F.col("n.distance").alias("score"))

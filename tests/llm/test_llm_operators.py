@@ -554,3 +554,30 @@ def test_queries_return_their_contracts(write_tables, spark, docs, rows):
         df = queries.QUERIES[name](spark, folder)
         assert ", ".join(f"{n} {t}" for n, t in df.dtypes) == contract
         assert df.count() >= (len(rows) if name not in ("op2_multi_index",) else 30)
+
+
+def test_nearest_hands_on_few_rows_a_query_from_small_blocks(spark, monkeypatch):
+    """Cells are searched in runs, a block hands on a query's best of all its cells, and small blocks give the same neighbours."""
+    import numpy as np
+
+    from tabflow.llm import multi_index
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(1500, 8)), np.repeat(rng.normal(size=(3, 8)), 30, axis=0)])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id % 40 = 0 OR vec_id = 1510")
+    found = {}
+    for most, queries in ((32_768, 4096), (60, 7)):
+        monkeypatch.setattr(multi_index, "ENTRY_BLOCK", most)
+        monkeypatch.setattr(multi_index.runs_of_cells, "__defaults__", (most,))
+        monkeypatch.setattr(multi_index, "QUERY_BLOCK", queries)
+        found[most] = [tuple(r) for r in multi_index.nearest(df, asked, recall=1.0).orderBy("query_id", "rank").collect()]
+    assert found[60] == found[32_768]
+    run_of, entries_of = multi_index.runs_of_cells({9: 5, 2: 30, 4: 100, 5: 10, 7: 50}, 60)
+    assert run_of == {2: 0, 4: 1, 5: 2, 7: 2, 9: 3} and entries_of == {0: 30, 1: 100, 2: 60, 3: 5}
+    q, near = x[40], {(q, v): s for q, _, v, s in found[60]}
+    exact = np.sqrt(((x - q) ** 2).sum(axis=1))
+    best = sorted((d, i) for i, d in enumerate(exact.tolist()) if i != 40)[:10]
+    assert sum(near.get((40, i)) == d for d, i in best) >= 9
+    rough, off = multi_index._roughly(x[:50], x)
+    assert (abs(rough - ((x[:50, None, :] - x[None, :, :]) ** 2).sum(axis=2)).max(axis=1) <= off).all()
