@@ -65,10 +65,15 @@ def _recurring(templates: DataFrame, least: int) -> DataFrame:
     return templates.join(known, "template").filter(~F.col("first").eqNullSafe(_first())).select("doc_id", "th", "line")
 
 
-def _usual_templates(every: DataFrame, least: int, least_tokens: int, leaf_share: float, constant: float) -> DataFrame:
-    """template, doc_id, th, line of the lines with enough usual tokens, by either rule of what is usual."""
-    every = every.filter(F.size("masked") >= least_tokens).withColumn("leaf", F.xxhash64(F.size("masked"), F.slice("masked", 1, DEPTH)))
-    leaves = every.groupBy("leaf", "th").agg(F.lit(1)).groupBy("leaf").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least)
+def _leaf(least_tokens: int) -> Column:
+    """The leaf of a line with enough tokens, else null."""
+    return F.when(F.size("masked") >= least_tokens, F.xxhash64(F.size("masked"), F.slice("masked", 1, DEPTH))).alias("leaf")
+
+
+def _usual_templates(every: DataFrame, held: DataFrame, least: int, least_tokens: int, leaf_share: float, constant: float) -> DataFrame:
+    """template, doc_id, th, line of the lines with enough usual tokens, by either rule of what is usual. ``held`` has leaf and th of all lines."""
+    every = every.filter(F.size("masked") >= least_tokens).withColumn("leaf", _leaf(least_tokens))
+    leaves = held.filter(F.col("leaf").isNotNull()).groupBy("leaf", "th").agg(F.lit(1)).groupBy("leaf").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least)
     leaves = measured(materialize(leaves, "line-leaves"))
     rows = materialize(every.join(leaves, "leaf").select("leaf", "texts", "doc_id", "th", "line", "masked"), "line-tokens")
 
@@ -94,9 +99,10 @@ def recurring_lines(
     """doc_id, th, drop: the places of the lines that go, one row for each text that loses any."""
     every = lines(documents)
     plain = F.size(F.filter("masked", lambda t: t != VARIABLE)) >= F.lit(constant) * F.size("masked")
-    whole = every.select(F.xxhash64(F.when(plain, F.col("masked")).otherwise(F.col("tokens"))).alias("template"), "doc_id", "th", "line")
-    whole = materialize(whole, "line-wholes")
-    usual = materialize(_usual_templates(every, least, least_tokens, leaf_share, constant), "line-templates")
+    whole = every.select(F.xxhash64(F.when(plain, F.col("masked")).otherwise(F.col("tokens"))).alias("template"), "doc_id", "th", "line", _leaf(least_tokens))
+    whole = materialize(whole, "line-wholes")  # with the leaves, so that texts are cut into lines twice, not three times
+    usual = materialize(_usual_templates(every, whole, least, least_tokens, leaf_share, constant), "line-templates")
+    whole = whole.drop("leaf")
     gone = _recurring(whole, least_whole).union(_recurring(usual, least))
     return materialize(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")), "line-drops")
 

@@ -80,3 +80,20 @@ def test_shingles_are_equal_exactly_where_the_words_are():
 def test_runs_of_other_lengths_differ():
     w = next(words(pa.array(["a b c"])))
     assert len(set(sequence_hashes(w.hash, 1).tolist() + sequence_hashes(w.hash, 2).tolist() + sequence_hashes(w.hash, 3).tolist())) == 6
+
+
+def test_line_templates_cut_texts_into_lines_twice(spark, monkeypatch):
+    """Whole lines and leaves come from one pass; the places of lines in leaves that recur from a second one."""
+    from tabflow.llm import line_templates
+
+    plans, materialize = {}, line_templates.materialize
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return materialize(df, name)
+
+    monkeypatch.setattr(line_templates, "materialize", kept)
+    texts = [(i, f"one two three four {i}\nsame line of some words\nonly {i}") for i in range(12)]
+    drops = line_templates.recurring_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(drops) == 11 and all(0 in r["drop"] and 1 in r["drop"] for r in drops)
+    assert sum("posexplode" in plans[n] and "split(" in plans[n] for n in ("line-wholes", "line-leaves", "line-tokens")) == 2
