@@ -40,9 +40,9 @@ def encode_pieces(documents: DataFrame, tokenizer: str, end_id: int = 1, capacit
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = encoder(tokenizer), np.array([end_id], "<u4")
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part, rows = batch.slice(at, 200), []
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), known.encode(part["text"].to_pylist()), strict=True):
+            for at in range(0, len(batch), 1000):
+                part, rows = batch.slice(at, 1000), []
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), known.encode(part["text"]), strict=True):
                     ids = np.concatenate([ids, end])
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         piece = ids[start : start + capacity].tobytes()

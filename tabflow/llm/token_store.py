@@ -121,11 +121,9 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, writer, end = encoder(tokenizer), FrameWriter(), np.array([end_id], "<u4")
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), known.encode(part["text"].to_pylist()), strict=True):
-                    if (block := writer.add(doc_id, np.concatenate([ids, end]))) is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], ["block"])
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), known.encode(batch["text"]), strict=True):
+                if (block := writer.add(doc_id, np.concatenate([ids, end]))) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], ["block"])
         yield pa.RecordBatch.from_arrays([pa.array([writer.end()], pa.binary())], ["block"])
 
     docs = documents_of(documents)

@@ -54,6 +54,28 @@ def test_a_full_cache_changes_nothing(monkeypatch, encoders):
         assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
+def test_a_word_is_learned_once_whatever_stands_after_it(encoders):
+    """Learning is most of the work: each word once, not once with every mark or line that follows it."""
+    ours, plain = encoders
+    ours.words, learned, merged = {}, [], ours._merged
+    ours._merged = lambda pieces, blank="": learned.extend(pieces) or merged(pieces, blank)
+    texts = ["x Straße Straße, Straße. Straße!\nStraße Straße,\nno (Straße) Straße\nno,\nno", None, "", "x Straße;\n\nno Straße\n no  Straße?\u2028no"]
+    for given in (texts, pa.array(texts), pa.array(["cut", *texts]).slice(1)):
+        for text, ids in zip(texts, ours.encode(given), strict=True):
+            assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids
+    assert learned.count("Straße") <= 2 and learned.count("no") <= 2
+
+
+@pytest.mark.parametrize("run_bytes", [1, 3000, 1 << 30])
+def test_runs_of_texts_change_nothing(monkeypatch, encoders, run_bytes):
+    from tabflow.llm import tokens
+
+    monkeypatch.setattr(tokens, "RUN_BYTES", run_bytes)
+    ours, plain = encoders
+    for text, ids in zip(ODD + TEXTS[:60], ours.encode(pa.array(ODD + TEXTS[:60])), strict=True):
+        assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("most", [1 << 20, 7])
 def test_words_of_slices(most):
     found = []
