@@ -4,9 +4,9 @@ The kept terms are found by iceberg prefix refinement. A term's bytes end with a
 is one more prefix. Prefixes of 8, 16, 32, ... bytes are counted by distinct documents; those of fewer than ``least`` documents are
 discarded with all terms below them, and only what is left is extended, until every prefix left is a complete term.
 
-Documents are read once, by slices: a slice hands on each of its terms with its occurrences per source and with at most ``least``
-document numbers. More cannot change whether a prefix reaches ``least``: a term cut short reaches it alone. So counts below ``least`` are
-exact, and the others are known to reach it.
+Documents are read once, by slices: a slice hands on each of its terms with its occurrences per source, and the number of its documents
+that hold each prefix, at one of the terms below that prefix. A document lies in one slice, so the numbers of the slices add up. They stop
+at ``least``: more cannot change whether a prefix reaches it.
 
 Shares of pairs of sources are summed over blocks of terms: a sum over all kept terms is that of terms without occurrences in either
 source, corrected where one or both have some, so a block costs what its terms' sources cost, not terms times sources squared.
@@ -59,6 +59,34 @@ def _spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     return low, start, end, byte_hashes(low, start, end), np.searchsorted(offsets, start, "right") - 1
 
 
+def _prefix_documents(spelled: np.ndarray, start: np.ndarray, size: np.ndarray, lang: np.ndarray, term: np.ndarray, doc: np.ndarray, texts: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each term, the documents of the slice that hold its prefix of FIRST, 2 * FIRST, ... bytes, up to the first that is the whole term.
+
+    The number stands at one of the terms below a prefix, and is 0 at the others. ``term`` and ``doc`` are the different pairs. Returns
+    the term of each number, ascending, and the numbers.
+    """
+    owner, found, open_, length = [], [], np.arange(len(size)), FIRST
+    while len(open_):
+        number = np.zeros(len(size), np.int64)
+        whole, longer = open_[size[open_] <= length], open_[size[open_] > length]
+        number[whole] = np.bincount(term, minlength=len(size))[whole]
+        if len(longer):
+            prefix = mix(byte_hashes(spelled, start[longer], start[longer] + length) ^ mix(lang[longer].astype(np.uint64) + np.uint64(1)))
+            _, one, same = np.unique(prefix, return_index=True, return_inverse=True)
+            of = np.full(len(size), -1)
+            of[longer] = same
+            below = of[term] >= 0
+            pairs = np.unique(of[term[below]] * texts + doc[below])
+            number[longer[one]] = np.bincount(pairs // texts, minlength=len(one))
+        owner.append(open_)
+        found.append(np.minimum(number[open_], least))
+        open_, length = longer, 2 * length
+    if not owner:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(np.concatenate(owner), kind="stable")
+    return np.concatenate(owner)[order], np.concatenate(found)[order]
+
+
 def _slice(number: int, runs: list[tuple], lang: pa.DictionaryArray, source: pa.DictionaryArray, least: int) -> pa.RecordBatch:
     """One row a (lang, term) of consecutive runs of texts; terms are told apart by a hash of 64 bits within the slice."""
     found = [_spans(offsets, data) for offsets, data in runs]
@@ -77,8 +105,6 @@ def _slice(number: int, runs: list[tuple], lang: pa.DictionaryArray, source: pa.
     first = np.flatnonzero(new)
 
     met = np.flatnonzero(new | np.append(True, doc[1:] != doc[:-1])[: len(doc)])
-    nth = np.arange(len(met)) - np.searchsorted(met, first)[term[met]]
-    held = met[nth < least]
     code, times = np.unique(term * len(source.dictionary) + of_source[doc], return_counts=True)
 
     at = order[first]
@@ -86,12 +112,13 @@ def _slice(number: int, runs: list[tuple], lang: pa.DictionaryArray, source: pa.
     ends = np.cumsum(size)
     spelled = low[np.minimum(np.repeat(start[at] - (ends - size), size) + np.arange(size.sum()), max(len(low) - 1, 0))]
     spelled[ends - 1] = 0
+    levels, docs = _prefix_documents(spelled, ends - size, size, of_lang[doc[first]], term[met], doc[met], texts_before[-1], least)
     name = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(spelled.tobytes())])
     columns = [
         pa.array(np.full(n, number, np.int64)),
         lang.dictionary.take(pa.array(of_lang[doc[first]])),
         name,
-        _lists(term[held], n, pa.array(doc[held], pa.int32())),
+        _lists(levels, n, pa.array(docs, pa.int32())),
         _lists(code // len(source.dictionary), n, source.dictionary.take(pa.array(code % len(source.dictionary)))),
         _lists(code // len(source.dictionary), n, pa.array(times, pa.int64())),
     ]
@@ -125,36 +152,35 @@ def slices_of(documents: DataFrame, least: int = LEAST, slice_bytes: int = SLICE
     return materialize(read.mapInArrow(_slicer(least, slice_bytes), _SLICES), "terms-slices")
 
 
-def _prefixes(left: DataFrame, length: int, least: int) -> DataFrame:
-    """(lang, prefix) of the prefixes in at least ``least`` documents; written.
+def _prefixes(left: DataFrame, level: int, least: int) -> DataFrame:
+    """(lang, prefix) of the prefixes of a level in at least ``least`` documents; written."""
+    docs = F.get("docs", F.lit(level))
+    at = left.filter(docs > 0).select("lang", F.substring("term", 1, FIRST << level).alias("prefix"), docs.alias("n"))
+    return materialize(at.groupBy("lang", "prefix").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("lang", "prefix"), "terms-prefixes")
 
-    One term that reaches it settles a prefix, as does a sum over its terms that does not. Distinct documents are counted for the rest.
-    """
-    at = left.select("lang", F.substring("term", 1, length).alias("prefix"), "slice", "docs")
-    bounds = at.groupBy("lang", "prefix").agg(F.max(F.size("docs")).alias("least"), F.sum(F.size("docs")).alias("most")).filter(F.col("most") >= least)
-    bounds = materialize(bounds, "terms-bounds")
-    sure, open_ = bounds.filter(F.col("least") >= least).select("lang", "prefix"), bounds.filter(F.col("least") < least).select("lang", "prefix")
-    each = at.filter(F.size("docs") < least).join(measured(open_), ["lang", "prefix"], "left_semi").select("lang", "prefix", "slice", F.explode("docs").alias("doc"))
-    counted = each.groupBy("lang", "prefix").agg(F.count_distinct("slice", "doc").alias("n")).filter(F.col("n") >= least).select("lang", "prefix")
-    return materialize(sure.union(counted), "terms-prefixes")
+
+def _hashed(df: DataFrame) -> DataFrame:
+    """Kept terms or prefixes for a semi-join: by broadcast if small, else by a hash table of each part, so that the many terms aren't sorted."""
+    near = measured(df)
+    return near if near is not df else df.hint("shuffle_hash")
 
 
-def kept_terms(slices: DataFrame, least: int = LEAST, first: int = FIRST) -> DataFrame:
+def kept_terms(slices: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, term) of all terms in at least ``least`` documents of their language; a written table, terms with their end byte."""
-    left = slices.select("lang", "term", "slice", "docs")
+    left = slices.select("lang", "term", "docs")
     longest = slices.agg(F.max(F.octet_length("term"))).first()[0] or 0
-    live, length, done = left, first, []
+    live, level, done = left, 0, []
     while True:
-        found = _prefixes(live, length, least)
+        found = _prefixes(live, level, least)
         ended = F.substring("prefix", -1, 1) == F.lit(b"\0")
         done.append(found.filter(ended).select("lang", F.col("prefix").alias("term")))
         open_ = found.filter(~ended)
-        if length >= longest or open_.isEmpty():
+        if FIRST << level >= longest or open_.isEmpty():
             break
         # A prefix that is left lies below one that was left a level before, so the last level's are enough.
-        longer = left.filter(F.octet_length("term") > length).withColumn("prefix", F.substring("term", 1, length))
-        live = longer.join(measured(open_), ["lang", "prefix"], "left_semi").drop("prefix")
-        length *= 2
+        longer = left.filter(F.octet_length("term") > FIRST << level).withColumn("prefix", F.substring("term", 1, FIRST << level))
+        live = longer.join(_hashed(open_), ["lang", "prefix"], "left_semi").drop("prefix")
+        level += 1
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
@@ -174,8 +200,8 @@ def _f(p: Column, q: Column) -> Column:
 def _both(batches: pa.Table) -> pa.Table:
     """For a block of terms, what pairs of sources change where both have a term, against each having none of it."""
     lang, term, source = batches.column("lang")[0], batches.column("term"), batches.column("source")
-    names, at = np.unique(np.array(source.to_pylist(), object), return_inverse=True)
-    row = np.unique(np.array(term.to_pylist(), object), return_inverse=True)[1]
+    source, term = (c.combine_chunks().dictionary_encode() for c in (source, term))
+    names, at, row = np.array(source.dictionary.to_pylist(), object), *(c.indices.to_numpy().astype(np.int64) for c in (source, term))
     order = np.argsort(row, kind="stable")
     row, at = row[order], at[order]
     p, none = (batches.column(c).to_numpy()[order] for c in ("p", "p0"))
@@ -223,7 +249,7 @@ def _pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
     changes. One-sided changes depend on p alone, so they are summed over the different p of a source.
     """
     blocks = max(1, -(-cells.count() // BLOCK_CELLS))
-    both = cells.select("lang", "source", F.col("term").cast("string").alias("term"), "p", "p0", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("block"))
+    both = cells.select("lang", "source", "term", "p", "p0", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("block"))
     both = both.groupBy("lang", "block").applyInArrow(_both, "lang string, source string, item string, value long").filter("source <> item")
     wide = F.col("value").cast("decimal(38,0)")
     others = groups.select("lang", F.col("source").alias("other"), F.col("p0").alias("q0"))
@@ -251,8 +277,11 @@ def divergence(documents: DataFrame, least: int = LEAST, top: int = TOP, slice_b
     plain = lambda c: F.coalesce(documents[c].cast("string"), F.lit("")).alias(c)
     cut = slices_of(documents, least, slice_bytes)
     kept = kept_terms(cut, least)
-    held = cut.join(kept, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("at"))
-    counts = materialize(held.groupBy("lang", "term", F.col("at.sources").alias("source")).agg(F.sum("at.counts").alias("count")), "terms-counts")
+    held = cut.join(_hashed(kept), ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("at"))
+    summed = held.groupBy("lang", "term", F.col("at.sources").alias("source")).agg(F.sum("at.counts").alias("count"))
+    # One row a term: the sources of a term lie together already, and what the language has of it is their sum.
+    terms = summed.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "count")).alias("at"), F.sum("count").alias("whole"))
+    counts = materialize(terms, "terms-counts").select("lang", "term", "whole", F.inline("at"))
 
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("kept"))
@@ -260,16 +289,16 @@ def divergence(documents: DataFrame, least: int = LEAST, top: int = TOP, slice_b
     groups = groups.fillna(0, ["total", "kept"]).withColumn("p0", _p(F.lit(0), F.col("total"), F.col("kept")))
     groups = materialize(groups, "terms-groups")
 
-    near = measured(groups)
+    groups = materialize(groups, "terms-groups")
+    of_lang = groups.groupBy("lang", "kept").agg(F.sum("total").alias("sum"))
+    near = measured(materialize(groups.join(of_lang, ["lang", "kept"]), "terms-shares"))
     cells = counts.join(near, ["lang", "source"])
-    cells = materialize(cells.select("lang", "source", "term", "count", "p0", _p(F.col("count"), F.col("total"), F.col("kept")).alias("p")), "terms-cells")
+    q = _p(F.col("whole"), F.col("sum"), F.col("kept")).alias("q")
+    cells = materialize(cells.select("lang", "source", "term", "count", "p0", _p(F.col("count"), F.col("total"), F.col("kept")).alias("p"), q), "terms-cells")
     pairs = _pairs(cells, near)
 
-    of_lang = near.groupBy("lang", "kept").agg(F.sum("total").alias("total"))
-    by_lang = counts.groupBy("lang", "term").agg(F.sum("count").alias("count")).join(F.broadcast(of_lang) if near is not groups else of_lang, "lang")
-    q = by_lang.select("lang", "term", _p(F.col("count"), F.col("total"), F.col("kept")).alias("q"))
     name = F.decode(F.expr("substring(term, 1, octet_length(term) - 1)"), "UTF-8")
-    more = cells.join(measured(materialize(q, "terms-whole")), ["lang", "term"]).filter("p > q").select("lang", "source", name.alias("item"), _f(F.col("p"), F.col("q")).alias("value"))
+    more = cells.filter("p > q").select("lang", "source", name.alias("item"), _f(F.col("p"), F.col("q")).alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     part = lambda df, which: df.select("lang", "source", F.lit(which).alias("part"), "item", "value", rank.alias("rank"))
     return part(pairs, "pair").union(part(more, "term").filter(F.col("rank") <= top))

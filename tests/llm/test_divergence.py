@@ -32,6 +32,24 @@ def test_refinement_keeps_what_counting_keeps(spark, docs, rows, slice_bytes):
     assert got == plain_kept([*rows, *long])
 
 
+def test_a_slice_counts_the_documents_of_each_prefix(spark):
+    """Numbers that add up over slices: no document numbers are handed on, spread and counted apart."""
+    rng = random.Random(7)
+    long = ["".join(rng.choice("ab") for _ in range(n)) * 3 for n in (1, 2, 3, 4, 6, 9, 12) for _ in range(4)]
+    texts = [(rng.choice(["en", "fr"]), " ".join(rng.choices(long, k=6))) for _ in range(30)]
+    cut = d.slices_of(spark.createDataFrame([(*t, "s") for t in texts], "lang string, text string, source string").coalesce(1), 5)
+    got, want = collections.Counter(), collections.defaultdict(set)
+    for r in cut.collect():
+        assert len(r.docs) == next(k for k in range(9) if len(r.term) <= d.FIRST << k) + 1
+        for k, n in enumerate(r.docs):
+            got[r.lang, k, bytes(r.term)[: d.FIRST << k]] += n
+    for i, (lang, text) in enumerate(texts):
+        for term in (t.encode() + b"\0" for t in text.split()):
+            for k in range(next(k for k in range(9) if len(term) <= d.FIRST << k) + 1):
+                want[lang, k, term[: d.FIRST << k]].add(i)
+    assert got == {key: min(len(ids), 5) for key, ids in want.items()}
+
+
 def _want(frame):
     pandas = frame.select("doc_id", "text", "lang", "source").toPandas()  # noqa: F841  read by DuckDB
     found = duckdb.connect().execute("WITH documents AS (SELECT * FROM pandas) SELECT * FROM (" + SQL["op12_source_divergence"] + ")")
